@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listaro.staging import shuffle_width, stage
+from listaro.staging import read_table, shuffle_width, stage
 
 BLOCK_BYTES = 2048
 SPACES = r"[\x20\x09-\x0D]+"
@@ -176,7 +176,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
