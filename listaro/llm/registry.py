@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from listaro.llm import exact_dedup
+from listaro.llm import exact_dedup, fingerprints, html_extraction, packing, quality, simhash, toxicity
 
 
 def queries() -> dict:
-    return {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+    return {
+        "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_packing": packing.op3_packing,
+        "op5_quality": quality.op5_quality,
+        "op6_html_extraction": html_extraction.op6_html_extraction,
+        "op7_simhash": simhash.op7_simhash,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_fingerprints": fingerprints.op10_fingerprints,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_packing": packing.OP3_SQL}
