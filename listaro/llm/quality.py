@@ -25,7 +25,8 @@ from listaro.staging import read_table
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 4000
-BINS = 8
+#: Cuts of a measure: half are quantiles of lines in good documents, half of lines in bad ones.
+BINS = 16
 THRESHOLD = 0.3
 _UPPER = bytes(range(65, 91))
 _DIGITS = b"0123456789"
@@ -103,10 +104,11 @@ def good_probability(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return both[:, 1] / both.sum(axis=1)
 
 
-def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 120, l2: float = 1e-3) -> dict:
+def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 200, l2: float = 1e-3) -> dict:
     """Maximum conditional likelihood by Adam over all documents at once; docs: (measures, label)."""
-    every = np.vstack([m for m, _ in docs])
-    cuts = np.stack([np.quantile(every[:, m], np.linspace(0, 1, BINS + 2)[1:-1]) for m in range(MEASURES)])
+    at = np.linspace(0, 1, BINS // 2 + 2)[1:-1]
+    sides = [np.vstack([m for m, y in docs if y == label] or [docs[0][0]]) for label in (0, 1)]
+    cuts = np.sort(np.hstack([np.quantile(side, at, axis=0).T for side in sides]), axis=1)
     features = [binned(m, cuts) for m, _ in docs]
     size = 3 * MEASURES * (BINS + 2)
     order = np.argsort([-len(f) for f in features], kind="stable")
@@ -115,7 +117,6 @@ def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 120, l2: float = 1e-3)
     flat = np.vstack([features[i] for i in order])
     starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
     alive = [int((lens > t).sum()) for t in range(lens.max())]
-    # Rare labels count as much as common ones only in part, or the score would no longer be a probability.
     theta = np.zeros(size + 4)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
     gold = np.repeat(labels, lens)
@@ -148,7 +149,7 @@ def fit(docs: list[tuple[np.ndarray, int]], rounds: int = 120, l2: float = 1e-3)
         g = np.concatenate([grad, gold_trans - (joint.sum(axis=0).ravel() if pairs else 0)]) / len(docs) - l2 * theta
         m1 = 0.9 * m1 + 0.1 * g
         m2 = 0.999 * m2 + 0.001 * g * g
-        theta = theta + 0.05 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        theta = theta + 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
     return {"cuts": cuts, "weights": theta[:size], "trans": theta[size:].reshape(2, 2)}
 
 

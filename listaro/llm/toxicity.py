@@ -3,8 +3,9 @@
 A text is lower-cased (ASCII letters), its white space made single, and the
 presence of each of its byte n-grams is a feature, hashed into 2^20 slots. The
 slots' log-count ratios between toxic and other training texts scale the
-features, and a logistic regression is trained on the scaled ones. A feature
-that fewer than LEAST_DOCS training texts have is not used.
+features, and a logistic regression is trained on the scaled ones. Features
+that fewer than LEAST_DOCS training texts have, or whose ratio is within
+LEAST_RATIO of zero, are not used.
 
 The model is fitted on a bounded sample (TRAIN_DOCS labelled documents, chosen
 by a hash of their id); scoring reads every whole text, one Arrow batch at a
@@ -28,6 +29,7 @@ TRAIN_DOCS = 6000
 BITS = 20
 ORDERS = (4, 6)
 LEAST_DOCS = 4
+LEAST_RATIO = 0.4
 THRESHOLD = 0.5
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,9 +64,13 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 60, l2: float
     q = np.bincount(flat[~toxic], minlength=size) + alpha
     used = (p + q - 2 * alpha) >= LEAST_DOCS
     ratio = np.where(used, np.log(p / ((labels == 1).sum() + 2 * alpha)) - np.log(q / ((labels == 0).sum() + 2 * alpha)), 0.0)
+    used &= np.abs(ratio) >= LEAST_RATIO
     keep = used[flat]
     owner = np.repeat(np.arange(len(rows)), lens)[keep]
-    flat = flat[keep]
+    slots = np.flatnonzero(used)
+    place = np.zeros(size, np.int32)
+    place[slots] = np.arange(len(slots))
+    flat, ratio, size = place[flat[keep]], ratio[slots], len(slots)
     weight, bias = np.zeros(size), float(np.log((labels == 1).sum() + 1) - np.log((labels == 0).sum() + 1))
     scale = ratio[flat]
     m1, m2, b1, b2 = np.zeros(size), np.zeros(size), 0.0, 0.0
@@ -78,7 +84,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 60, l2: float
         rate = 0.02
         weight += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
         bias += rate * (b1 / (1 - 0.9**step)) / (b2**0.5 / (1 - 0.999**step) ** 0.5 + 1e-8)
-    return {"weight": (weight * ratio).astype(np.float32), "bias": bias}
+    full = np.zeros(1 << BITS, np.float32)
+    full[slots] = weight * ratio
+    return {"weight": full, "bias": bias}
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
