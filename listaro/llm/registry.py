@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from listaro.llm import exact_dedup, fingerprints, html_extraction, packing, quality, simhash, toxicity
+from listaro.llm import exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,10 +12,11 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_html_extraction": html_extraction.op6_html_extraction,
         "op7_simhash": simhash.op7_simhash,
+        "op8_suffix_array": substring_dedup.op8_suffix_array,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_packing": packing.OP3_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_packing": packing.OP3_SQL, "op8_suffix_array": substring_dedup.OP8_SQL}
