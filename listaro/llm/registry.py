@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from listaro.llm import exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, toxicity
+from listaro.llm import byte_bpe, exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, token_files, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_byte_bpe": byte_bpe.op2_byte_bpe,
         "op3_packing": packing.op3_packing,
+        "op4_token_files": token_files.op4_token_files,
         "op5_quality": quality.op5_quality,
         "op6_html_extraction": html_extraction.op6_html_extraction,
         "op7_simhash": simhash.op7_simhash,
