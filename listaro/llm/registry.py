@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from listaro.llm import byte_bpe, exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, token_files, toxicity
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_suffix_array": substring_dedup.op8_suffix_array,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -71,15 +71,31 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > total).view("<i8")[0]) if total else 0
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", shingle: int = 3, name: str = "fp") -> DataFrame:
-    """The columns of ``docs`` but the text, and the fingerprint as a long."""
-    others = [f for f in docs.schema.fields if f.name not in (text_col, name)]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{name}` bigint"])
+def word_set_fingerprint(text: str | None, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of the distinct lower-cased words.
+
+    An edited word changes one feature of it, but five of the five-word
+    shingles: texts whose five-word similarity is 0.8 are within few bits.
+    """
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return 0
+    hashes = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype="<u8")
+    ones = np.add.reduce(np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64), axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(words)).view("<i8")[0])
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", prints: dict | None = None) -> DataFrame:
+    """The columns of ``docs`` but the text, and fingerprints as longs; prints: name to function of a text."""
+    prints = prints or {"fp": fingerprint}
+    others = [f for f in docs.schema.fields if f.name != text_col and f.name not in prints]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *(f"`{n}` bigint" for n in prints)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(x.as_py(), shingle) for x in batch.column(len(others))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*(f.name for f in others), name])
+            texts = [x.as_py() for x in batch.column(len(others))]
+            found = [pa.array([make(t) for t in texts], pa.int64()) for make in prints.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *found], [*(f.name for f in others), *prints])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
@@ -159,6 +175,16 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     return edges
 
 
+def _component_ids(rows: DataFrame, fp: str, id_col: str, max_bits: int) -> DataFrame:
+    """(fp, component_id): the smallest id reachable from each fingerprint."""
+    fps = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first_id")), "simhash-fps")
+    member = components(links(fps, max_bits))
+    rooted = fps.join(member.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stage(rooted, "simhash-rooted")
+    firsts = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-firsts")
+    return stage(rooted.join(firsts, "root").select("fp", "component_id"), "simhash-named")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Every row of ``docs`` (without its text) with ``fp`` and ``component_id``, the smallest id reachable by links.
 
@@ -169,24 +195,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty result.
     """
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("fp", "component_id")])
-    rows = stage(with_fingerprints(docs, text_col, shingle), "simhash-rows")
-    fps = stage(rows.groupBy("fp").agg(F.min(id_col).alias("first_id")), "simhash-fps")
-    member = components(links(fps, max_bits))
-    rooted = fps.join(member.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stage(rooted, "simhash-rooted")
-    firsts = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-firsts")
-    named = stage(rooted.join(firsts, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(named, "fp")
+    rows = stage(with_fingerprints(docs, text_col, {"fp": lambda t: fingerprint(t, shingle)}), "simhash-rows")
+    return rows.join(_component_ids(rows, "fp", id_col, max_bits), "fp")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, max_bits: int = 3) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; same columns.
 
-    Rows whose id is null have no rank, and stay.
+    Texts are near copies if the fingerprints of their word sets are within
+    max_bits by any of the seeds, or if such links lead from one to the other.
+    Wordless texts are left alone. Ids are longs and unique; rows without one stay.
     """
-    groups = near_groups(docs.select(id_col, text_col), id_col, text_col, shingle, max_bits)
-    lost = groups.filter(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`").alias("lost_id_"))
-    return docs.join(lost, docs[id_col] == lost["lost_id_"], "left_anti")
+    prints = {f"fp{i}": (lambda t, seed=seed: word_set_fingerprint(t, seed)) for i, seed in enumerate(seeds)}
+    rows = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = stage(with_fingerprints(rows, "text", prints).filter("fp0 != 0"), "simhash-rows")
+    edges = None
+    for name in prints:
+        found = rows.join(_component_ids(rows, name, "id", max_bits).withColumnRenamed("fp", name), name)
+        found = found.filter("id != component_id").select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        edges = found if edges is None else edges.unionByName(found)
+    lost = components(edges).filter("node != root").select(F.col("node").alias("lost_id_"))
+    return docs.join(lost, F.col(f"`{id_col}`") == F.col("lost_id_"), "left_anti")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
