@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import reading
+from listaro.plans import nightly, reading
 
-PLANS = (reading,)
+PLANS = (reading, nightly)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
