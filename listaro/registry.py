@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import nightly, reading
+from listaro.plans import documents, nightly, reading
 
-PLANS = (reading, nightly)
+PLANS = (reading, nightly, documents)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
