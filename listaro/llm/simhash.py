@@ -16,8 +16,6 @@ bits, so all of them link to the smallest one, and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -106,9 +104,9 @@ def _segments(k: int) -> list[tuple[int, int, int]]:
     Segment s is needed only if all before it differ in two bits or more; at
     most k - 2s bits are left then, and with none left no bit need be wild.
     """
-    n = k // 2 + 1
+    n = max(2, k // 2 + 1)
     widths = [64 // n + (i < 64 % n) for i in range(n)]
-    return [(sum(widths[:i]), w, w if k - 2 * i else 1) for i, w in enumerate(widths)]
+    return [(sum(widths[:i]), w, w if k - 2 * i else 1) for i, w in enumerate(widths) if k >= 2 * i]
 
 
 def _variants(k: int):
@@ -136,17 +134,19 @@ def _first_slot(k: int):
 
 def _rekeyed(big: DataFrame, k: int) -> DataFrame:
     """Edges inside large buckets: all fingerprints of a bucket that agree but for k chosen bits."""
-    rows = None
-    for n, (shift, width, _) in enumerate(_segments(k)):
-        low = sum(v for _, _, v in _segments(k)[:n])
+    free, slot = [], 0
+    for shift, width, variants in _segments(k):
+        # The wild bit and the bits of the other segments are free; which k of them may differ is chosen here.
         outside = [b for b in range(64) if not shift <= b < shift + width]
-        for i in range(_segments(k)[n][2]):
-            # The wild bit and the bits of the other segments are free; which ones differ is chosen here.
-            free = [shift + i, *outside]
-            masks = [reduce(lambda m, b: m | 1 << b, c, 0) for c in combinations(free, k)]
-            signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-            one = big.filter(F.col("slot") == low + i).withColumn("mask", F.explode(F.array(*[F.lit(m) for m in signed])))
-            rows = one if rows is None else rows.unionByName(one)
+        for i in range(variants):
+            free.append((slot, [shift + i, *outside]))
+            slot += 1
+    # At most 64 rows, whatever the data.
+    bits = big.sparkSession.createDataFrame(free, "slot int, bits array<int>")
+    rows = big.join(F.broadcast(bits), "slot").withColumns({"mask": F.lit(0).cast("long"), "at": F.lit(-1)})
+    for _ in range(k):
+        rows = rows.filter(F.col("at") + 1 < F.size("bits")).withColumn("next", F.explode(F.sequence(F.col("at") + 1, F.size("bits") - 1)))
+        rows = rows.withColumn("mask", F.expr("mask | shiftleft(1L, bits[next])")).withColumn("at", F.col("next")).drop("next")
     rows = rows.select("key", "fp", "mask", F.expr("fp & ~mask").alias("rest"))
     leads = stage(rows.groupBy("key", "mask", "rest").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "simhash-leads")
     return rows.join(leads, ["key", "mask", "rest"]).filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v"))
