@@ -33,7 +33,7 @@ from listaro.staging import drop_stage, read_table, stage
 SPAN = 200
 GRAM = 40
 #: Bytes of contexts that a shard is planned for.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 19
 #: Contexts of one anchor beyond which they are counted string by string.
 ANCHOR_CONTEXTS = 8000
 #: Bytes of a text that are hashed at once.

@@ -19,7 +19,7 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     ends = np.cumsum(counts)
     starts = ends - counts
     large_count = np.bincount(s[~small], minlength=sigma)
-    sa = np.empty(n, np.int64)
+    sa = np.empty(n, np.int32)
     lms_counts = np.bincount(s[lms], minlength=sigma)
     lms_ends = np.cumsum(lms_counts)
 
@@ -106,15 +106,15 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     rising = s[:-1] < s[1:]
     flat = s[:-1] == s[1:]
     # A run of equal symbols has the type of what follows it; the last suffix is large.
-    turn = np.minimum.accumulate(np.where(flat, n - 1, np.arange(n - 1))[::-1])[::-1]
+    turn = np.minimum.accumulate(np.where(flat, n - 1, np.arange(n - 1)).astype(np.int32)[::-1])[::-1]
     small = np.append(np.append(rising, False)[turn], False)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s, minlength=sigma)
     if len(lms) > 1:
         by_symbol = lms[np.argsort(s[lms], kind="stable")]
         sa = _induce(s, small, by_symbol, counts)
-        number = np.full(n, -1, np.int64)
-        number[lms] = np.arange(len(lms))
+        number = np.full(n, -1, np.int32)
+        number[lms] = np.arange(len(lms), dtype=np.int32)
         order = number[sa]
         order = order[order >= 0]
         del sa
@@ -122,7 +122,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
         lengths = np.append(np.diff(lms) + 1, n + 2)
         names = _names(s, lms, lengths, order)
         if names[-1] + 1 < len(lms):
-            reduced = np.empty(len(lms), np.int64)
+            reduced = np.empty(len(lms), np.int32)
             reduced[order] = names
             order = suffix_array(reduced, int(names[-1]) + 1)
         lms = lms[order]
@@ -138,15 +138,15 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarray |
     right as far as it ends within ``most`` symbols of such a position.
     """
     n = len(s)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    text = np.append(s.astype(np.int64), -1)  # text[-1], before position 0 and at the end, differs from all symbols
-    own = np.arange(n)
+    text = np.append(s.astype(np.int32), np.int32(-1))  # text[-1], before position 0 and at the end, differs from all symbols
+    own = np.arange(n, dtype=np.int32)
     irreducible = (before < 1) | (own < 1) | (text[own - 1] != text[before - 1])
     if anew is not None:
         irreducible[anew] = True
     at = np.flatnonzero(irreducible & (before >= 0))
-    plcp = np.zeros(n, np.int64)
+    plcp = np.zeros(n, np.int32)
     alive, length = at, 0
     while len(alive) and length < most:
         a, b = alive + length, before[alive] + length
