@@ -91,12 +91,12 @@ def _words(text):
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
 
 
-def _sample(k: int) -> str:
-    """ln a of sample k for term hash ``h`` and log weight ``lw``; each hash gives three 21-bit uniforms."""
+def _sample(i: int) -> str:
+    """ln a of sample i for term hash ``h`` and log weight ``lw``; each hash gives three 21-bit uniforms."""
     def u(x: str, shift: int) -> str:
         return f"(((shiftrightunsigned({x}, {shift}) & 2097151L) + 0.5D) / 2097152D)"
 
-    x, y = f"xxhash64(h, {2 * k})", f"xxhash64(h, {2 * k + 1})"
+    x, y = f"xxhash64(h, {2 * i})", f"xxhash64(h, {2 * i + 1})"
     r, c, b = f"(-ln({u(x, 0)} * {u(x, 21)}))", f"(-ln({u(y, 0)} * {u(y, 21)}))", u(x, 42)
     return f"ln({c}) - {r} * (floor(lw / {r} + {b}) - {b} + 1D)"
 
@@ -116,11 +116,13 @@ def signatures(texts: DataFrame, group: str, key: list[str], variants: dict[str,
     masks = F.transform(uses, lambda w: F.struct(w.alias("w"), sum((F.when(F.col(f"w{i}") == w, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(variants))), F.lit(0)).alias("mask")))
     rows = weights.select(group, *key, "h", F.explode(masks).alias("use")).select(group, "h", "use.w", F.struct(*key, "use.mask").alias("holder"))
     shared = rows.groupBy(group, "h", "w").agg(F.collect_list("holder").alias("holders")).withColumn("lw", F.ln(F.col("w").cast("double")))
-    sampled = shared.select(group, "holders", *[F.expr(_sample(k)).alias(f"s{k}") for k in range(SAMPLES)])
-    held = sampled.select(group, F.explode("holders").alias("holder"), *[f"s{k}" for k in range(SAMPLES)])
-    sided = held.withColumn("side", F.explode(F.array(*[F.lit(i) for i in range(len(variants))]))).filter(F.col("holder.mask").bitwiseAND(F.expr("shiftleft(1, side)")) != 0)
-    least = sided.groupBy(group, *[F.col(f"holder.{c}").alias(c) for c in key], "side").agg(*[F.min(f"s{k}").alias(f"s{k}") for k in range(SAMPLES)])
-    digits = F.concat(*[F.lpad(F.hex(F.expr(f"xxhash64(s{k}) & 65535L")), 4, "0") for k in range(SAMPLES)])
+    # The list function keeps this projection out of the whole-stage loop: with all samples in it, that one
+    # method would be too long for the JVM to compile, and the explode and the minima below would be interpreted.
+    sides_of = F.flatten(F.transform("holders", lambda x: F.transform(F.filter(F.array(*[F.lit(i) for i in range(len(variants))]), lambda i: x["mask"].bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0), lambda i: F.struct(*[x[c].alias(c) for c in key], i.alias("side")))))
+    sampled = shared.select(group, sides_of.alias("holders"), *[F.expr(_sample(i)).alias(f"s{i}") for i in range(SAMPLES)])
+    held = sampled.select(group, F.explode("holders").alias("holder"), *[f"s{i}" for i in range(SAMPLES)])
+    least = held.groupBy(group, *[F.col(f"holder.{c}").alias(c) for c in key], F.col("holder.side").alias("side")).agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
+    digits = F.concat(*[F.lpad(F.hex(F.expr(f"xxhash64(s{i}) & 65535L")), 4, "0") for i in range(SAMPLES)])
     return (
         least.select(group, *key, "side", F.lower(digits).alias("digits"))
         .groupBy(group, *key)
@@ -130,11 +132,8 @@ def signatures(texts: DataFrame, group: str, key: list[str], variants: dict[str,
 
 def likeness(a, b):
     """Share of equal samples of two fingerprints, an estimate of the generalised Jaccard similarity of their words."""
-    equal = [(F.substring(a, 4 * k + 1, 4) == F.substring(b, 4 * k + 1, 4)).cast("int") for k in range(SAMPLES)]
-    total = equal[0]
-    for e in equal[1:]:
-        total = total + e
-    return total.cast("double") / SAMPLES
+    same = F.filter(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), lambda k: F.substring(a, 4 * k + 1, F.lit(4)) == F.substring(b, 4 * k + 1, F.lit(4)))
+    return F.size(same).cast("double") / SAMPLES
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
