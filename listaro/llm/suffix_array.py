@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Symbols beyond which a reduced string is written in two digits before it is sorted.
-MOST_SYMBOLS = 4096
+#: Symbols beyond which a reduced string is ranked by doubling: a walk through as many buckets would cost more.
+MOST_SYMBOLS = 1024
 
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -91,6 +91,22 @@ def _names(s: np.ndarray, lms: np.ndarray, lengths: np.ndarray, order: np.ndarra
     return np.concatenate(([0], np.cumsum(fresh)))
 
 
+def _by_doubling(s: np.ndarray) -> np.ndarray:
+    """The suffix array by ranks of prefixes of 1, 2, 4, ... symbols, until all ranks differ."""
+    n, width, rank = len(s), 1, np.asarray(s, np.int64)
+    while True:
+        key = rank * (int(rank.max()) + 2)
+        key[: n - width] += rank[width:] + 1
+        order = np.argsort(key, kind="stable" if width == 1 else None)
+        ordered = key[order]
+        names = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
+        if names[-1] == n - 1 or width >= n:
+            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = names
+        width *= 2
+
+
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     """The suffixes of ``s`` (symbols 0 to sigma - 1) in order; a suffix is smaller than its continuations."""
     s = np.asarray(s)
@@ -98,11 +114,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     if sigma > MOST_SYMBOLS:
-        base = int(sigma**0.5) + 1
-        digits = np.empty(2 * n, np.int32)
-        digits[0::2], digits[1::2] = s // base, s % base
-        sa = suffix_array(digits, base)
-        return sa[sa % 2 == 0] // 2
+        return _by_doubling(s)
     rising = s[:-1] < s[1:]
     flat = s[:-1] == s[1:]
     # A run of equal symbols has the type of what follows it; the last suffix is large.
