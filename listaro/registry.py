@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import documents, nightly, reading
+from listaro.plans import documents, more, nightly, reading
 
-PLANS = (reading, nightly, documents)
+PLANS = (reading, nightly, documents, more)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
