@@ -69,7 +69,8 @@ def score_outliers(rows: DataFrame, cfg: Config = CONFIG, threshold: int = 3) ->
     # One row per (postcode, value): at most max_minutes values, whatever the postcode's size.
     histogram = in_code.groupBy("postcode", "value").agg(F.count("*").alias("c"))
     lists = histogram.groupBy("postcode").agg(F.array_sort(F.collect_list(F.struct(F.col("value").cast("double").alias("v"), "c"))).alias("hist"), F.sum("c").alias("size"))
-    coded = in_code.select("id", "postcode", F.col("value").cast("double").alias("value")).join(lists, "postcode")
+    # What a row's peers look like depends on its postcode and value alone, so it is worked out once for each pair.
+    coded = histogram.select("postcode", F.col("value").cast("double").alias("value")).join(lists, "postcode")
     others = F.filter(F.transform("hist", lambda x: F.struct(x["v"].alias("v"), F.when(x["v"] == F.col("value"), x["c"] - 1).otherwise(x["c"]).alias("c"))), lambda x: x["c"] > 0)
     coded = coded.withColumn("others", others).withColumn("post_n", F.col("size") - 1).filter("post_n > 0")
     coded = coded.withColumn("median", weighted_median(F.col("others"), F.col("post_n")))
@@ -77,7 +78,7 @@ def score_outliers(rows: DataFrame, cfg: Config = CONFIG, threshold: int = 3) ->
     coded = coded.withColumn("mad", weighted_median(apart, F.col("post_n")))
     diff = F.abs(F.col("value") - F.col("median"))
     post_hit = (F.col("post_n") >= 6) & (diff >= F.greatest(F.lit(25.0), 2.5 * F.greatest("mad", F.lit(1.0)))) & (diff / F.greatest(F.abs("median"), F.lit(1.0)) >= 0.35)
-    post = coded.select("id", "post_n", post_hit.alias("post_hit"))
+    post = in_code.select("id", "postcode", F.col("value").cast("double").alias("value")).join(coded.select("postcode", "value", "post_n", post_hit.alias("post_hit")), ["postcode", "value"]).select("id", "post_n", "post_hit")
     scored = ok.select("id").join(local, "id", "left").join(post, "id", "left")
     score = F.when(F.coalesce("near_hit", F.lit(False)), 3).otherwise(0) + F.when(F.coalesce("post_hit", F.lit(False)), 2).otherwise(0)
     return scored.select("id", score.alias("score"), F.coalesce("near_n", F.lit(0)).alias("near_n"), F.coalesce("post_n", F.lit(0)).alias("post_n")).filter(F.col("score") >= threshold)
