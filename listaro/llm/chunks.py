@@ -1,59 +1,138 @@
-"""Texts as chunks that tokenize on their own, and a bounded memory of their codes.
+"""Texts as chunks that tokenize on their own, each distinct one coded once per worker.
 
-The public pattern (public_tokenizers.PATTERN) never joins a space to what
-comes before it, so a text may be cut before each space unless white space
-stands on both sides of one. A chunk is then coded once per worker and reused.
+The public pattern (public_tokenizers.PATTERN) takes runs of letters, of digits
+or of other signs, each with at most one space before it, and white space. So a
+text may be cut where such a run ends, and before each space unless white space
+stands on both sides of it. Cutting, finding the distinct chunks and putting
+their codes together are array operations; Python sees a distinct chunk of a
+batch once.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-import regex
 
-#: A worker forgets its chunks beyond this many.
-REMEMBERED = 250_000
-#: Texts of about so many characters are coded at once.
-CHARS_AT_ONCE = 4_000_000
-_ODD = regex.compile(r"\s \s|\s \Z")
+#: A worker remembers between this many chunks and half of it, those used last.
+REMEMBERED = 500_000
+REMEMBERED_BYTES = 1 << 26
+#: Texts of about so many bytes are coded at once.
+BYTES_AT_ONCE = 4_000_000
+_LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _WHITE, _OTHER = range(7)
+_CLASS = np.full(256, _OTHER, np.uint8)
+_CLASS[33:127] = _SIGN
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _LETTER
+_CLASS[39] = _QUOTE
+_CLASS[32] = _SPACE
+_CLASS[9:14] = _WHITE
+#: _ENDS[a, b]: a chunk ends between bytes of these classes. A quote may begin a contraction; beside bytes of other signs there is no cut, which is never wrong.
+_ENDS = np.zeros((8, 8), bool)
+_ENDS[_LETTER, [_DIGIT, _SIGN, _QUOTE, _WHITE]] = True
+_ENDS[_DIGIT, [_LETTER, _SIGN, _QUOTE, _WHITE]] = True
+_ENDS[_SIGN, [_LETTER, _DIGIT, _WHITE]] = True
+_ENDS[_WHITE, [_LETTER, _DIGIT, _SIGN, _QUOTE]] = True
+_ENDS = _ENDS.ravel()
+#: Bytes that may end, or begin, a white space character.
+_MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
+_MAY_END[[*range(9, 14), *range(28, 33), 0x85, 0x9F, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]] = True
+_MAY_BEGIN[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Chunks of a single run.
+one_run = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
-def chunks_of(text: str, pattern: regex.Pattern) -> list[str]:
-    """Strings that join to ``text`` and whose codes join to its codes."""
-    if _ODD.search(text):
-        return pattern.findall(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of an array of strings; null is empty."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    return at - at[0], held
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(chunks, firsts): the chunks of all texts in order, and the number of chunks before each text and at the end."""
+    offsets, data = _parts(texts)
+    n = len(data)
+    if n == 0:
+        return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
+    kind = _CLASS[data]
+    # Letters of two bytes whose first is C3: all but the signs for times and divided by.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] | 0x20) != 0xB7]
+    kind[lead] = kind[lead + 1] = _LETTER
+    edge = np.zeros(n + 1, bool)
+    edge[1:-1] = _ENDS[kind[:-1] << 3 | kind[1:]]
+    at = np.flatnonzero(data == 32)
+    after = _MAY_BEGIN[data[np.minimum(at + 1, n - 1)]]
+    # A space that ends its text has nothing behind it to belong to.
+    last = np.searchsorted(at, offsets[1:] - 1)
+    found = last < len(at)
+    found[found] = at[last[found]] == (offsets[1:] - 1)[found]
+    after[last[found]] = True
+    edge[at[~(_MAY_END[data[at - 1]] & after)]] = True
+    edge[offsets] = True
+    edges = np.flatnonzero(edge)
+    chunks = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+    return chunks, np.searchsorted(edges, offsets)
 
 
 class ChunkCodes:
-    """Codes of texts as lists of per-chunk values; ``code`` gets distinct new chunks and returns a value for each."""
+    """Codes of texts; ``code`` gets distinct new chunks and returns for each its ids as little-endian 32-bit integers, and the bytes they stand for (or None)."""
+
+    def __init__(self, code: Callable[[list[bytes]], list[tuple[bytes, bytes | None]]]):
+        self.code = code
+        self.recent: dict[bytes, tuple[bytes, bytes | None]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes | None]] = {}
+        self.held = 0
 
-    def __init__(self, pattern: str, code: Callable[[list[str]], list]):
-        self.pattern, self.code, self.known = regex.compile(pattern), code, {}
+    def _codes(self, chunks: list[bytes]) -> list[tuple[bytes, bytes | None]]:
+        recent, older = self.recent, self.older
+        missing = [c for c in chunks if c not in recent]
+        if missing:
+            fresh = [c for c in missing if c not in older]
+            recent.update({c: older[c] for c in missing if c in older})
+            if fresh:
+                recent.update(zip(fresh, self.code(fresh)))
+            self.held += sum(map(len, missing))
+        out = [recent[c] for c in chunks]
+        if len(recent) > REMEMBERED // 2 or self.held > REMEMBERED_BYTES // 2:
+            self.recent, self.older, self.held = {}, recent, 0
+        return out
 
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its chunks in order."""
-        cut = [chunks_of(t, self.pattern) for t in texts]
-        fresh = list(set().union(*cut) - self.known.keys()) if cut else []
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = list(set().union(*cut))
-        if fresh:
-            self.known.update(zip(fresh, self.code(fresh)))
-        get = self.known.__getitem__
-        return [list(map(get, c)) for c in cut]
+    def values(self, texts: pa.Array, decode: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
+        """(ends, ids, decoded): ids of all texts in order, the number of them before each text and at the end; decoded bytes of each text."""
+        chunks, firsts = cut(texts)
+        coded = chunks.dictionary_encode()
+        which = np.asarray(coded.indices)
+        codes = self._codes(coded.dictionary.to_pylist())
+        own = [c[0] for c in codes]
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat = np.frombuffer(b"".join(own), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes[which]
+        upto = np.concatenate(([0], np.cumsum(counts)))
+        at = np.repeat((begins[which] - upto[:-1]).astype(np.int32), counts)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = flat[at]
+        if not decode:
+            return upto[firsts], ids, None
+        texts_out = pa.array([c[1] for c in codes], pa.binary()).take(coded.indices)
+        _, offsets, data = texts_out.buffers()
+        stops = np.frombuffer(offsets, np.int32)[: len(texts_out) + 1][firsts] if len(texts_out) else np.zeros(len(firsts), np.int32)
+        return upto[firsts], ids, pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(stops)), data if data is not None else pa.py_buffer(b"")])
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of about CHARS_AT_ONCE of text; a longer text is a piece of its own."""
-    begin, held = 0, 0
-    for i, text in enumerate(batch.column(column)):
-        size = len(text.as_py() or "")
-        if i > begin and held + size > CHARS_AT_ONCE:
-            yield batch.slice(begin, i - begin)
-            begin, held = i, 0
-        held += size
-    if begin < batch.num_rows:
-        yield batch.slice(begin)
+    """The batch in pieces of about BYTES_AT_ONCE of text; a longer text is a piece of its own."""
+    if not batch.num_rows:
+        return
+    offsets, _ = _parts(batch.column(column))
+    begin = 0
+    while begin < batch.num_rows:
+        stop = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BYTES_AT_ONCE, side="right")) - 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop

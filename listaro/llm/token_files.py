@@ -6,9 +6,10 @@ is found and costs no other. Within a block, an order-2 context (the two ids
 before) and an order-1 context each predict one id. Their confidences and the
 recent hit rate (order 0) are mixed by an online logistic mixer into the
 probability of a hit; a miss is coded by an adaptive order-0 model of the id's
-bit length and its remaining bits. A carryless range coder turns each choice
-into bytes. All arithmetic is on integers, so files do not depend on a machine's
-floating point. All blocks of a shard are coded side by side in numpy.
+bit length and its remaining bits. A range coder turns each choice into bytes;
+carries are kept beside its words and added at the end. All arithmetic gives
+exact integers, so files do not depend on a machine's floating point. Up to
+LANES blocks of a shard are coded side by side in numpy.
 
 A file is a Parquet table whose rows are shards of whole documents, about
 SHARD_IDS ids each, in id order. A shard is one binary value:
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listaro.llm.chunks import ChunkCodes, slices
+from listaro.llm.chunks import ChunkCodes, one_run, slices
 from listaro.staging import read_table, shuffle_width, stage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,118 +44,107 @@ SHARD_IDS = 1 << 21
 MAGIC = b"LTOK"
 _NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sHII")
-#: Bits of coder state and of a probability scale.
-_MASK = np.uint64((1 << 48) - 1)
-_TOP = np.uint64(1 << 32)
-_LOW = np.uint64(1 << 24)
+#: Blocks coded side by side; it bounds the coder's memory, however long a document.
+LANES = 4096
+#: Bits of a choice's scale, of the coder's range and of a word of its output.
 _TOTAL = 1 << 16
+_FULL = 1 << 48
+_LOW = 1 << 32
 _CLASSES = 18
-_SLOTS2, _SLOTS1 = 1024, 512
-#: What the cumulative model of bit lengths moves towards when a length is seen.
-_STEPS = (np.arange(_CLASSES + 1)[None, :] > np.arange(_CLASSES)[:, None]).astype(np.int32) * 4096
+_SLOTS2, _SLOTS1 = 512, 256
+#: Steps after which the sizes of the bit lengths follow their counts.
+_FRESH = 32
 #: stretch(p) = ln(p / (1 - p)) * 256 and its inverse, as integer tables over p in 1/4096.
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 4088).astype(np.int32)
-_U16 = np.uint64(16)
+#: Bit lengths of ids below 2^17.
+_LENGTH = np.frexp(np.arange(1 << 17).astype(np.float64))[1].astype(np.int32)
 
 
 class _Model:
     """The models of ``lanes`` blocks; step t works on the first k lanes."""
 
     def __init__(self, lanes: int):
-        self.pred2 = np.zeros((lanes, _SLOTS2), np.int32)  # id << 2 | confidence, 0: none
-        self.pred1 = np.zeros((lanes, _SLOTS1), np.int32)
-        self.hit2 = np.full((lanes, 4), 1 << 15, np.int32)
-        self.hit1 = np.full((lanes, 4), 1 << 15, np.int32)
+        self.pred2 = np.zeros(lanes * _SLOTS2, np.int32)  # id << 2 | confidence, 0: none
+        self.pred1 = np.zeros(lanes * _SLOTS1, np.int32)
+        self.hit2 = np.full(lanes * 4, 1 << 15, np.int32)
+        self.hit1 = np.full(lanes * 4, 1 << 15, np.int32)
         self.hit0 = np.full(lanes, 1 << 15, np.int32)
-        self.weights = np.full((lanes, 3), 1 << 14, np.int32)
-        self.lengths = np.tile((np.arange(_CLASSES + 1) * 4096 // _CLASSES).astype(np.int32), (lanes, 1))
+        self.weights = [np.full(lanes, 1 << 14, np.int32) for _ in range(3)]
+        self.seen = np.ones((_CLASSES, lanes), np.int32)
+        self.cum = np.zeros((_CLASSES + 1, lanes), np.int32)
         self.last = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
-        self.all = np.arange(lanes)
-
-    def predict(self, k: int) -> np.ndarray:
-        """Cumulative sizes of the choices [order-2 hit, order-1 hit, bit lengths]: (k, 3 + _CLASSES) up to _TOTAL."""
-        lane = self.all[:k]
-        last, last2 = self.last[:k], self.last2[:k]
-        self.slot2 = ((last2 * 40503 + last * 2654435761) >> 9) & (_SLOTS2 - 1)
-        self.slot1 = (last * 40503 >> 4) & (_SLOTS1 - 1)
-        self.p2, self.p1 = self.pred2[lane, self.slot2], self.pred1[lane, self.slot1]
-        self.id2, self.id1 = self.p2 >> 2, self.p1 >> 2
-        self.c2, self.c1 = self.p2 & 3, self.p1 & 3
-        self.has2 = self.p2 > 0
+        self.lane = np.arange(lanes)
+        self.lane4, self.at2, self.at1 = self.lane * 4, self.lane * _SLOTS2, self.lane * _SLOTS1
+        self.step = 0
+
+    def predict(self, k: int) -> None:
+        """The sizes of the choices: an order-2 hit (size2), an order-1 hit (size1), and the rest, shared by the bit lengths (order 0)."""
+        if self.step % _FRESH == 0:
+            total = self.seen.sum(axis=0)
+            np.cumsum(self.seen * (4096 - _CLASSES) // total + 1, axis=0, out=self.cum[1:])
+        self.step += 1
+        last = self.last[:k]
+        self.slot2 = self.at2[:k] + ((self.last2[:k] * 40503 + last * 2654435761 >> 9) & (_SLOTS2 - 1))
+        self.slot1 = self.at1[:k] + ((last * 40503 >> 4) & (_SLOTS1 - 1))
+        self.p2, self.p1 = p2, p1 = self.pred2[self.slot2], self.pred1[self.slot1]
+        self.id2, self.id1 = p2 >> 2, p1 >> 2
+        self.c2, self.c1 = self.lane4[:k] + (p2 & 3), self.lane4[:k] + (p1 & 3)
+        self.h2, self.h1 = self.hit2[self.c2], self.hit1[self.c1]
+        self.has2 = p2 > 0
         agree = self.id1 == self.id2
-        self.has1 = (self.p1 > 0) & ~agree
-        self.in2 = _STRETCH[self.hit2[lane, self.c2] >> 4]
-        rate1 = self.hit1[lane, self.c1] >> 4
-        self.in1 = np.where(agree, _STRETCH[rate1], 0)
-        self.in0 = _STRETCH[self.hit0[:k] >> 4]
-        w = self.weights[:k]
-        dot = (w[:, 0].astype(np.int64) * self.in2 + w[:, 1].astype(np.int64) * self.in1 + w[:, 2].astype(np.int64) * self.in0) >> 16
-        self.p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        size2 = np.where(self.has2, self.p * 15, 0)
-        rest = _TOTAL - size2
-        size1 = np.where(self.has1, (rest - 1024) * np.clip(rate1, 8, 4088) >> 12, 0)
-        rest = rest - size1
-        cum = np.empty((k, 3 + _CLASSES), np.int64)
-        cum[:, 0] = 0
-        cum[:, 1] = size2
-        # One for each length, the rest by the model.
-        np.multiply(self.lengths[:k], (rest - _CLASSES)[:, None], out=cum[:, 2:])
-        cum[:, 2:] >>= 12
-        cum[:, 2:] += (_TOTAL - rest)[:, None] + np.arange(_CLASSES + 1)
-        return cum
-
-    def choice(self, ids: np.ndarray) -> np.ndarray:
-        """The choice that codes each id."""
-        length = np.frexp(ids.astype(np.float64))[1]  # bit length; exact for integers
-        return np.where(self.has2 & (self.id2 == ids), 0, np.where(self.has1 & (self.id1 == ids), 1, 2 + length))
-
-    def update(self, ids: np.ndarray, choice: np.ndarray) -> None:
+        rate1 = self.h1 >> 4
+        self.inputs = (_STRETCH[self.h2 >> 4], _STRETCH[rate1] * agree, _STRETCH[self.hit0[:k] >> 4])
+        w = self.weights
+        dot = (w[0][:k] * self.inputs[0] + w[1][:k] * self.inputs[1] + w[2][:k] * self.inputs[2]) >> 16
+        self.p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
+        self.size2 = self.p * 15 * self.has2
+        rest = _TOTAL - self.size2
+        self.has1 = (p1 > 0) & ~agree
+        self.size1 = ((rest - 1024) * np.minimum(np.maximum(rate1, 8), 4088) >> 12) * self.has1
+        self.from0 = self.size2 + self.size1
+        self.rest = _TOTAL - _CLASSES - self.from0
+
+    def literal(self, rows: np.ndarray, length) -> np.ndarray:
+        """Where the choice of bit length ``length`` begins in the lanes ``rows``: one for each length, the rest by the model."""
+        return self.from0[rows] + (self.cum[length, rows] * self.rest[rows] >> 12) + length
+
+    def length_at(self, k: int, offset: np.ndarray) -> np.ndarray:
+        """The bit length whose share of the rest holds ``offset``, in each lane."""
+        found, rest, part, within = np.zeros(k, np.int8), self.rest, np.empty(k, np.int32), np.empty(k, bool)
+        for c in range(1, _CLASSES):
+            np.multiply(self.cum[c, :k], rest, out=part)
+            np.right_shift(part, 12, out=part)
+            np.add(part, c, out=part)
+            np.less_equal(part, offset, out=within)
+            np.add(found, within, out=found, casting="unsafe")
+        return found.astype(np.int32)
+
+    def update(self, ids: np.ndarray, length: np.ndarray, literal: np.ndarray) -> None:
+        """Learn from the ids and their bit lengths; ``literal``: the lanes that neither prediction hit."""
         k = len(ids)
-        lane = self.all[:k]
-        hit = (choice == 0).astype(np.int32)
-        on = self.has2
-        miss = np.where(on, (hit << 12) - self.p, 0)
-        w = self.weights[:k]
-        for i, x in enumerate((self.in2, self.in1, self.in0)):
-            w[:, i] += (x * miss) >> 9
-        np.clip(w, -(1 << 18), 1 << 18, out=w)
-        scaled = hit * 65535
-        self.hit2[lane, self.c2] += np.where(on, (scaled - self.hit2[lane, self.c2]) >> 5, 0)
-        self.hit0[:k] += (scaled - self.hit0[:k]) >> 6
-        hit1 = ((self.p1 > 0) & (self.id1 == ids)).astype(np.int32) * 65535
-        tried = self.p1 > 0
-        self.hit1[lane, self.c1] += np.where(tried, (hit1 - self.hit1[lane, self.c1]) >> 5, 0)
-        literal = choice >= 2
-        rows = lane[literal]
-        seen = self.lengths[rows]
-        self.lengths[rows] = seen + ((_STEPS[choice[literal] - 2] - seen) >> 5)
-        for table, slot, p in ((self.pred2, self.slot2, self.p2), (self.pred1, self.slot1, self.p1)):
+        right2, right1 = self.id2 == ids, self.id1 == ids
+        hit = (right2 & self.has2) * np.int32(65535)
+        miss = ((hit >> 4) - self.p) * self.has2
+        for w, x in zip(self.weights, self.inputs):
+            now = w[:k]
+            now += x * miss >> 9
+            np.minimum(now, 1 << 18, out=now)
+            np.maximum(now, -(1 << 18), out=now)
+        # Confidence 0 stands for no prediction; its rate is never used.
+        self.hit2[self.c2] = self.h2 + (hit - self.h2 >> 5)
+        self.hit1[self.c1] = self.h1 + (right1 * np.int32(65535) - self.h1 >> 5)
+        self.hit0[:k] += hit - self.hit0[:k] >> 6
+        self.seen[length[literal], literal] += 8
+        fresh = (ids << 2 | 1).astype(np.int32)
+        for table, slot, p, right in ((self.pred2, self.slot2, self.p2, right2), (self.pred1, self.slot1, self.p1, right1)):
             sure = p & 3
-            right = (p >> 2) == ids
-            table[lane, slot] = np.where((p > 0) & right, (ids << 2) | np.minimum(sure + 1, 3), np.where(sure > 1, p - 1, (ids << 2) | 1))
+            table[slot] = np.where(right & (sure > 0), p + (sure < 3), np.where(sure > 1, p - 1, fresh))
         self.last2[:k] = self.last[:k]
         self.last[:k] = ids
 
 
-def _shift(low, size, emit) -> None:
-    """Move whole words out of the coder until each range is wide enough; ``emit`` takes the lanes and their top words."""
-    while True:
-        settled = (low ^ ((low + size) & _MASK)) < _TOP
-        # A carry can not settle: the range is cut at the next boundary.
-        narrow = ~settled & (size < _LOW)
-        go = np.flatnonzero(settled | narrow)
-        if not len(go):
-            return
-        cut = np.flatnonzero(narrow)
-        if len(cut):
-            size[cut] = (np.uint64(0) - low[cut]) & (_LOW - np.uint64(1))
-        emit(go, low[go] >> np.uint64(32))
-        low[go] = (low[go] << _U16) & _MASK
-        size[go] = (size[go] << _U16) & _MASK
-
-
 def _lanes(lengths: list[int]) -> tuple[np.ndarray, list[int]]:
     """(order of the blocks, longest first; number of blocks longer than t for each step t)."""
     order = np.argsort(-np.array(lengths), kind="stable")
@@ -163,99 +153,139 @@ def _lanes(lengths: list[int]) -> tuple[np.ndarray, list[int]]:
     return order, np.searchsorted(-sorted_lengths, -np.arange(steps), side="left").tolist()
 
 
-def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded words of each block of ids (non-negative, below 2^17)."""
+def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     order, alive = _lanes([len(b) for b in blocks])
     n, steps = len(blocks), len(alive)
     ids = np.zeros((steps, n), np.int64)
     for lane, i in enumerate(order):
         ids[: len(blocks[i]), lane] = blocks[i]
     model = _Model(n)
-    low, size = np.zeros(n, np.uint64), np.full(n, _MASK)
-    words, used = np.zeros((n, 4 * steps + 8), np.uint16), np.zeros(n, np.int64)
-
-    def emit(go: np.ndarray, top: np.ndarray) -> None:
-        words[go, used[go]] = top
-        used[go] += 1
+    low, size = np.zeros(n, np.int64), np.full(n, _FULL, np.int64)
+    # Words hold a carry above their 16 bits until the end. A step writes two words at most.
+    words, used = np.zeros(n * (2 * steps + 4), np.int32), model.lane * (2 * steps + 4)
+
+    def shift(rows: np.ndarray) -> None:
+        """Move a word out of the lanes whose range has become small; one always suffices."""
+        go = rows[size[rows] < _LOW]
+        if len(go):
+            words[used[go]] = low[go] >> 32
+            used[go] += 1
+            low[go] = (low[go] & (_LOW - 1)) << 16
+            size[go] <<= 16
 
     for t in range(steps):
         k = alive[t]
-        now, lo, sz = ids[t, :k], low[:k], size[:k]
-        cum = model.predict(k)
-        choice = model.choice(now)
-        begin = cum[model.all[:k], choice]
-        width = cum[model.all[:k], choice + 1] - begin
-        unit = sz >> _U16
-        lo[:] = (lo + begin.astype(np.uint64) * unit) & _MASK
-        sz[:] = width.astype(np.uint64) * unit
-        _shift(lo, sz, emit)
-        bits = np.maximum(choice - 3, 0)
-        literal = np.flatnonzero(bits)
-        if len(literal):
-            b = bits[literal].astype(np.uint64)
-            l2, s2 = lo[literal], sz[literal] >> b
-            l2 = (l2 + (now[literal].astype(np.uint64) & ((np.uint64(1) << b) - np.uint64(1))) * s2) & _MASK
-            _shift(l2, s2, lambda go, top: emit(literal[go], top))
-            lo[literal], sz[literal] = l2, s2
-        model.update(now, choice)
+        now, rows = ids[t, :k], model.lane[:k]
+        model.predict(k)
+        length = _LENGTH[now]
+        hit2 = model.has2 & (model.id2 == now)
+        hit1 = model.has1 & (model.id1 == now) & ~hit2
+        begin, end = model.size2 * hit1, model.size2 * hit2 + model.from0 * hit1
+        literal = np.flatnonzero(~(hit2 | hit1))
+        bits = length[literal]
+        begin[literal] = model.literal(literal, bits)
+        end[literal] = model.literal(literal, bits + 1)
+        unit = size[:k] >> 16
+        low[:k] += begin * unit
+        size[:k] = (end - begin) * unit
+        shift(rows)
+        more = literal[bits > 1]
+        if len(more):
+            b = length[more].astype(np.int64) - 1
+            part = size[more] >> b
+            low[more] += (now[more] & ((1 << b) - 1)) * part
+            size[more] = part
+            shift(more)
+        model.update(now, length, literal)
     for _ in range(3):
-        emit(model.all, low >> np.uint64(32))
-        low = (low << _U16) & _MASK
+        words[used] = low >> 32
+        used += 1
+        low = (low & (_LOW - 1)) << 16
+    table = words.reshape(n, -1)
+    counts = used - model.lane * table.shape[1]
+    for i in range(table.shape[1] - 1, 0, -1):
+        table[:, i - 1] += table[:, i] >> 16
+    coded = table.astype("<u2")
     out: list[bytes] = [b""] * n
     for lane, i in enumerate(order):
-        out[i] = words[lane, : used[lane]].astype("<u2").tobytes()
+        out[i] = coded[lane, : counts[lane]].tobytes()
     return out
 
 
-def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
-    """The ids of each block."""
+def _decode_lanes(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     order, alive = _lanes(lengths)
     n, steps = len(coded), len(alive)
-    words = np.zeros((n, max([len(c) // 2 for c in coded], default=0) + 4 * 4), np.uint16)
+    width = max([len(c) // 2 for c in coded], default=0) + 4
+    words = np.zeros(n * width, np.uint16)
     for lane, i in enumerate(order):
         got = np.frombuffer(coded[i], "<u2")
-        words[lane, : len(got)] = got
+        words[lane * width : lane * width + len(got)] = got
     model = _Model(n)
-    low, size, used = np.zeros(n, np.uint64), np.full(n, _MASK), np.full(n, 3, np.int64)
-    code = (words[:, 0].astype(np.uint64) << np.uint64(32)) | (words[:, 1].astype(np.uint64) << _U16) | words[:, 2].astype(np.uint64)
-    ids = np.zeros((steps, n), np.int64)
-
-    def take(go: np.ndarray, top: np.ndarray) -> None:
-        code[go] = ((code[go] << _U16) & _MASK) | words[go, used[go]].astype(np.uint64)
-        used[go] += 1
+    # The code is held less the lower end of the range.
+    first = model.lane * width
+    code = words[first].astype(np.int64) << 32 | words[first + 1].astype(np.int64) << 16 | words[first + 2]
+    size, used = np.full(n, _FULL, np.int64), first + 3
+    last = n * width - 1
+    ids = np.zeros((steps, n), np.int32)
+
+    def shift(rows: np.ndarray) -> None:
+        go = rows[size[rows] < _LOW]
+        if len(go):
+            code[go] = code[go] << 16 | words[np.minimum(used[go], last)]
+            used[go] += 1
+            size[go] <<= 16
 
     for t in range(steps):
         k = alive[t]
-        lo, sz = low[:k], size[:k]
-        lane = model.all[:k]
-        cum = model.predict(k)
-        unit = sz >> _U16
-        value = np.minimum(((code[:k] - lo) & _MASK) // unit, np.uint64(_TOTAL - 1)).astype(np.int64)
-        choice = (cum[:, 1:] <= value[:, None]).sum(axis=1)
-        begin = cum[lane, choice]
-        width = cum[lane, choice + 1] - begin
-        lo[:] = (lo + begin.astype(np.uint64) * unit) & _MASK
-        sz[:] = width.astype(np.uint64) * unit
-        _shift(lo, sz, take)
-        now = np.where(choice == 0, model.id2, np.where(choice == 1, model.id1, choice - 2)).astype(np.int64)
-        bits = np.maximum(choice - 3, 0)
-        literal = np.flatnonzero(bits)
+        rows = model.lane[:k]
+        model.predict(k)
+        unit = size[:k] >> 16
+        # Both are integers below 2^48, so the rounded quotient never passes the next integer.
+        value = (code[:k] / unit).astype(np.int32)
+        np.minimum(value, _TOTAL - 1, out=value)
+        hit2 = value < model.size2
+        hit1 = ~hit2 & (value < model.from0)
+        begin, end = model.size2 * hit1, model.size2 * hit2 + model.from0 * hit1
+        now = np.where(hit2, model.id2, model.id1)
+        literal = np.flatnonzero(value >= model.from0)
+        length = np.zeros(k, np.int32)
         if len(literal):
-            b = bits[literal].astype(np.uint64)
-            l2, s2 = lo[literal], sz[literal] >> b
-            extra = ((code[literal] - l2) & _MASK) // s2
-            l2 = (l2 + extra * s2) & _MASK
-            _shift(l2, s2, lambda go, top: take(literal[go], top))
-            lo[literal], sz[literal] = l2, s2
-            now[literal] = ((np.uint64(1) << b) | extra).astype(np.int64)
+            bits = model.length_at(k, value - model.from0)[literal]
+            length[literal] = bits
+            begin[literal] = model.literal(literal, bits)
+            end[literal] = model.literal(literal, bits + 1)
+            now[literal] = bits > 0
+        code[:k] -= begin * unit
+        size[:k] = (end - begin) * unit
+        shift(rows)
+        more = literal[length[literal] > 1]
+        if len(more):
+            b = length[more].astype(np.int64) - 1
+            part = size[more] >> b
+            extra = code[more] // part
+            code[more] -= extra * part
+            size[more] = part
+            shift(more)
+            now[more] = (1 << b) | np.minimum(extra, (1 << b) - 1)
         ids[t, :k] = now
-        model.update(now, choice)
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        model.update(now, length, literal)
+    out: list[np.ndarray] = [np.empty(0, np.int32)] * n
+    columns = np.ascontiguousarray(ids.T)
     for lane, i in enumerate(order):
-        out[i] = ids[: lengths[i], lane]
+        out[i] = columns[lane, : lengths[i]]
     return out
 
 
+def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
+    """The coded words of each block of ids (non-negative, below 2^17)."""
+    return [c for i in range(0, len(blocks), LANES) for c in _encode_lanes(blocks[i : i + LANES])]
+
+
+def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+    """The ids of each block."""
+    return [b for i in range(0, len(coded), LANES) for b in _decode_lanes(coded[i : i + LANES], lengths[i : i + LANES])]
+
+
 def write_shard(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     """A shard of documents' ids (little-endian 32-bit integers), in the file format."""
     ids = np.frombuffer(b"".join(docs), "<u4")
@@ -305,22 +335,22 @@ class _Tokenizer:
 
             line_end = ids(["\n"])[0]
 
-            def code(chunks: list[str]) -> list[bytes]:
-                # Words without other white space are coded many at a time, on lines of their own: each line end is one id.
-                plain = [c for c in chunks if len(w := c.split()) == 1 and w[0] == c.removeprefix(" ")]
-                coded: dict[str, bytes] = {}
+            def code(chunks: list[bytes]) -> list[tuple[bytes, None]]:
+                # Single runs are coded many at a time, on lines of their own: each line end is one id.
+                plain = [c for c in chunks if one_run(c)]
+                coded: dict[bytes, bytes] = {}
                 groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)] if len(line_end) == 1 else []
-                for group, found in zip(groups, ids(["\n".join(g) for g in groups])):
+                for group, found in zip(groups, ids([b"\n".join(g).decode() for g in groups])):
                     stops = np.flatnonzero(found == line_end[0])
                     if len(stops) == len(group) - 1:
                         flat = found.tobytes()
                         edges = [0, *(4 * stops + 4).tolist(), len(flat) + 4]
                         coded.update((c, flat[a : b - 4]) for c, a, b in zip(group, edges, edges[1:]))
                 rest = [c for c in chunks if c not in coded]
-                coded.update((c, x.tobytes()) for c, x in zip(rest, ids(rest)))
-                return [coded[c] for c in chunks]
+                coded.update((c, x.tobytes()) for c, x in zip(rest, ids([c.decode("utf-8", "replace") for c in rest])))
+                return [(coded[c], None) for c in chunks]
 
-            cls._made[path] = ChunkCodes(public_tokenizers.PATTERN, code)
+            cls._made[path] = ChunkCodes(code)
         return cls._made[path]
 
 
@@ -329,7 +359,8 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Columns: part (place of the file's range of ids), first (ids of the part
     before this shard), n_tokens, shard. Documents are dealt by ranges of ids,
-    so the files in order of part and first hold all in order; null ids come first.
+    so the files in order of part and first hold all in order; null ids come first,
+    and rows of equal ids are in the order of their texts.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -347,9 +378,9 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         for batch in batches:
             for piece in slices(batch, 1):
-                texts = codes.values([x.as_py() or "" for x in piece.column(1)])
-                for doc_id, values in zip(piece.column(0).to_pylist(), texts):
-                    data = b"".join(values) + end
+                ends, flat, _ = codes.values(piece.column(1))
+                for doc_id, lo, hi in zip(piece.column(0).to_pylist(), ends.tolist(), ends[1:].tolist()):
+                    data = flat[lo:hi].tobytes() + end
                     n = len(data) // 4
                     if held and held_n + n > SHARD_IDS:
                         yield flush()
@@ -363,7 +394,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield flush()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    dealt = rows.repartitionByRange(shuffle_width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     return stage(dealt.mapInArrow(run, "part bigint, first bigint, n_tokens bigint, shard binary"), "token-files", rebalance=False)
 
 
