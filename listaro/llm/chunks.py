@@ -20,7 +20,7 @@ import pyarrow as pa
 REMEMBERED = 500_000
 REMEMBERED_BYTES = 1 << 26
 #: Texts of about so many bytes are coded at once.
-BYTES_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 12_000_000
 _LETTER, _DIGIT, _SIGN, _QUOTE, _SPACE, _WHITE, _OTHER = range(7)
 _CLASS = np.full(256, _OTHER, np.uint8)
 _CLASS[33:127] = _SIGN

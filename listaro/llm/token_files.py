@@ -4,8 +4,8 @@ Ids are cut into blocks of BLOCK_IDS. Each block is coded by itself: its models
 start afresh, and its ids' CRC-32 is checked when it is read, so a damaged block
 is found and costs no other. Within a block, an order-2 context (the two ids
 before) and an order-1 context each predict one id. Their confidences and the
-recent hit rate (order 0) are mixed by an online logistic mixer into the
-probability of a hit; a miss is coded by an adaptive order-0 model of the id's
+recent hit rate (order 0) are mixed by a logistic mixer, whose weights are
+learned as the block goes on, into the probability of a hit; a miss is coded by an adaptive order-0 model of the id's
 bit length and its remaining bits. A range coder turns each choice into bytes;
 carries are kept beside its words and added at the end. All arithmetic gives
 exact integers, so files do not depend on a machine's floating point. Up to
@@ -17,7 +17,7 @@ SHARD_IDS ids each, in id order. A shard is one binary value:
     magic "LTOK", version u16, documents u32, blocks u32
     per document: id i64 (the sentinel for null: -2^63), ids u32
     per block: ids u32, words u32, CRC-32 u32
-    the blocks' words, u16 each, little-endian as everything else
+    the blocks' words, u32 each, little-endian as everything else
 """
 
 from __future__ import annotations
@@ -45,101 +45,137 @@ MAGIC = b"LTOK"
 _NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sHII")
 #: Blocks coded side by side; it bounds the coder's memory, however long a document.
-LANES = 4096
-#: Bits of a choice's scale, of the coder's range and of a word of its output.
+LANES = 2048
+#: The scale of a choice, and the least that its last part keeps. The coder's range is from 2^32 to 2^64.
 _TOTAL = 1 << 16
-_FULL = 1 << 48
-_LOW = 1 << 32
+_KEPT = 1 << 12
+_WIDE = np.uint64(1 << 32)
+_U16, _U32 = np.uint64(16), np.uint64(32)
 _CLASSES = 18
 _SLOTS2, _SLOTS1 = 512, 256
-#: Steps after which the sizes of the bit lengths follow their counts.
-_FRESH = 32
+#: Steps after which the choices' sizes follow what was counted.
+_FRESH = 64
 #: stretch(p) = ln(p / (1 - p)) * 256 and its inverse, as integer tables over p in 1/4096.
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 4088).astype(np.int32)
 #: Bit lengths of ids below 2^17.
-_LENGTH = np.frexp(np.arange(1 << 17).astype(np.float64))[1].astype(np.int32)
+_LENGTH = np.frexp(np.arange(1 << 17).astype(np.float64))[1].astype(np.int64)
 
 
 class _Model:
-    """The models of ``lanes`` blocks; step t works on the first k lanes."""
+    """The models of ``lanes`` blocks; step t works on the first k lanes.
+
+    How often predictions of each confidence held is counted all the time; every
+    _FRESH steps the counts become probabilities, mixed in the logistic domain
+    with weights that follow the gradient of what was seen since.
+    """
 
     def __init__(self, lanes: int):
         self.pred2 = np.zeros(lanes * _SLOTS2, np.int32)  # id << 2 | confidence, 0: none
         self.pred1 = np.zeros(lanes * _SLOTS1, np.int32)
-        self.hit2 = np.full(lanes * 4, 1 << 15, np.int32)
-        self.hit1 = np.full(lanes * 4, 1 << 15, np.int32)
-        self.hit0 = np.full(lanes, 1 << 15, np.int32)
-        self.weights = [np.full(lanes, 1 << 14, np.int32) for _ in range(3)]
+        # Per lane and context (confidence of order 2, whether order 1 agrees): hits << 16 | trials of order 2; the same of order 1 by its confidence.
+        self.tried2 = np.zeros(lanes * 8, np.int32)
+        self.tried1 = np.zeros(lanes * 4, np.int32)
+        self.size2_of = np.zeros(lanes * 8, np.int32)
+        self.rate1_of = np.zeros(lanes * 4, np.int32)
+        self.total2, self.total1 = np.zeros((2, lanes, 8), np.int32), np.zeros((2, lanes, 4), np.int32)
+        self.weights = np.full((lanes, 3), 1 << 14, np.int32)
+        self.inputs, self.mixed = None, None
         self.seen = np.ones((_CLASSES, lanes), np.int32)
-        self.cum = np.zeros((_CLASSES + 1, lanes), np.int32)
+        self.seen_flat = self.seen.ravel()
+        self.cum = np.zeros((_CLASSES + 1, lanes), np.int16)
+        self.cum_flat = self.cum.ravel()
         self.last = np.zeros(lanes, np.int64)
         self.last2 = np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
-        self.lane4, self.at2, self.at1 = self.lane * 4, self.lane * _SLOTS2, self.lane * _SLOTS1
+        self.lane8, self.lane4, self.at2, self.at1 = self.lane * 8, self.lane * 4, self.lane * _SLOTS2, self.lane * _SLOTS1
         self.step = 0
 
+    def _renew(self) -> None:
+        """Probabilities and weights after what was seen since the last time."""
+        np.cumsum(self.seen * (4096 - _CLASSES) // self.seen.sum(axis=0) + 1, axis=0, out=self.cum[1:], dtype=np.int16)
+        tried2, tried1 = self.tried2.reshape(-1, 8), self.tried1.reshape(-1, 4)
+        new2, new1 = (tried2 >> 16, tried2 & 65535), (tried1 >> 16, tried1 & 65535)
+        if self.inputs is not None:
+            # Per context: hits less the hits that were expected, in 1/4096.
+            miss = (new2[0] << 12) - new2[1] * self.mixed
+            for i, x in enumerate(self.inputs):
+                self.weights[:, i] += (x * miss >> 12).sum(axis=1, dtype=np.int32)
+            np.clip(self.weights, -(1 << 18), 1 << 18, out=self.weights)
+        for total, new in ((self.total2, new2), (self.total1, new1)):
+            total -= total >> 2
+            total[0] += new[0] << 8
+            total[1] += new[1] << 8
+
+        def rate(hits: np.ndarray, trials: np.ndarray) -> np.ndarray:
+            return (hits * 8 + 512) // (trials // 512 + 2)
+
+        own = np.minimum(rate(*self.total2), 4095)
+        below = np.minimum(rate(*self.total1), 4095)
+        recent = np.minimum(rate(*self.total2.sum(axis=2)), 4095)
+        agree = _STRETCH[np.minimum(rate(self.total1[0].sum(axis=1), self.total1[1].sum(axis=1)), 4095)]
+        self.inputs = (_STRETCH[own], agree[:, None] * np.array([0, 1] * 4, np.int32), np.repeat(_STRETCH[recent][:, None], 8, axis=1))
+        dot = sum(self.weights[:, i : i + 1] * x for i, x in enumerate(self.inputs)) >> 16
+        self.mixed = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        size2 = self.mixed * 15
+        size2[:, :2] = 0  # confidence 0: no prediction
+        self.size2_of[:] = size2.ravel()
+        below = np.clip(below, 8, 4088)
+        below[:, 0] = 0
+        self.rate1_of[:] = below.ravel()
+        self.tried2[:] = 0
+        self.tried1[:] = 0
+
     def predict(self, k: int) -> None:
-        """The sizes of the choices: an order-2 hit (size2), an order-1 hit (size1), and the rest, shared by the bit lengths (order 0)."""
+        """The sizes of the choices: an order-2 hit (size2), an order-1 hit (up to from0), and the rest, shared by the bit lengths (order 0)."""
         if self.step % _FRESH == 0:
-            total = self.seen.sum(axis=0)
-            np.cumsum(self.seen * (4096 - _CLASSES) // total + 1, axis=0, out=self.cum[1:])
+            self._renew()
         self.step += 1
         last = self.last[:k]
         self.slot2 = self.at2[:k] + ((self.last2[:k] * 40503 + last * 2654435761 >> 9) & (_SLOTS2 - 1))
         self.slot1 = self.at1[:k] + ((last * 40503 >> 4) & (_SLOTS1 - 1))
         self.p2, self.p1 = p2, p1 = self.pred2[self.slot2], self.pred1[self.slot1]
         self.id2, self.id1 = p2 >> 2, p1 >> 2
-        self.c2, self.c1 = self.lane4[:k] + (p2 & 3), self.lane4[:k] + (p1 & 3)
-        self.h2, self.h1 = self.hit2[self.c2], self.hit1[self.c1]
-        self.has2 = p2 > 0
+        self.s2, self.s1 = p2 & 3, p1 & 3
         agree = self.id1 == self.id2
-        rate1 = self.h1 >> 4
-        self.inputs = (_STRETCH[self.h2 >> 4], _STRETCH[rate1] * agree, _STRETCH[self.hit0[:k] >> 4])
-        w = self.weights
-        dot = (w[0][:k] * self.inputs[0] + w[1][:k] * self.inputs[1] + w[2][:k] * self.inputs[2]) >> 16
-        self.p = _SQUASH[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
-        self.size2 = self.p * 15 * self.has2
-        rest = _TOTAL - self.size2
-        self.has1 = (p1 > 0) & ~agree
-        self.size1 = ((rest - 1024) * np.minimum(np.maximum(rate1, 8), 4088) >> 12) * self.has1
-        self.from0 = self.size2 + self.size1
-        self.rest = _TOTAL - _CLASSES - self.from0
-
-    def literal(self, rows: np.ndarray, length) -> np.ndarray:
-        """Where the choice of bit length ``length`` begins in the lanes ``rows``: one for each length, the rest by the model."""
-        return self.from0[rows] + (self.cum[length, rows] * self.rest[rows] >> 12) + length
+        self.c2 = self.lane8[:k] + (self.s2 * 2 + agree)
+        self.c1 = self.lane4[:k] + self.s1
+        self.size2 = self.size2_of[self.c2]
+        # Order 1 takes a share of what is left, unless it says the same.
+        share = (_TOTAL - _KEPT - self.size2) * self.rate1_of[self.c1] >> 12
+        self.from0 = self.size2 + share * ~agree
+        self.rest = _TOTAL - self.from0
+
+    def choice(self, hit2: np.ndarray, hit1: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, size) of what each lane chooses: a hit of order 2 or 1, or else the bit length of its id."""
+        at = length * len(self.lane) + self.lane[: len(length)]
+        low = self.from0 + (self.cum_flat[at] * self.rest >> 12)
+        high = self.from0 + (self.cum_flat[at + len(self.lane)] * self.rest >> 12)
+        begin = np.where(hit2, 0, np.where(hit1, self.size2, low))
+        end = np.where(hit2, self.size2, np.where(hit1, self.from0, high))
+        return begin.astype(np.uint64), (end - begin).astype(np.uint64)
 
     def length_at(self, k: int, offset: np.ndarray) -> np.ndarray:
         """The bit length whose share of the rest holds ``offset``, in each lane."""
-        found, rest, part, within = np.zeros(k, np.int8), self.rest, np.empty(k, np.int32), np.empty(k, bool)
+        # cum * rest >> 12 is at most the offset where cum is at most this:
+        bound = ((np.maximum(offset, 0) + 1 << 12) - 1) // self.rest
+        bound = bound.astype(np.int16)
+        found, within = np.zeros(k, np.int8), np.empty(k, bool)
         for c in range(1, _CLASSES):
-            np.multiply(self.cum[c, :k], rest, out=part)
-            np.right_shift(part, 12, out=part)
-            np.add(part, c, out=part)
-            np.less_equal(part, offset, out=within)
-            np.add(found, within, out=found, casting="unsafe")
-        return found.astype(np.int32)
+            np.less_equal(self.cum[c, :k], bound, out=within)
+            np.add(found, within.view(np.int8), out=found)
+        return found.astype(np.int64)
 
     def update(self, ids: np.ndarray, length: np.ndarray, literal: np.ndarray) -> None:
-        """Learn from the ids and their bit lengths; ``literal``: the lanes that neither prediction hit."""
+        """Learn from the ids and their bit lengths; ``literal``: where neither prediction hit."""
         k = len(ids)
         right2, right1 = self.id2 == ids, self.id1 == ids
-        hit = (right2 & self.has2) * np.int32(65535)
-        miss = ((hit >> 4) - self.p) * self.has2
-        for w, x in zip(self.weights, self.inputs):
-            now = w[:k]
-            now += x * miss >> 9
-            np.minimum(now, 1 << 18, out=now)
-            np.maximum(now, -(1 << 18), out=now)
-        # Confidence 0 stands for no prediction; its rate is never used.
-        self.hit2[self.c2] = self.h2 + (hit - self.h2 >> 5)
-        self.hit1[self.c1] = self.h1 + (right1 * np.int32(65535) - self.h1 >> 5)
-        self.hit0[:k] += hit - self.hit0[:k] >> 6
-        self.seen[length[literal], literal] += 8
-        fresh = (ids << 2 | 1).astype(np.int32)
-        for table, slot, p, right in ((self.pred2, self.slot2, self.p2, right2), (self.pred1, self.slot1, self.p1, right1)):
-            sure = p & 3
+        self.tried2[self.c2] += right2 * np.int32(65536) + np.int32(1)
+        self.tried1[self.c1] += right1 * np.int32(65536) + np.int32(1)
+        self.seen_flat[length * len(self.lane) + self.lane[:k]] += literal * np.int32(8)
+        fresh = ids << 2 | 1
+        for table, slot, p, sure, right in ((self.pred2, self.slot2, self.p2, self.s2, right2), (self.pred1, self.slot1, self.p1, self.s1, right1)):
+            # A hit makes surer, a miss less sure; a prediction that is not sure gives way.
             table[slot] = np.where(right & (sure > 0), p + (sure < 3), np.where(sure > 1, p - 1, fresh))
         self.last2[:k] = self.last[:k]
         self.last[:k] = ids
@@ -156,122 +192,97 @@ def _lanes(lengths: list[int]) -> tuple[np.ndarray, list[int]]:
 def _encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     order, alive = _lanes([len(b) for b in blocks])
     n, steps = len(blocks), len(alive)
-    ids = np.zeros((steps, n), np.int64)
-    for lane, i in enumerate(order):
-        ids[: len(blocks[i]), lane] = blocks[i]
+    by_lane = np.zeros((n, steps), np.int32)
+    for lane, i in enumerate(order.tolist()):
+        by_lane[lane, : len(blocks[i])] = blocks[i]
+    ids = np.ascontiguousarray(by_lane.T)
     model = _Model(n)
-    low, size = np.zeros(n, np.int64), np.full(n, _FULL, np.int64)
-    # Words hold a carry above their 16 bits until the end. A step writes two words at most.
-    words, used = np.zeros(n * (2 * steps + 4), np.int32), model.lane * (2 * steps + 4)
-
-    def shift(rows: np.ndarray) -> None:
-        """Move a word out of the lanes whose range has become small; one always suffices."""
-        go = rows[size[rows] < _LOW]
-        if len(go):
-            words[used[go]] = low[go] >> 32
-            used[go] += 1
-            low[go] = (low[go] & (_LOW - 1)) << 16
-            size[go] <<= 16
+    low, size = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    # Words lie by place, then by lane. They hold 32 bits, and carries above them until the end.
+    words, used = np.zeros((steps + 3) * n, np.int64), np.zeros(n, np.int64)
 
     for t in range(steps):
         k = alive[t]
-        now, rows = ids[t, :k], model.lane[:k]
+        now, lo, sz = ids[t, :k], low[:k], size[:k]
         model.predict(k)
         length = _LENGTH[now]
-        hit2 = model.has2 & (model.id2 == now)
-        hit1 = model.has1 & (model.id1 == now) & ~hit2
-        begin, end = model.size2 * hit1, model.size2 * hit2 + model.from0 * hit1
-        literal = np.flatnonzero(~(hit2 | hit1))
-        bits = length[literal]
-        begin[literal] = model.literal(literal, bits)
-        end[literal] = model.literal(literal, bits + 1)
-        unit = size[:k] >> 16
-        low[:k] += begin * unit
-        size[:k] = (end - begin) * unit
-        shift(rows)
-        more = literal[bits > 1]
-        if len(more):
-            b = length[more].astype(np.int64) - 1
-            part = size[more] >> b
-            low[more] += (now[more] & ((1 << b) - 1)) * part
-            size[more] = part
-            shift(more)
+        hit2 = (model.size2 > 0) & (model.id2 == now)
+        hit1 = (model.from0 > model.size2) & (model.id1 == now)
+        literal = ~(hit2 | hit1)
+        begin, width = model.choice(hit2, hit1, length)
+        unit = sz >> _U16
+        # The bits below the first of an id that neither prediction hit follow as they are.
+        bits = np.maximum(length - 1, 0) * literal
+        part = width * unit >> bits.astype(np.uint64)
+        more = begin * unit + (now & ((1 << bits) - 1)).astype(np.uint64) * part
+        lo += more
+        over = np.flatnonzero(lo < more)
+        if len(over):
+            words[(used[over] - 1) * n + over] += 1
+        sz[:] = part
+        go = np.flatnonzero(part < _WIDE)
+        top = lo[go]
+        words[used[go] * n + go] = (top >> _U32).astype(np.int64)
+        used[go] += 1
+        lo[go] = top << _U32
+        sz[go] <<= _U32
         model.update(now, length, literal)
-    for _ in range(3):
-        words[used] = low >> 32
+    for _ in range(2):
+        words[used * n + model.lane] = (low >> _U32).astype(np.int64)
         used += 1
-        low = (low & (_LOW - 1)) << 16
-    table = words.reshape(n, -1)
-    counts = used - model.lane * table.shape[1]
-    for i in range(table.shape[1] - 1, 0, -1):
-        table[:, i - 1] += table[:, i] >> 16
-    coded = table.astype("<u2")
+        low <<= _U32
+    table = words.reshape(-1, n)
+    for i in range(len(table) - 1, 0, -1):
+        table[i - 1] += table[i] >> 32
+    coded = np.ascontiguousarray(table.astype("<u4").T)
     out: list[bytes] = [b""] * n
-    for lane, i in enumerate(order):
-        out[i] = coded[lane, : counts[lane]].tobytes()
+    for lane, (i, count) in enumerate(zip(order.tolist(), used.tolist())):
+        out[i] = coded[lane, :count].tobytes()
     return out
 
 
 def _decode_lanes(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     order, alive = _lanes(lengths)
     n, steps = len(coded), len(alive)
-    width = max([len(c) // 2 for c in coded], default=0) + 4
-    words = np.zeros(n * width, np.uint16)
-    for lane, i in enumerate(order):
-        got = np.frombuffer(coded[i], "<u2")
-        words[lane * width : lane * width + len(got)] = got
+    most = max([len(c) // 4 for c in coded], default=0) + 2
+    by_lane = np.zeros((n, most), np.uint32)
+    for lane, i in enumerate(order.tolist()):
+        got = np.frombuffer(coded[i], "<u4")
+        by_lane[lane, : len(got)] = got
+    words = np.ascontiguousarray(by_lane.T).ravel()
     model = _Model(n)
     # The code is held less the lower end of the range.
-    first = model.lane * width
-    code = words[first].astype(np.int64) << 32 | words[first + 1].astype(np.int64) << 16 | words[first + 2]
-    size, used = np.full(n, _FULL, np.int64), first + 3
-    last = n * width - 1
+    code = words[model.lane].astype(np.uint64) << _U32 | words[model.lane + n]
+    size, used = np.full(n, (1 << 64) - 1, np.uint64), np.full(n, 2, np.int64)
     ids = np.zeros((steps, n), np.int32)
 
-    def shift(rows: np.ndarray) -> None:
-        go = rows[size[rows] < _LOW]
-        if len(go):
-            code[go] = code[go] << 16 | words[np.minimum(used[go], last)]
-            used[go] += 1
-            size[go] <<= 16
-
     for t in range(steps):
         k = alive[t]
-        rows = model.lane[:k]
+        cd, sz = code[:k], size[:k]
         model.predict(k)
-        unit = size[:k] >> 16
-        # Both are integers below 2^48, so the rounded quotient never passes the next integer.
-        value = (code[:k] / unit).astype(np.int32)
-        np.minimum(value, _TOTAL - 1, out=value)
+        unit = sz >> _U16
+        value = np.minimum(cd // unit, np.uint64(_TOTAL - 1)).astype(np.int32)
         hit2 = value < model.size2
-        hit1 = ~hit2 & (value < model.from0)
-        begin, end = model.size2 * hit1, model.size2 * hit2 + model.from0 * hit1
-        now = np.where(hit2, model.id2, model.id1)
-        literal = np.flatnonzero(value >= model.from0)
-        length = np.zeros(k, np.int32)
-        if len(literal):
-            bits = model.length_at(k, value - model.from0)[literal]
-            length[literal] = bits
-            begin[literal] = model.literal(literal, bits)
-            end[literal] = model.literal(literal, bits + 1)
-            now[literal] = bits > 0
-        code[:k] -= begin * unit
-        size[:k] = (end - begin) * unit
-        shift(rows)
-        more = literal[length[literal] > 1]
-        if len(more):
-            b = length[more].astype(np.int64) - 1
-            part = size[more] >> b
-            extra = code[more] // part
-            code[more] -= extra * part
-            size[more] = part
-            shift(more)
-            now[more] = (1 << b) | np.minimum(extra, (1 << b) - 1)
+        literal = value >= model.from0
+        hit1 = ~(hit2 | literal)
+        length = model.length_at(k, value - model.from0) * literal
+        begin, width = model.choice(hit2, hit1, length)
+        bits = np.maximum(length - 1, 0)
+        part = width * unit >> bits.astype(np.uint64)
+        cd -= begin * unit
+        extra = np.minimum(cd // part, ((1 << bits) - 1).astype(np.uint64))
+        cd -= extra * part
+        sz[:] = part
+        now = np.where(hit2, model.id2, np.where(hit1, model.id1, (extra.astype(np.int64) | ((length > 0) << bits)).astype(np.int32)))
+        go = np.flatnonzero(part < _WIDE)
+        cd[go] = cd[go] << _U32 | words[np.minimum(used[go], most - 1) * n + go]
+        used[go] += 1
+        sz[go] <<= _U32
         ids[t, :k] = now
         model.update(now, length, literal)
     out: list[np.ndarray] = [np.empty(0, np.int32)] * n
     columns = np.ascontiguousarray(ids.T)
-    for lane, i in enumerate(order):
+    for lane, i in enumerate(order.tolist()):
         out[i] = columns[lane, : lengths[i]]
     return out
 
@@ -292,21 +303,21 @@ def write_shard(doc_ids: list[int | None], docs: list[bytes]) -> bytes:
     blocks = [ids[i : i + BLOCK_IDS] for i in range(0, len(ids), BLOCK_IDS)]
     coded = encode_blocks(blocks)
     index = np.array([(_NO_ID if d is None else d, len(x) // 4) for d, x in zip(doc_ids, docs)], "<i8,<u4")
-    directory = np.array([(len(b), len(c) // 2, zlib.crc32(b.tobytes())) for b, c in zip(blocks, coded)], "<u4,<u4,<u4")
-    return _HEAD.pack(MAGIC, 1, len(docs), len(blocks)) + index.tobytes() + directory.tobytes() + b"".join(coded)
+    directory = np.array([(len(b), len(c) // 4, zlib.crc32(b.tobytes())) for b, c in zip(blocks, coded)], "<u4,<u4,<u4")
+    return _HEAD.pack(MAGIC, 2, len(docs), len(blocks)) + index.tobytes() + directory.tobytes() + b"".join(coded)
 
 
 def read_shard(data: bytes) -> tuple[list[int | None], list[bytes]]:
     """(document ids, their token ids as little-endian 32-bit integers); raises ValueError on damage."""
     magic, version, n_docs, n_blocks = _HEAD.unpack_from(data)
-    if magic != MAGIC or version != 1:
+    if magic != MAGIC or version != 2:
         raise ValueError("not a token shard")
     at = _HEAD.size
     index = np.frombuffer(data, "<i8,<u4", n_docs, at)
     at += index.nbytes
     directory = np.frombuffer(data, "<u4,<u4,<u4", n_blocks, at)
     at += directory.nbytes
-    ends = at + 2 * np.concatenate(([0], np.cumsum(directory["f1"].astype(np.int64))))
+    ends = at + 4 * np.concatenate(([0], np.cumsum(directory["f1"].astype(np.int64))))
     blocks = decode_blocks([data[a:b] for a, b in zip(ends, ends[1:])], directory["f0"].astype(int).tolist())
     blocks = [b.astype("<u4").tobytes() for b in blocks]
     for i, (block, crc) in enumerate(zip(blocks, directory["f2"].tolist())):
