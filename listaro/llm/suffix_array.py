@@ -1,16 +1,19 @@
-"""Suffix arrays by induced sorting, and common prefixes in text order, in numpy.
-
-The steps of induced sorting are taken a bucket at a time: all suffixes that a
-bucket's present entries induce are placed at once, in a stable order by their
-first symbol, until the bucket brings no new ones.
+"""Suffix arrays by induced sorting, and common prefixes in text order.
+
+Suffixes are classified, leftmost-smaller substrings sorted and named, the
+string of their names sorted by the same function, and the rest induced. Where
+buckets are large, the steps of induction are array operations: all suffixes
+that a bucket's present entries induce are placed at once, in a stable order by
+their first symbol, until the bucket brings no new ones. Strings of names have
+many small buckets; there the walk goes entry by entry. Both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Symbols beyond which a reduced string is ranked by doubling: a walk through as many buckets would cost more.
-MOST_SYMBOLS = 1024
+#: Entries of a bucket, on average, from which it is walked by array operations.
+LARGE_BUCKET = 256
 
 
 def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -69,42 +72,71 @@ def _induce(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarra
     return sa
 
 
-def _names(s: np.ndarray, lms: np.ndarray, lengths: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Names of the sorted leftmost-smaller substrings: equal ones, and only they, share a name."""
-    a, b = order[:-1], order[1:]
-    la, lb = lengths[a], lengths[b]
-    fresh = la != lb
-    same = np.flatnonzero(~fresh)
-    if len(same):
-        # Compared in slices, so that memory stays bounded by the string.
-        size = la[same]
-        upto = np.cumsum(size)
-        slices = np.searchsorted(upto, np.arange(0, upto[-1], max(1, len(s))), side="left")
-        for lo, hi in zip(slices, [*slices[1:], len(same)]):
-            if lo == hi:
-                continue
-            part, width = same[lo:hi], size[lo:hi]
-            first = np.cumsum(width) - width
-            within = np.arange(width.sum()) - np.repeat(first, width)
-            differs = s[np.repeat(lms[a[part]], width) + within] != s[np.repeat(lms[b[part]], width) + within]
-            fresh[part] = np.logical_or.reduceat(differs, first)
-    return np.concatenate(([0], np.cumsum(fresh)))
-
-
-def _by_doubling(s: np.ndarray) -> np.ndarray:
-    """The suffix array by ranks of prefixes of 1, 2, 4, ... symbols, until all ranks differ."""
-    n, width, rank = len(s), 1, np.asarray(s, np.int64)
-    while True:
-        key = rank * (int(rank.max()) + 2)
-        key[: n - width] += rank[width:] + 1
-        order = np.argsort(key, kind="stable" if width == 1 else None)
-        ordered = key[order]
-        names = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        if names[-1] == n - 1 or width >= n:
-            return order
-        rank = np.empty(n, np.int64)
-        rank[order] = names
-        width *= 2
+def _names(s: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Names of the leftmost-smaller substrings, in text order: they rise with the substrings, and only equal ones share a name.
+
+    A substring ends with the first symbol of the next one; one that goes on
+    where another ends is the smaller of the two, as it still falls there. The
+    last one runs to the end of the string. As many symbols as fit a word are
+    compared at once, and only ties go on.
+    """
+    n, m = len(s), len(lms)
+    text = np.append(s.astype(np.int64) + 1, 0)
+    length = np.append(np.diff(lms) + 1, n - lms[-1] + 1)
+    bits = (sigma + 1).bit_length()
+    width = 63 // bits
+    rank, open_, done = np.zeros(m, np.int64), np.arange(m), 0
+    while len(open_):
+        at, left = lms[open_].astype(np.int64) + done, length[open_] - done
+        key = np.zeros(len(open_), np.int64)
+        for k in range(width):
+            key = key << bits | np.where(k < left, text[np.minimum(at + k, n)], sigma + 1)
+        order = np.argsort(key, kind="stable") if done == 0 else np.lexsort((key, rank[open_]))
+        key, group = key[order], rank[open_][order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+        heads = np.flatnonzero(fresh)
+        # A group's rank is the number of substrings before it.
+        base = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        offset = np.arange(len(order)) - np.repeat(base, np.diff(np.append(base, len(order))))
+        sizes = np.diff(np.append(heads, len(order)))
+        rank[open_[order]] = group + np.repeat(offset[heads], sizes)
+        done += width
+        tied = open_[order[np.repeat(sizes, sizes) > 1]]
+        open_ = tied[length[tied] > done]
+    return np.unique(rank, return_inverse=True)[1]
+
+
+def _induce_singly(s: np.ndarray, small: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The same as ``_induce``, entry by entry."""
+    n = len(s)
+    ends = np.cumsum(counts)
+    head, tail = (ends - counts).tolist(), ends.tolist()
+    before = np.append(-1, s[:-1])
+    # The bucket of the suffix that an entry induces in either walk; -1: none. Empty places hold 0, which induces none.
+    large_before = np.where(np.append(True, small[:-1]), -1, before).tolist()
+    small_before = np.where(np.append(False, small[:-1]), before, -1).tolist()
+    sa = [0] * n
+    for i, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
+        tail[c] -= 1
+        sa[tail[c]] = i
+    c = int(s[n - 1])  # the end of the string induces its last suffix
+    sa[head[c]] = n - 1
+    head[c] += 1
+    for i in sa:
+        c = large_before[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
+    tail = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        c = small_before[i]
+        if c >= 0:
+            to = tail[c] - 1
+            sa[to] = i - 1
+            tail[c] = to
+    return np.array(sa, np.int32)
 
 
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
@@ -113,8 +145,6 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     n = len(s)
     if n < 2:
         return np.arange(n)
-    if sigma > MOST_SYMBOLS:
-        return _by_doubling(s)
     rising = s[:-1] < s[1:]
     flat = s[:-1] == s[1:]
     # A run of equal symbols has the type of what follows it; the last suffix is large.
@@ -122,23 +152,13 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     small = np.append(np.append(rising, False)[turn], False)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     counts = np.bincount(s, minlength=sigma)
+    induce = _induce if n >= LARGE_BUCKET * sigma else _induce_singly
     if len(lms) > 1:
-        by_symbol = lms[np.argsort(s[lms], kind="stable")]
-        sa = _induce(s, small, by_symbol, counts)
-        number = np.full(n, -1, np.int32)
-        number[lms] = np.arange(len(lms), dtype=np.int32)
-        order = number[sa]
-        order = order[order >= 0]
-        del sa
-        # The last one runs to the end of the string, and equals no other.
-        lengths = np.append(np.diff(lms) + 1, n + 2)
-        names = _names(s, lms, lengths, order)
-        if names[-1] + 1 < len(lms):
-            reduced = np.empty(len(lms), np.int32)
-            reduced[order] = names
-            order = suffix_array(reduced, int(names[-1]) + 1)
+        names = _names(s, lms, sigma)
+        most = int(names.max()) + 1
+        order = np.argsort(names) if most == len(lms) else suffix_array(names, most)
         lms = lms[order]
-    return _induce(s, small, lms, counts)
+    return induce(s, small, lms, counts)
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, most: int, anew: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -150,9 +150,9 @@ def brute_removed(texts, span):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 8000])
+@pytest.mark.parametrize("hot", [1, 4000])
 def test_repeats_match_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring_dedup, "ANCHOR_CONTEXTS", hot)
+    monkeypatch.setattr(substring_dedup, "GROUP_CONTEXTS", hot)
     rng = random.Random(hot)
     base = ["".join(rng.choice("abcd efgé") for _ in range(1500)) for _ in range(6)]
     texts = list(ODD)
