@@ -1,8 +1,8 @@
 """HTML extraction by a tree-structured graphical model.
 
 The blocks of a page (elements that are not inline) form a tree. Each is
-content or not. Its own features (tag, names in class, id and role, length,
-link share, punctuation) give its potential, and a potential per kind of child
+content or not. Its own features (tag, the tag around it, names in class, id and
+role, length and part of the page's text, link share, punctuation) give its potential, and a potential per kind of child
 links it to its parent. Sum-product messages go up the tree and down again and
 give every block's probability of being content; text of blocks at 1/2 or more
 is the page's main text. The weights maximise the likelihood of the labelled
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import exp, log, log1p
 
@@ -27,11 +28,15 @@ from listaro.llm.labelled_pages import pages as labelled_pages
 from listaro.staging import read_table
 
 #: Elements that flow inside a block's text.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msub msup msqrt mtext q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 #: Elements whose text is never shown as text of the page.
-HIDDEN = frozenset("head template noscript svg math object canvas audio video map select datalist option button".split())
+HIDDEN = frozenset("head template noscript svg object canvas audio video map select datalist option button".split())
+#: Elements that a head may hold; any other one ends it.
+IN_HEAD = frozenset("head base link meta noscript script style template title".split())
+#: A page's tree is no deeper, as in browsers: what lies deeper counts as beside.
+DEPTH = 512
 #: A start tag of the key ends an open element of the values.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -56,12 +61,15 @@ NAMES = [
 ]
 NAME_RES = [(n, re.compile(rf"(?<![a-z0-9])(?:{r})(?![a-z0-9])")) for n, r in NAMES]
 KINDS = {**dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody pre blockquote figure figcaption".split(), 0), **dict.fromkeys("nav header footer aside form fieldset".split(), 2)}
-FEATURES = len(TAGS) + 1 + len(NAMES) + 5 + 6 + 4 + 1
+FEATURES = 2 * (len(TAGS) + 1) + len(NAMES) + 5 + 6 + 4 + 1 + 4
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(?:script|style|textarea|title|xmp|iframe|noembed|noframes)(?=[\s/>]).*?(?:</(?:script|style|textarea|title|xmp|iframe|noembed|noframes)\s*>|\Z)"""
     r"""|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""",
     re.S | re.I,
 )
+#: What opens a comment, a tag or an element of raw text, and what ends such a comment or element.
+UNENDED = re.compile(r"<(?=[a-zA-Z!?/])")
+ENDED = re.compile(r"(?:-->|</(?:script|style|textarea|title|xmp|iframe|noembed|noframes)\s*>|\A<[!?](?!--)[^>]*>)\Z", re.I)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|y)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 
 
@@ -74,7 +82,11 @@ class Page:
         self.tags, self.parents, self.names, self.marks = ["#page"], [-1], [""], [""]
         self.runs: list[tuple[int, str]] = []
         self.links: list[int] = [0]
-        stack, hidden, in_link, at = [0], [], 0, 0
+        # open_: how many elements of each tag are on the stack, so that none is looked for in vain.
+        stack, open_, hidden, in_link, at = [0], Counter(), [], 0, 0
+        last_end: dict[str, int] = {}
+        low = source.lower()
+        limit = source.rfind(">") + 1
         parts: list[str] = []
 
         def flush() -> None:
@@ -84,7 +96,13 @@ class Page:
                     self.runs.append((stack[-1], text))
                 parts.clear()
 
-        for token in TOKEN.finditer(source):
+        def close(i: int) -> None:
+            for block in stack[i:]:
+                open_[self.tags[block]] -= 1
+            del stack[i:]
+
+        raw = ""
+        for token in TOKEN.finditer(source, 0, limit):
             if token.start() > at and not hidden:
                 text = source[at : token.start()]
                 if "&" in text:
@@ -95,22 +113,27 @@ class Page:
             at = token.end()
             tag = token["tag"]
             if not tag:
+                raw = token[0]
                 continue
             tag = tag.lower()
             if hidden:
-                # Only the end of the hidden element, or a body that ends an open head, counts here.
+                # Only the end of the hidden element, or what ends an open head, counts here.
                 if tag == hidden[-1]:
                     if token["end"]:
                         hidden.pop()
                     elif tag not in ("head", "option"):
                         hidden.append(tag)
                     continue
-                if not (tag == "body" and hidden[0] == "head"):
+                if hidden != ["head"] or token["end"] or tag in IN_HEAD:
                     continue
                 hidden.clear()
             if tag in HIDDEN:
                 if not token["end"] and not token["attrs"].endswith("/"):
-                    hidden.append(tag)
+                    if tag not in last_end:
+                        last_end[tag] = low.rfind(f"</{tag}")
+                    # One that is never closed hides nothing, but for the head, which other elements end.
+                    if tag == "head" or last_end[tag] > at:
+                        hidden.append(tag)
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -123,22 +146,26 @@ class Page:
             if tag in VOID:
                 continue
             if token["end"]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+                if open_[tag]:
+                    i = len(stack) - 1
+                    while self.tags[stack[i]] != tag:
+                        i -= 1
+                    close(i)
                 continue
             if self.tags[stack[-1]] == "p":
-                stack.pop()
-            if ended := ENDS.get(tag):
+                close(len(stack) - 1)
+            ended = ENDS.get(tag)
+            if ended and any(open_[t] for t in ended):
                 scope = SCOPE.get(tag, ())
                 for i in range(len(stack) - 1, 0, -1):
                     open_tag = self.tags[stack[i]]
                     if open_tag in scope:
                         break
                     if open_tag in ended:
-                        del stack[i:]
+                        close(i)
                         break
+            if len(stack) > DEPTH:
+                close(len(stack) - 1)
             found = NAMED.findall(token["attrs"]) if "=" in token["attrs"] else ()
             self.tags.append(tag)
             self.parents.append(stack[-1])
@@ -147,8 +174,11 @@ class Page:
             self.links.append(0)
             if not token["attrs"].endswith("/"):
                 stack.append(len(self.tags) - 1)
-        if at < len(source) and not hidden:
-            parts.append(html_lib.unescape(source[at:]))
+                open_[tag] += 1
+        # The rest has no tag; a comment, script or tag that never ends takes what follows it along.
+        cut_off = at == limit and UNENDED.match(raw) and not ENDED.search(raw)
+        if at < len(source) and not hidden and not cut_off:
+            parts.append(html_lib.unescape(UNENDED.split(source[at:])[0]))
         flush()
 
     def features(self) -> list[list[int]]:
@@ -181,6 +211,10 @@ class Page:
             got.append(at + 11 + (0 if not s else 1 if s < 2 else 2 if s < 5 else 3))
             if own[i]:
                 got.append(at + 15)
+            # What part of the page's text it holds, and what it lies in.
+            part = length / size[0] if length else 0
+            got.append(at + 16 + (0 if part < 0.1 else 1 if part < 0.5 else 2 if part < 0.9 else 3))
+            got.append(at + 20 + (TAG_AT.get(self.tags[self.parents[i]], len(TAGS)) if i else len(TAGS)))
             out.append(got)
         return out
 
@@ -216,15 +250,20 @@ def _flip(pairs):
     return [[[p[0][0], p[1][0]], [p[0][1], p[1][1]]] for p in pairs]
 
 
+def labels(page: Page) -> list[int]:
+    """The labels of a labelled page's blocks: 1 for content. A page of nothing but text is content itself."""
+    label = [int(len(page.tags) == 1)] * len(page.tags)
+    for i in range(1, len(label)):
+        label[i] = int(page.marks[i]) if page.marks[i] else label[page.parents[i]]
+    return label
+
+
 def train(sources: list[str] | None = None, rounds: int = 80, rate: float = 0.15, l2: float = 0.002) -> dict:
     """Fit on labelled pages (attribute y, see labelled_pages) by Adam on the likelihood of all blocks' labels."""
     data = []
     for source in sources if sources is not None else labelled_pages():
         page = Page(source)
-        label = [0] * len(page.tags)
-        for i in range(1, len(label)):
-            label[i] = int(page.marks[i]) if page.marks[i] else label[page.parents[i]]
-        data.append((page, page.features(), label))
+        data.append((page, page.features(), labels(page)))
     size = FEATURES + 12
     theta, m1, m2 = [0.0] * size, [0.0] * size, [0.0] * size
     for step in range(1, rounds + 1):
@@ -273,7 +312,8 @@ def with_main_text(pages: DataFrame, model: dict, html_col: str = "html", name:
     """``pages`` with the main text in place of the html, and ``n_chars``, its code points.
 
     Defined cases: null and empty html give an empty text; a page without any
-    content block too; broken markup is read as far as it goes, as browsers do;
+    content block too; broken markup is read as far as it goes, as browsers do,
+    in time linear in the page; an element that is never closed hides nothing;
     other columns pass through (columns named as the results are replaced);
     repeated rows get the same text; an empty table gives an empty result.
     """
@@ -298,5 +338,6 @@ def docs_fields(pages: DataFrame, html_col: str, name: str) -> list[str]:
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """Every page's main text; the cases are defined as in ``with_main_text``."""
     pages = read_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return with_main_text(pages, train()).select("page_id", "url", "text", "n_chars")

@@ -36,6 +36,19 @@ TEMPLATES = [
     '<html><body><table><tr><td>{l}</td><td y="1"><h1>{s}</h1><p>{p}</p><p>{p}</p></td></tr></table></body></html>',
     '<html><body><h1 y="1">{s}</h1><p y="1">{p}</p><p y="1">{p}</p><p y="1">{p}</p></body></html>',
     '<html><body><ul class="breadcrumb">{i}</ul><h1 y="1">{s}</h1><p y="1">{p}</p><h2 y="1">{s}</h2><p y="1">{p}</p><div class="promo">{p}</div></body></html>',
+    # hardly anything but the text
+    '<html><body><article y="1"><p>{p}</p></article></body></html>',
+    '<html><body><p y="1">{p}</p></body></html>',
+    '<html><body><main y="1"><p>{s}.</p></main></body></html>',
+    '<html><body><div y="1"><p>{p}</p><p>{s}.</p></div></body></html>',
+    '<html><head><title>{s}<body><article y="1"><h1>{s}</h1><p>{p}</article></body></html>',
+    # fragments without a body; text without a mark around it is content of the page itself
+    '<p y="1">{p}</p>',
+    '<h1 y="1">{s}</h1><p y="1">{p}</p><p y="1">{p}</p>',
+    '<p y="1">{p}</p><p y="1">{s}.</p><ul y="0">{i}</ul>',
+    '<div y="0">{l}</div><p y="1">{p}</p><div class="footer" y="0">{s}</div>',
+    "{p}",
+    "{p} {p}<br>{p}",
     # only boilerplate
     '<html><body><nav><ul>{i}</ul></nav><form><label>{s}</label><input></form><footer><p>{s}</p></footer></body></html>',
     '<html><body><nav>{l}</nav><div class="notice">{p}</div><footer>{s}</footer></body></html>',
