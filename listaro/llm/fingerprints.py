@@ -7,11 +7,11 @@ the least ln a is the sample. ln a is itself a function of (term, t), so the
 least value names the sample, and two texts agree in a sample with a
 probability equal to their generalised Jaccard similarity.
 
-Plan: documents are dealt into groups of neighbours in id order, by one shuffle
-of the texts; all that follows stays in the group's partition. In a group each
-(term, weight) is sampled once and handed to the documents that have it, which
-is far cheaper than sampling per document. A group has a bounded number of
-documents, so no list is longer than that, however common the word.
+Plan: documents are dealt into ranges of ids by one shuffle of the texts; all
+that follows stays in a range's partition. There, groups of GROUP_DOCS
+neighbours are formed. In a group each (term, weight) is sampled once and handed
+to the documents that have it, which is far cheaper than sampling per document,
+and no list of holders is longer than a group, however common the word.
 """
 
 from __future__ import annotations
@@ -23,25 +23,26 @@ from listaro.staging import read_table, shuffle_width, stage
 
 SAMPLES = 64
 #: Documents of a group; it also bounds the documents that share a term's samples.
-GROUP_DOCS = 2048
+GROUP_DOCS = 8192
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
-def _id_groups(docs: DataFrame, id_col: str) -> tuple[list[int], DataFrame]:
-    """(splits, tops): ids at which a new group starts, and the largest id of each group.
+def _id_ranges(docs: DataFrame, id_col: str) -> tuple[list[int], DataFrame]:
+    """(splits, tops): ids at which a new range starts, and of each range g with rows its largest id and the next such range.
 
     The splits are quantiles of the ids, as many as the shuffle has use for:
     their number follows the session's partitions, like the bounds of a range partitioning.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"))
-    count = ids.count()
-    groups = max(1, min(-(-count // GROUP_DOCS), 4 * shuffle_width(docs.sparkSession)))
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"))
+    ranges = max(1, min(-(-ids.count() // GROUP_DOCS), 4 * shuffle_width(docs.sparkSession)))
     splits: list[int] = []
-    if groups > 1:
-        at = ids.agg(F.percentile_approx("id", [i / groups for i in range(1, groups)], max(10_000, 20 * groups)).alias("q")).first()["q"]
+    if ranges > 1:
+        at = ids.agg(F.percentile_approx("id", [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges)).alias("q")).first()["q"]
         splits = sorted(set(at or []))
     tops = ids.select("id", _group_of(F.col("id"), splits).alias("g")).groupBy("g").agg(F.max("id").alias("top"))
-    return splits, tops
+    # One row per range, so as few as a shuffle has partitions.
+    everything = Window.partitionBy(F.lit(0)).orderBy("g")
+    return splits, tops.select(F.col("g").alias("top_g"), "top", F.coalesce(F.lead("g").over(everything), F.first("g").over(everything)).alias("next_g"))
 
 
 def _group_of(id_column, splits: list[int]):
@@ -58,24 +59,22 @@ def _group_of(id_column, splits: list[int]):
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(g, place, visitor, doc_id, text, next_text): each text with that of the next lower id, the last with the first's.
 
-    The top document of each group also visits the group above it, whose last
-    document it follows (the topmost visits the first group), so that no other
+    The top document of each range also visits the range above it, whose last
+    document it follows (the topmost visits the lowest range), so that no other
     rows need meet. Equal ids are ordered by their texts; null ids come last.
     """
-    splits, tops = _id_groups(docs, id_col)
-    groups = tops.agg(F.max("g")).first()[0]
-    groups = (groups or 0) + 1
+    splits, tops = _id_ranges(docs, id_col)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("g", _group_of(F.col("doc_id"), splits))
-    # At most as many rows as groups, so never larger than a range partitioning's bounds.
-    tops = stage(tops.withColumn("is_top", F.lit(True)), "cws-tops")
-    rows = rows.join(F.broadcast(tops.withColumnRenamed("g", "top_g")), (F.col("g") == F.col("top_g")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
+    # At most as many rows as ranges, so never larger than a range partitioning's bounds.
+    tops = stage(tops, "cws-tops")
+    rows = rows.join(F.broadcast(tops), (F.col("g") == F.col("top_g")) & F.col("doc_id").eqNullSafe(F.col("top")), "left")
     homes = F.array(F.struct(F.lit(0).alias("visitor"), F.col("g").alias("to")))
-    visit = F.array(F.struct(F.lit(1).alias("visitor"), F.pmod(F.col("g") + 1, F.lit(groups)).alias("to")))
-    rows = rows.withColumn("home", F.explode(F.when(F.col("is_top"), F.concat(homes, visit)).otherwise(homes)))
+    visit = F.array(F.struct(F.lit(1).alias("visitor"), F.col("next_g").alias("to")))
+    rows = rows.withColumn("home", F.explode(F.when(F.col("next_g").isNotNull(), F.concat(homes, visit)).otherwise(homes)))
     rows = rows.select(F.col("home.to").alias("g"), F.col("home.visitor").alias("visitor"), "doc_id", "text")
     order = Window.partitionBy("g").orderBy("visitor", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.repartition("g").select("*", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
+    return rows.repartition("g").select("*", F.row_number().over(order).cast("long").alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
 def edited_text(text, next_text):
@@ -101,31 +100,42 @@ def _sample(i: int) -> str:
     return f"ln({c}) - {r} * (floor(lw / {r} + {b}) - {b} + 1D)"
 
 
-def signatures(texts: DataFrame, group: str, key: list[str], variants: dict[str, str]) -> DataFrame:
-    """One row per (group, key): for each variant (output name: text column) a fingerprint of SAMPLES * 4 hex digits.
+def signatures(texts: DataFrame, part: str, variants: dict[str, str]) -> DataFrame:
+    """One row per (part, place): for each of one or two variants (output name: text column) a fingerprint of SAMPLES * 4 hex digits.
 
-    ``texts`` must be partitioned by ``group``; a variant may be null, and its fingerprint is then null.
+    ``texts`` must be partitioned by ``part``; ``place`` is a long that numbers
+    its rows. A variant may be null, and its fingerprint is then null.
     """
     sides = [F.when(F.col(c).isNotNull(), F.transform(_words(F.col(c)), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")) for c in variants.values()]
-    parts = F.array(*[F.struct(F.lit(i).alias("side"), s.alias("hs")) for i, s in enumerate(sides)])
-    hashes = texts.select(group, *key, F.explode(parts).alias("part")).select(group, *key, "part.side", F.explode("part.hs").alias("h"))
-    counts = [F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(len(variants))]
-    weights = hashes.groupBy(group, *key, "h").agg(*counts)
-    # One entry per distinct weight of the term in the document, with the variants that have it.
-    uses = F.array_distinct(F.filter(F.array(*[F.col(f"w{i}") for i in range(len(variants))]), lambda w: w > 0))
-    masks = F.transform(uses, lambda w: F.struct(w.alias("w"), sum((F.when(F.col(f"w{i}") == w, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(variants))), F.lit(0)).alias("mask")))
-    rows = weights.select(group, *key, "h", F.explode(masks).alias("use")).select(group, "h", "use.w", F.struct(*key, "use.mask").alias("holder"))
-    shared = rows.groupBy(group, "h", "w").agg(F.collect_list("holder").alias("holders")).withColumn("lw", F.ln(F.col("w").cast("double")))
-    # The list function keeps this projection out of the whole-stage loop: with all samples in it, that one
-    # method would be too long for the JVM to compile, and the explode and the minima below would be interpreted.
-    sides_of = F.flatten(F.transform("holders", lambda x: F.transform(F.filter(F.array(*[F.lit(i) for i in range(len(variants))]), lambda i: x["mask"].bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0), lambda i: F.struct(*[x[c].alias(c) for c in key], i.alias("side")))))
-    sampled = shared.select(group, sides_of.alias("holders"), *[F.expr(_sample(i)).alias(f"s{i}") for i in range(SAMPLES)])
-    held = sampled.select(group, F.explode("holders").alias("holder"), *[f"s{i}" for i in range(SAMPLES)])
-    least = held.groupBy(group, *[F.col(f"holder.{c}").alias(c) for c in key], F.col("holder.side").alias("side")).agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
+    both = F.array(*[F.struct(F.lit(i).alias("side"), s.alias("hs")) for i, s in enumerate(sides)])
+    hashes = texts.select(part, "place", F.explode(both).alias("both")).select(part, "place", "both.side", F.explode("both.hs").alias("h"))
+    weights = hashes.groupBy(part, "place", "h").agg(*[F.count(F.when(F.col("side") == i, 1)).alias(f"w{i}") for i in range(2)])
+    # One entry per distinct weight of the term in the document, with the variants that have it: bit i for variant i.
+    w0, w1 = F.col("w0"), F.col("w1")
+
+    def use(w, mask: int):
+        return F.struct(w.alias("w"), F.lit(mask).alias("mask"))
+
+    uses = F.when(w0 == w1, F.array(use(w0, 3))).when(w1 == 0, F.array(use(w0, 1))).when(w0 == 0, F.array(use(w1, 2))).otherwise(F.array(use(w0, 1), use(w1, 2)))
+    group = F.floor(F.col("place") / GROUP_DOCS)
+    rows = weights.select(part, group.alias("group"), "h", "place", F.explode(uses).alias("use"))
+    rows = rows.select(part, "group", "h", "use.w", (F.col("place") * 4 + F.col("use.mask")).alias("holder"))
+    shared = rows.groupBy(part, "group", "h", "w").agg(F.collect_list("holder").alias("holders")).withColumn("lw", F.ln(F.col("w").cast("double")))
+    # The list function keeps this projection out of the whole-stage loop: with all samples in it, that one method
+    # is longer than the JVM compiles. On 300,000 rows a sample takes 1135 ns there and 164 ns here.
+    held = F.transform(F.array("holders"), lambda x: x)[0].alias("holders")
+    sampled = shared.select(part, held, *[F.expr(_sample(i)).alias(f"s{i}") for i in range(SAMPLES)])
+    handed = sampled.select(part, F.explode("holders").alias("holder"), *[f"s{i}" for i in range(SAMPLES)])
+    least = handed.groupBy(part, "holder").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
+    # Three rows a document at most, one for each set of variants; a variant has the least of its sets.
+    of_side = F.filter(F.array(*[F.lit(i) for i in range(len(variants))]), lambda i: F.col("mask").bitwiseAND(i + 1) != 0)
+    least = least.withColumns({"place": F.floor(F.col("holder") / 4), "mask": (F.col("holder") % 4).cast("int")})
+    least = least.select(part, "place", F.explode(of_side).alias("side"), *[f"s{i}" for i in range(SAMPLES)])
+    least = least.groupBy(part, "place", "side").agg(*[F.min(f"s{i}").alias(f"s{i}") for i in range(SAMPLES)])
     digits = F.concat(*[F.lpad(F.hex(F.expr(f"xxhash64(s{i}) & 65535L")), 4, "0") for i in range(SAMPLES)])
     return (
-        least.select(group, *key, "side", F.lower(digits).alias("digits"))
-        .groupBy(group, *key)
+        least.select(part, "place", "side", F.lower(digits).alias("digits"))
+        .groupBy(part, "place")
         .agg(*[F.max(F.when(F.col("side") == i, F.col("digits"))).alias(name) for i, name in enumerate(variants)])
     )
 
@@ -143,21 +153,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     unlike any other; repeated rows each appear; other columns are not looked at;
     an empty table gives an empty result; a very long text is one row of many words.
     """
-    width = shuffle_width(docs.sparkSession)
-    keyed = stage(docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_col}`").alias("doc_id")), "cws-ids")
-    texts = docs.select(F.monotonically_increasing_id().alias("place"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    texts = texts.withColumn("g", F.pmod(F.xxhash64("place"), F.lit(4 * width)).cast("int")).repartition("g")
-    return signatures(texts, "g", ["place"], {"fingerprint": "text"}).join(keyed, "place").select(F.col("doc_id").alias(id_col), "fingerprint")
+    # Numbered in a staged copy, so that both uses see the same numbers.
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("place"), F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")), "cws-rows", rebalance=False)
+    texts = rows.select(F.floor(F.col("place") / GROUP_DOCS).alias("part"), "place", "text").repartition("part")
+    return signatures(texts, "part", {"fingerprint": "text"}).join(rows.select("place", "doc_id"), "place").select(F.col("doc_id").alias(id_col), "fingerprint")
 
 
 def edits_compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document with its fingerprint, that of its edited text, and the likeness to it and to the next document.
 
-    The cases are defined as in ``fingerprints``; a single document is its own next one.
+    The cases are defined as in ``fingerprints``; a single document is its own next one;
+    of rows with equal ids each is the next of the one before it in the order of their texts.
     """
     rows = with_next(docs, id_col, text_col)
     edit = F.when(F.col("visitor") == 0, edited_text(F.col("text"), F.col("next_text")))
-    prints = signatures(rows.withColumn("edited", edit), "g", ["place"], {"fingerprint": "text", "edited_fingerprint": "edited"})
+    prints = signatures(rows.withColumn("edited", edit), "g", {"fingerprint": "text", "edited_fingerprint": "edited"})
     prints = prints.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("g").orderBy("place")))
     facts = rows.filter("visitor = 0").select(
         "g", "place", "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited_text(F.col("text"), F.col("next_text")).cast("binary"), 256).alias("edited_sha256")
@@ -171,4 +181,5 @@ def edits_compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Every document's fingerprints and likenesses; the cases are defined as in ``edits_compared``."""
     return edits_compared(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"))
