@@ -86,7 +86,7 @@ class _Model:
         self.cum = np.zeros((_CLASSES + 1, lanes), np.int16)
         self.cum_flat = self.cum.ravel()
         self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.mixed2 = np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
         self.lane8, self.lane4, self.at2, self.at1 = self.lane * 8, self.lane * 4, self.lane * _SLOTS2, self.lane * _SLOTS1
         self.step = 0
@@ -131,9 +131,9 @@ class _Model:
         if self.step % _FRESH == 0:
             self._renew()
         self.step += 1
-        last = self.last[:k]
-        self.slot2 = self.at2[:k] + ((self.last2[:k] * 40503 + last * 2654435761 >> 9) & (_SLOTS2 - 1))
-        self.slot1 = self.at1[:k] + ((last * 40503 >> 4) & (_SLOTS1 - 1))
+        self.slot2 = self.at2[:k] + ((self.mixed2[:k] + self.last[:k] * 2654435761 >> 9) & (_SLOTS2 - 1))
+        np.multiply(self.last[:k], 40503, out=self.mixed2[:k])  # also what the next step mixes in for the id before
+        self.slot1 = self.at1[:k] + ((self.mixed2[:k] >> 4) & (_SLOTS1 - 1))
         self.p2, self.p1 = p2, p1 = self.pred2[self.slot2], self.pred1[self.slot1]
         self.id2, self.id1 = p2 >> 2, p1 >> 2
         self.s2, self.s1 = p2 & 3, p1 & 3
@@ -177,7 +177,6 @@ class _Model:
         for table, slot, p, sure, right in ((self.pred2, self.slot2, self.p2, self.s2, right2), (self.pred1, self.slot1, self.p1, self.s1, right1)):
             # A hit makes surer, a miss less sure; a prediction that is not sure gives way.
             table[slot] = np.where(right & (sure > 0), p + (sure < 3), np.where(sure > 1, p - 1, fresh))
-        self.last2[:k] = self.last[:k]
         self.last[:k] = ids
 
 
@@ -342,7 +341,7 @@ class _Tokenizer:
             tokenizer.encode_special_tokens = True
 
             def ids(texts: list[str]) -> list[np.ndarray]:
-                return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+                return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
             line_end = ids(["\n"])[0]
 
