@@ -56,7 +56,11 @@ def test_stages(spark, tmp_path):
         firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or ""), r["doc_id"])
     assert ids[1] == set(firsts.values())
 
-    prints = [{r["doc_id"]: simhash.word_set_fingerprint(r["text"], seed) for r in exact} for seed in (simhash.SEED, simhash.SEED + 1)]
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + simhash.SHINGLE]) for i in range(max(1, len(w) - simhash.SHINGLE + 1))} if w else set()
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in exact}
     parent = {i: i for i in ids[1]}
     def find(i):
         while parent[i] != i:
@@ -64,7 +68,7 @@ def test_stages(spark, tmp_path):
         return i
     for a in ids[1]:
         for b in ids[1]:
-            if a < b and any(p[a] and p[b] and bin((p[a] ^ p[b]) & (2**64 - 1)).count("1") <= 3 for p in prints):
+            if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert ids[2] == {i for i in ids[1] if find(i) == i} and len(ids[2]) < len(ids[1])
@@ -89,3 +93,36 @@ def test_stages(spark, tmp_path):
 def test_run_gives_the_last_stage(spark, tmp_path):
     fixture(tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 100
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts and empty tables go through all stages."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64())])
+    labels = pa.schema([("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())])
+    rows = [(None, "a text without an id"), (1, None), (1, ""), (2, "b " * 300), (2, "b " * 300), (3, "c")]
+    for name, docs, known in (("empty", [], []), ("odd", [(i, t, None, None, None) for i, t in rows], [(1, 1, 0), (None, 0, None), (2, None, 0)])):
+        (tmp_path / name).mkdir()
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in docs], schema), f"{tmp_path}/{name}/documents.parquet")
+        pq.write_table(pa.Table.from_pylist([dict(zip(labels.names, r)) for r in known], labels), f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").count() <= len(docs)
+
+
+def test_near_copies_of_the_given_documents(spark):
+    """Of the pairs of sf0.01 and of edited copies of it with a five-word similarity of 0.8 or more, at least nine in ten are found."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").filter("length(text) between 300 and 3000").limit(200).toPandas()
+    rng, texts = random.Random(5), []
+    for text in sorted(set(given["text"]))[:150]:
+        words = text.split()
+        for edits in (0, len(words) // 60):
+            own = list(words)
+            for at in rng.sample(range(len(own)), edits):
+                own[at] = "edited" + str(rng.randrange(1000))
+            texts.append(" ".join(own))
+    sets = [simhash.shingle_hashes(t, simhash.SHINGLE) for t in texts]
+    similar = [(i, i + 1) for i in range(0, len(texts), 2) if len(np.intersect1d(sets[i], sets[i + 1])) >= 0.8 * len(np.union1d(sets[i], sets[i + 1]))]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = sum(j not in kept for _, j in similar)
+    assert len(similar) > 80 and found >= 0.9 * len(similar)
+    # What goes is similar to something: no text goes for its vocabulary alone.
+    for j in set(range(len(texts))) - kept:
+        assert any(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) for i in range(len(texts)) if i != j)
