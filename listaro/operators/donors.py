@@ -35,7 +35,7 @@ def assign_donors(rows: DataFrame, candidates: DataFrame, radius_m: float) -> Da
     return J.chain_roots(links.unionByName(moved)).select("id", F.col("root").alias("donor_id"))
 
 
-def estimate_growing(rows: DataFrame, radius_m: float, rounds: int = 1000) -> DataFrame:
+def estimate_growing(rows: DataFrame, radius_m: float) -> DataFrame:
     """(id, calls) where each row that finds no earlier caller near has to call, and can then be reused by later ones.
 
     In rounds: a row with a calling earlier neighbour reuses; a row whose
@@ -48,9 +48,7 @@ def estimate_growing(rows: DataFrame, radius_m: float, rounds: int = 1000) -> Da
     before = stage(J.radius_join(placed.select("id", "lat", "lng", "ord"), peers, radius_m).filter("peer_ord < ord").select("id", "peer_id"), "growing-pairs")
     state = stage(placed.join(before.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("calls")), "growing-state")
     open_rows = stage(before.select("id").distinct(), "growing-open")
-    for _ in range(rounds):
-        if open_rows.isEmpty():
-            break
+    while not open_rows.isEmpty():  # the earliest open row is always settled, so each round settles some
         seen = before.join(open_rows, "id", "left_semi").join(state.select(F.col("id").alias("peer_id"), "calls"), "peer_id", "left")
         by_row = seen.groupBy("id").agg(F.bool_or(F.coalesce("calls", F.lit(False))).alias("reuses"), F.bool_and(F.col("calls").isNotNull()).alias("settled"))
         new = stage(by_row.filter("reuses or settled").select("id", (~F.col("reuses")).alias("calls")), "growing-new")

@@ -77,25 +77,70 @@ def donor_candidates(rows: DataFrame, columns: tuple[str, ...] = ("brj", "mvv"))
     return rows.filter(ok)
 
 
-def chain_roots(links: DataFrame, rounds: int = 32) -> DataFrame:
-    """(id, root) for links (id, target): pointers are doubled until none moves; the members of a cycle root in its smallest."""
-    from listaro.staging import stage
-
-    current = stage(links.select("id", F.col("target").alias("root")), "chain")
-    for _ in range(rounds):
-        nxt = current.select(F.col("id").alias("root"), F.col("root").alias("beyond"))
-        stepped = stage(current.join(nxt, "root", "left").select("id", F.coalesce("beyond", "root").alias("root"), (F.col("beyond").isNotNull() & (F.col("beyond") != F.col("root"))).alias("moved")), "chain")
-        moved = not stepped.filter("moved").isEmpty()
-        current = stepped.select("id", "root")
-        if not moved:
-            break
-    return current
-
-
-def nearest_covering(listings: DataFrame, stations: DataFrame, default_m: float = 1000.0, max_m: float = 2000.0) -> DataFrame:
-    """(id, station_id, dist): the nearest station whose own radius covers the listing."""
+def chain_roots(links: DataFrame) -> DataFrame:
+    """(id, root) for links (id, target), one per id: the end of each chain; a cycle, and what leads into it, roots in its smallest member.
+
+    Pointers are doubled, each with the smallest id passed on its way. After as
+    many steps as there are links only cycles are left, walked round in full.
+    """
+    from listaro.staging import drop_stage, stage
+
+    current = stage(links.select("id", F.col("target").alias("at"), F.col("id").alias("low")), "chain")
+    steps, links_in_all = 1, current.count()
+    while True:
+        ahead = current.select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("low").alias("low_beyond"))
+        stepped = stage(current.join(ahead, "at", "left").select("id", F.coalesce("beyond", "at").alias("at"), F.least("low", "low_beyond").alias("low"), F.col("beyond").isNotNull().alias("open")), "chain")
+        drop_stage(current)
+        current, steps = stepped.select("id", "at", "low"), steps * 2
+        if stepped.filter("open").isEmpty():
+            return current.select("id", F.col("at").alias("root"))
+        if steps >= links_in_all:
+            lows = current.select(F.col("id").alias("at"), F.col("low").alias("cycle_low"))
+            return stepped.join(lows, "at", "left").select("id", F.when(F.col("open"), F.col("cycle_low")).otherwise(F.col("at")).alias("root"))
+
+
+def chain_value(nodes: DataFrame) -> DataFrame:
+    """(id, value) for nodes (id, target, value): the first value that is not null on the way from a node along its pointers, itself included.
+
+    Failure codes are values. A cycle without a value, like a chain's end, gives null.
+    """
+    from listaro.staging import drop_stage, stage
+
+    current, steps = stage(nodes.select("id", F.col("target").alias("at"), "value"), "chain-values"), 1
+    nodes_in_all = current.count()
+    while True:
+        if steps > nodes_in_all or current.filter("value is null and at is not null").isEmpty():
+            return current.select("id", "value")
+        ahead = current.select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("value").alias("next_value"))
+        stepped = stage(current.join(ahead, "at", "left").select("id", F.col("beyond").alias("at"), F.coalesce("value", "next_value").alias("value")), "chain-values")
+        drop_stage(current)
+        current, steps = stepped, steps * 2
+
+
+def one_per_root(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """One of the rows (with an id) of each root of (id, root): the root itself if it is among them, else the smallest id; rows without a root are their own."""
+    keyed = rows.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    return first_per_key(keyed, ["root"], (F.col("id") != F.col("root")).cast("int"), "id")
+
+
+def first_pool(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both candidate pools by id; of an id in both, the row of the first."""
+    return first.unionByName(second.join(first.select("id"), "id", "left_anti"))
+
+
+def nearest_covering(listings: DataFrame, stations: DataFrame, default_m: float = 1000.0) -> DataFrame:
+    """(id, station_id, dist): the nearest station whose own radius covers the listing.
+
+    Stations meet listings on a grid that fits their reach: one per doubling of it, however large.
+    """
     peers = stations.select(F.col("station_id").alias("peer_id"), F.col("lat").alias("peer_lat"), F.col("lng").alias("peer_lng"), F.coalesce(F.col("radius_m").cast("double"), F.lit(default_m)).alias("reach"))
-    pairs = radius_join(listings.select("id", "lat", "lng"), peers, max_m).filter("dist <= reach")
+    size = F.ceil(F.log2(F.greatest("reach", F.lit(1.0)))).cast("int")
+    # As many as there are doublings between the smallest and the largest reach.
+    sizes = sorted(r["size"] for r in peers.filter("reach is not null").select(size.alias("size")).distinct().collect())
+    places, pairs = listings.select("id", "lat", "lng"), None
+    for s in sizes or [0]:
+        found = radius_join(places, peers.filter(size == s), float(2**s)).filter("dist <= reach")
+        pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.groupBy("id").agg(F.min_by("peer_id", F.struct("dist", "peer_id")).alias("station_id"), F.min("dist").alias("dist"))
 
 

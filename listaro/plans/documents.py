@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listaro.functions import scalars as S
 from listaro.operators import aggregates as A
 from listaro.operators import donors as D
+from listaro.operators import filters as O
 from listaro.operators import joins as J
 from listaro.operators import prose as P
 from listaro.operators import publish as B
@@ -163,15 +164,19 @@ def estimate_growing(spark, d) -> DataFrame:
 
 
 @query(cte("listings", "geo") + """
+, r AS (SELECT l.*, CASE WHEN trim(coalesce(g.donor, '')) <> '' AND s.brj IS NOT NULL THEN s.brj ELSE g.brj END AS brj, CASE WHEN trim(coalesce(g.donor, '')) <> '' AND s.mvv IS NOT NULL THEN s.mvv ELSE g.mvv END AS mvv
+  FROM listings l LEFT JOIN geo g USING (id) LEFT JOIN geo s ON s.id = g.donor
+  WHERE active AND lower(trim(coalesce(status, ''))) NOT IN ('solgt', 'inaktiv') AND pris <= 7500000 AND bra_i >= 40)
 SELECT id, coalesce(trim(status), '') AS status, coalesce(trim(adresse), '') AS adresse, CASE WHEN postnummer IS NULL THEN '' ELSE lpad(postnummer, cast(greatest(4, length(postnummer)) AS INTEGER), '0') END AS postnummer,
   coalesce(pris, 0) AS pris, coalesce(CASE WHEN coalesce(bra_primary, bra_i, bra_total) > 0 THEN cast(round_even(pris::DOUBLE / coalesce(bra_primary, bra_i, bra_total)::DOUBLE, 0) AS BIGINT) END, 0) AS pris_kvm,
   coalesce(cast(bra_i AS VARCHAR), '') AS bra_i, coalesce(cast(bra_total AS VARCHAR), '') AS bra_total, coalesce(cast(byggeaar AS VARCHAR), '') AS byggeaar, coalesce(trim(boligtype), '') AS boligtype, coalesce(trim(eieform), '') AS eieform,
   coalesce(trim(energimerke), '') AS energimerke, coalesce(cast(brj AS VARCHAR), '') AS brj, coalesce(cast(mvv AS VARCHAR), '') AS mvv, trim(url) AS url, coalesce(trim(image_url), '') AS image_url
-FROM listings LEFT JOIN geo USING (id)
+FROM r
 """)
 def publish_active(spark, d) -> DataFrame:
-    rows = bound(spark, d, "listings").withColumn("pris_kvm", S.price_per_m2("pris", "bra_primary", "bra_i", "bra_total"))
-    return B.published(rows.join(bound(spark, d, "geo").select("id", "brj", "mvv"), "id", "left"))
+    """The visible active listings with donor-resolved commutes, in the published columns."""
+    rows = O.visible_active(bound(spark, d, "listings")).withColumn("pris_kvm", S.price_per_m2("pris", "bra_primary", "bra_i", "bra_total"))
+    return B.published(rows.join(J.resolve_donor(bound(spark, d, "geo")).select("id", "brj", "mvv"), "id", "left"))
 
 
 _LINES = "lines AS (SELECT s_suppkey AS station_id, 'L' || cast(n_nationkey AS VARCHAR) AS line FROM supplier JOIN nation ON s_suppkey % 5 = n_nationkey % 5 AND s_suppkey % 7 <> 0), travel AS (SELECT station_id, line, dest AS destination, CASE WHEN (station_id + length(line) + length(dest)) % 6 <> 0 THEN 5 + (station_id * 7 + length(dest)) % 60 END AS minutes FROM lines, (VALUES ('brj'), ('mvvx')) v(dest))"

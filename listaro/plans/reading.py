@@ -247,26 +247,20 @@ def coordinates(spark, d) -> DataFrame:
 
 
 @query(cte("listings") + """
-SELECT id, pris, row_number() OVER (ORDER BY pris ASC NULLS LAST, id) AS up, row_number() OVER (ORDER BY pris DESC NULLS LAST, id) AS down
-FROM listings QUALIFY up <= 500 OR down <= 500
+SELECT 'up' AS page, row_number() OVER (ORDER BY pris ASC NULLS LAST, id) AS place, id, pris FROM listings QUALIFY place <= 500
+UNION ALL SELECT 'down', row_number() OVER (ORDER BY pris DESC NULLS LAST, id) AS place, id, pris FROM listings QUALIFY place <= 500
 """)
 def sort_listings(spark, d) -> DataFrame:
-    """The first 500 rows of the table sorted by price either way; unknown prices are last in both."""
-    rows = bound(spark, d, "listings").select("id", "pris")
+    """The first 500 rows of the table sorted by price either way, with their places; unknown prices are last in both."""
     from pyspark.sql import Window
 
-    # A sorted page is a top-k: only its rows meet in one task.
-    up = rows.orderBy(F.col("pris").asc_nulls_last(), "id").limit(500)
-    down = rows.orderBy(F.col("pris").desc_nulls_last(), "id").limit(500)
-    ranked_up = up.withColumn("up", F.row_number().over(Window.orderBy(F.col("pris").asc_nulls_last(), "id")).cast("long"))
-    ranked_down = down.withColumn("down", F.row_number().over(Window.orderBy(F.col("pris").desc_nulls_last(), "id")).cast("long"))
-    wanted = ranked_up.select("id").union(ranked_down.select("id")).distinct()
-    # The other direction's place of a row is the number of rows before it, counted against the page's bounded keys.
-    keys = rows.join(F.broadcast(wanted), "id").select(F.col("id").alias("k_id"), F.col("pris").alias("k_pris"))
-    before_up = F.when(F.col("k_pris").isNull(), F.col("pris").isNotNull() | (F.col("id") < F.col("k_id"))).otherwise((F.col("pris") < F.col("k_pris")) | ((F.col("pris") == F.col("k_pris")) & (F.col("id") < F.col("k_id"))))
-    before_down = F.when(F.col("k_pris").isNull(), F.col("pris").isNotNull() | (F.col("id") < F.col("k_id"))).otherwise((F.col("pris") > F.col("k_pris")) | ((F.col("pris") == F.col("k_pris")) & (F.col("id") < F.col("k_id"))))
-    counted = rows.join(F.broadcast(keys), F.lit(True)).groupBy("k_id", "k_pris").agg((F.count_if(before_up) + 1).alias("up"), (F.count_if(before_down) + 1).alias("down"))
-    return counted.select(F.col("k_id").alias("id"), F.col("k_pris").alias("pris"), "up", "down")
+    rows = bound(spark, d, "listings").select("id", "pris")
+    pages = []
+    for page, price in (("up", F.col("pris").asc_nulls_last()), ("down", F.col("pris").desc_nulls_last())):
+        # A sorted page is a top-k: only its rows meet in one task.
+        top = rows.orderBy(price, "id").limit(500)
+        pages.append(top.select(F.lit(page).alias("page"), F.row_number().over(Window.orderBy(price, "id")).cast("long").alias("place"), "id", "pris"))
+    return pages[0].unionAll(pages[1])
 
 
 @query(cte("listings") + """

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import documents, more, nightly, reading
+from listaro.plans import documents, more, nightly, reading, rest
 
-PLANS = (reading, nightly, documents, more)
+PLANS = (reading, nightly, documents, more, rest)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

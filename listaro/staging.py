@@ -16,9 +16,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; a temporary one only where none is named and all runs on one machine (tests)."""
     found = spark.conf.get(KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} must name a folder that all machines of the cluster share")
         found = "file://" + tempfile.mkdtemp(prefix="listaro-")
         spark.conf.set(KEY, found)
     return found
