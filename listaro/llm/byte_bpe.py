@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listaro.llm.chunks import ChunkCodes, one_run, slices
+from listaro.llm.chunks import ChunkCodes, slices
 from listaro.staging import read_table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -200,9 +200,9 @@ class WordCoder:
         coded = dict(zip(short, self.contract(short))) | dict(zip(long, self.contract_long(long)))
         return [coded[w] if w not in parts else tuple(b"".join([coded[p][i] for p in parts[w]]) for i in (0, 1)) for w in words]
 
-    def chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def chunks(self, chunks: list[bytes], single: list[bool]) -> list[tuple[bytes, bytes]]:
         """The same for chunks, each of one or more words of the pattern."""
-        cut = {c: [w.encode("utf-8", "surrogatepass") for w in self.words.findall(c.decode("utf-8", "surrogatepass"))] for c in chunks if not one_run(c)}
+        cut = {c: [w.encode("utf-8", "surrogatepass") for w in self.words.findall(c.decode("utf-8", "surrogatepass"))] for c, one in zip(chunks, single) if not one}
         words = list(set(c for c in chunks if c not in cut).union(*cut.values()))
         coded = dict(zip(words, self.coded_words(words)))
         return [coded[c] if c not in cut else tuple(b"".join([coded[w][i] for w in cut[c]]) for i in (0, 1)) for c in chunks]

@@ -10,7 +10,6 @@ batch once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,10 +39,6 @@ _ENDS = _ENDS.ravel()
 _MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
 _MAY_END[[*range(9, 14), *range(28, 33), 0x85, 0x9F, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]] = True
 _MAY_BEGIN[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
-#: Chunks of a single run.
-one_run = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
-
-
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of an array of strings; null is empty."""
     texts = texts.cast(pa.binary()).fill_null(b"")
@@ -59,11 +54,7 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     n = len(data)
     if n == 0:
         return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
-    kind = _CLASS[data]
-    # Letters of two bytes whose first is C3: all but the signs for times and divided by.
-    lead = np.flatnonzero(data[:-1] == 0xC3)
-    lead = lead[(data[lead + 1] | 0x20) != 0xB7]
-    kind[lead] = kind[lead + 1] = _LETTER
+    kind = _kinds(data)
     edge = np.zeros(n + 1, bool)
     edge[1:-1] = _ENDS[kind[:-1] << 3 | kind[1:]]
     at = np.flatnonzero(data == 32)
@@ -80,23 +71,46 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return chunks, np.searchsorted(edges, offsets)
 
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    """The class of each byte."""
+    kind = _CLASS[data]
+    # Letters of two bytes whose first is C3: all but the signs for times and divided by.
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] | 0x20) != 0xB7]
+    kind[lead] = kind[lead + 1] = _LETTER
+    return kind
+
+
+def one_run(chunks: pa.Array) -> np.ndarray:
+    """Which of the chunks, as ``cut`` makes them, are one run of letters, digits or signs with at most one space before it."""
+    offsets, data = _parts(chunks)
+    kind = _kinds(data)
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets[:-1]] = True
+    # Where the class changes ``cut`` has cut, so what is neither in doubt nor a space inside is one run.
+    doubt = np.concatenate(([0], np.cumsum((kind >= _QUOTE) & ~((kind == _SPACE) & first[:-1]))))
+    size = np.diff(offsets)
+    return (doubt[offsets[1:]] == doubt[offsets[:-1]]) & (size > (data[np.minimum(offsets[:-1], max(len(data) - 1, 0))] == 32) if len(data) else size > 0)
+
+
 class ChunkCodes:
-    """Codes of texts; ``code`` gets distinct new chunks and returns for each its ids as little-endian 32-bit integers, and the bytes they stand for (or None)."""
+    """Codes of texts; ``code`` gets distinct new chunks, and which of them are a single run, and returns for each its ids as little-endian 32-bit integers, and the bytes they stand for (or None)."""
 
-    def __init__(self, code: Callable[[list[bytes]], list[tuple[bytes, bytes | None]]]):
+    def __init__(self, code: Callable[[list[bytes], list[bool]], list[tuple[bytes, bytes | None]]]):
         self.code = code
         self.recent: dict[bytes, tuple[bytes, bytes | None]] = {}
         self.older: dict[bytes, tuple[bytes, bytes | None]] = {}
         self.held = 0
 
-    def _codes(self, chunks: list[bytes]) -> list[tuple[bytes, bytes | None]]:
-        recent, older = self.recent, self.older
+    def _codes(self, distinct: pa.Array) -> list[tuple[bytes, bytes | None]]:
+        recent, older, chunks = self.recent, self.older, distinct.to_pylist()
         missing = [c for c in chunks if c not in recent]
         if missing:
             fresh = [c for c in missing if c not in older]
             recent.update({c: older[c] for c in missing if c in older})
             if fresh:
-                recent.update(zip(fresh, self.code(fresh)))
+                single = dict(zip(chunks, one_run(distinct).tolist()))
+                recent.update(zip(fresh, self.code(fresh, [single[c] for c in fresh])))
             self.held += sum(map(len, missing))
         out = [recent[c] for c in chunks]
         if len(recent) > REMEMBERED // 2 or self.held > REMEMBERED_BYTES // 2:
@@ -107,23 +121,19 @@ class ChunkCodes:
         """(ends, ids, decoded): ids of all texts in order, the number of them before each text and at the end; decoded bytes of each text."""
         chunks, firsts = cut(texts)
         coded = chunks.dictionary_encode()
-        which = np.asarray(coded.indices)
-        codes = self._codes(coded.dictionary.to_pylist())
-        own = [c[0] for c in codes]
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        flat = np.frombuffer(b"".join(own), "<u4")
-        begins = np.cumsum(sizes) - sizes
-        counts = sizes[which]
-        upto = np.concatenate(([0], np.cumsum(counts)))
-        at = np.repeat((begins[which] - upto[:-1]).astype(np.int32), counts)
-        at += np.arange(len(at), dtype=np.int32)
-        ids = flat[at]
+        codes = self._codes(coded.dictionary)
+
+        def joined(part: int) -> tuple[np.ndarray, pa.Buffer]:
+            """The codes of all chunks in a row, and where each text's begin."""
+            _, offsets, data = pa.array([c[part] for c in codes], pa.large_binary()).take(coded.indices).buffers()
+            return np.frombuffer(offsets, np.int64)[firsts], data if data is not None else pa.py_buffer(b"")
+
+        ends, ids = joined(0)
         if not decode:
-            return upto[firsts], ids, None
-        texts_out = pa.array([c[1] for c in codes], pa.binary()).take(coded.indices)
-        _, offsets, data = texts_out.buffers()
-        stops = np.frombuffer(offsets, np.int32)[: len(texts_out) + 1][firsts] if len(texts_out) else np.zeros(len(firsts), np.int32)
-        return upto[firsts], ids, pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(stops)), data if data is not None else pa.py_buffer(b"")])
+            return ends // 4, np.frombuffer(ids, "<u4", ends[-1] // 4), None
+        stops, data = joined(1)
+        decoded = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(stops)), data])
+        return ends // 4, np.frombuffer(ids, "<u4", ends[-1] // 4), decoded.cast(pa.binary())
 
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from listaro.llm.chunks import ChunkCodes, one_run, slices
+from listaro.llm.chunks import ChunkCodes, slices
 from listaro.staging import read_table, shuffle_width, stage
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,7 +54,7 @@ _U16, _U32 = np.uint64(16), np.uint64(32)
 _CLASSES = 18
 _SLOTS2, _SLOTS1 = 512, 256
 #: Steps after which the choices' sizes follow what was counted.
-_FRESH = 64
+_FRESH = 128
 #: stretch(p) = ln(p / (1 - p)) * 256 and its inverse, as integer tables over p in 1/4096.
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int32)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 8, 4088).astype(np.int32)
@@ -345,9 +345,9 @@ class _Tokenizer:
 
             line_end = ids(["\n"])[0]
 
-            def code(chunks: list[bytes]) -> list[tuple[bytes, None]]:
+            def code(chunks: list[bytes], single: list[bool]) -> list[tuple[bytes, None]]:
                 # Single runs are coded many at a time, on lines of their own: each line end is one id.
-                plain = [c for c in chunks if one_run(c)]
+                plain = [c for c, one in zip(chunks, single) if one]
                 coded: dict[bytes, bytes] = {}
                 groups = [plain[i : i + 2000] for i in range(0, len(plain), 2000)] if len(line_end) == 1 else []
                 for group, found in zip(groups, ids([b"\n".join(g).decode() for g in groups])):
