@@ -1,10 +1,11 @@
 """Packing into optimal length buckets.
 
-Lengths are rounded up to a grid whose steps grow with the length, so that the
-global histogram has a few thousand rows at most, however many documents there
-are. Dynamic programming over that histogram picks the bucket boundaries with
-the least padding. Inside a bucket, documents of like length form batches whose
-padded size keeps to a token budget.
+Dynamic programming over the global histogram of lengths picks the bucket
+boundaries with the least padding. The histogram has a row per distinct length,
+so it is bounded by the longest text and not by the number of documents; the
+cost is Monge, so each round of the programme is solved by halving, in time
+near-linear in the distinct lengths. Inside a bucket, documents of like length
+form batches whose padded size keeps to a token budget.
 
 A bucket may hold a third of all documents, so it is dealt into chunks of a
 bounded number of documents, and batches form inside chunks, each in one task.
@@ -20,8 +21,6 @@ from listaro.staging import read_table, stage
 
 BUCKETS = 16
 BATCH_TOKENS = 65_536
-#: Finest step of the length grid; larger lengths have 64 to 128 steps per doubling.
-STEP = 8
 CHUNK_DOCS = 4096
 CHUNK_BATCHES = 16
 
@@ -31,29 +30,31 @@ def word_count(text_col: str):
     return F.expr(f"coalesce(regexp_count(`{text_col}`, '[^\\\\x20\\\\x09-\\\\x0D]+'), 0)").cast("long")
 
 
-def grid_length(n: str) -> str:
-    """SQL for the grid's next length at or above ``n``; at least one step."""
-    step = f"greatest({STEP}L, shiftleft(1L, greatest(length(bin({n})) - 7, 0)))"
-    return f"(greatest({n}, 1L) + {step} - 1L) div {step} * {step}"
-
-
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
-    """The at most ``buckets`` boundaries (of the given, rising lengths) with the least total padding; of equal ones the lowest."""
+    """The at most ``buckets`` boundaries (of the given, rising lengths) with the least total padding; of equal ones the fewest, then the lowest."""
     n = len(lengths)
     if n <= buckets:
         return list(lengths)
     size = np.array(lengths, dtype=object if sum(counts) * lengths[-1] > 2**62 else np.int64)
     before = np.concatenate(([0], np.cumsum(np.array(counts, dtype=size.dtype))))
-    # cost[j]: least padded size of the first j lengths; each round allows one bucket more.
+    # cost[j]: least padded size of the first j + 1 lengths; each round allows one bucket more.
     cost = before[1:] * size
     came_from = []
     for _ in range(buckets - 1):
         best, source = cost.copy(), np.full(n, -1)
-        for j in range(1, n):
-            tried = cost[:j] + (before[j + 1] - before[1 : j + 1]) * size[j]
-            i = int(np.argmin(tried))
-            if tried[i] < best[j]:
-                best[j], source[j] = tried[i], i
+        # The first boundary before j rises with j, so the middle j tells where those of either half can lie.
+        halves = [(1, n - 1, 0, n - 2)]
+        while halves:
+            low, high, first, last = halves.pop()
+            if low > high:
+                continue
+            j = (low + high) // 2
+            upto = min(j - 1, last)
+            tried = cost[first : upto + 1] + (before[j + 1] - before[first + 1 : upto + 2]) * size[j]
+            i = first + int(np.argmin(tried))
+            if tried[i - first] < best[j]:
+                best[j], source[j] = tried[i - first], i
+            halves += [(low, j - 1, first, i), (j + 1, high, i, last)]
         cost = best
         came_from.append(source)
     cuts, j = [lengths[-1]], n - 1
@@ -72,28 +73,28 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buck
     budget is a batch of its own.
 
     Defined cases: null and blank texts have length 0 and go to the lowest
-    bucket; a null id counts as 0 when chunks are dealt; repeated rows are each
-    placed; other columns are not looked at; an empty table gives an empty result.
+    bucket, as long as 1; rows without an id are dealt into chunks by their
+    texts; repeated rows are each placed; other columns are not looked at; an empty table gives an empty result; a very long text is counted whole.
     """
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(text_col).alias("n_tokens"))
-    rows = stage(rows.withColumn("grid", F.expr(grid_length("n_tokens"))), "packing-lengths")
-    # One row per grid length: bounded by the grid, not by the data.
-    histogram = sorted(map(tuple, rows.groupBy("grid").count().collect()))
-    lengths, counts = [g for g, _ in histogram], [c for _, c in histogram]
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), word_count(text_col).alias("n_tokens"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`"))).alias("key"))
+    rows = stage(rows.withColumn("size", F.greatest("n_tokens", F.lit(1))), "packing-lengths")
+    # One row per distinct length: bounded by the longest text.
+    histogram = sorted(map(tuple, rows.groupBy("size").count().collect()))
+    lengths, counts = [s for s, _ in histogram], [c for _, c in histogram]
     cuts = best_boundaries(lengths, counts, buckets)
     deal = []
     for low, cut in zip([0, *cuts], cuts):
         per = max(1, budget // cut)
-        held = sum(c for g, c in histogram if low < g <= cut)
+        held = sum(c for s, c in histogram if low < s <= cut)
         deal.append((cut, per, -(-held // max(CHUNK_DOCS, CHUNK_BATCHES * per))))
     if not deal:
-        deal = [(STEP, 1, 1)]
+        deal = [(1, 1, 1)]
 
     def case(at: int) -> str:
-        return "CASE " + " ".join(f"WHEN grid <= {d[0]} THEN {d[at]}L" for d in deal) + " END"
+        return "CASE " + " ".join(f"WHEN size <= {d[0]} THEN {d[at]}L" for d in deal) + " END"
 
-    rows = rows.select("doc_id", "n_tokens", F.expr(case(0)).alias("bucket"), F.expr(case(1)).alias("per"), F.expr(case(2)).alias("chunks"))
-    mixed = F.expr("pmod(coalesce(doc_id, 0L), 1073741824L) * 2654435761L % 4294967296L div 65536L % chunks")
+    rows = rows.select("doc_id", "n_tokens", "key", F.expr(case(0)).alias("bucket"), F.expr(case(1)).alias("per"), F.expr(case(2)).alias("chunks"))
+    mixed = F.expr("pmod(key, 1073741824L) * 2654435761L % 4294967296L div 65536L % chunks")
     place = F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("n_tokens", "doc_id")) - 1
     return rows.withColumn("chunk", mixed).select(
         F.col("doc_id").alias(id_col), "n_tokens", "bucket", "chunk", F.floor(place / F.col("per")).cast("long").alias("batch"), (F.col("bucket") - F.col("n_tokens")).alias("padding")
@@ -101,6 +102,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buck
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
+    """Every document's place; the cases are defined as in ``packed``."""
     return packed(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
@@ -108,10 +110,8 @@ def op3_packing(spark, sf_dir: str) -> DataFrame:
 OP3_SQL = rf"""
 WITH RECURSIVE lens AS (
   SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents
-), steps AS (
-  SELECT *, greatest({STEP}, (1::BIGINT << greatest(length(bin(n_tokens)) - 7, 0))) AS step FROM lens
 ), gridded AS (
-  SELECT doc_id, n_tokens, (greatest(n_tokens, 1) + step - 1) // step * step AS grid FROM steps
+  SELECT doc_id, n_tokens, greatest(n_tokens, 1) AS grid FROM lens
 ), hist AS (
   SELECT grid, row_number() OVER (ORDER BY grid) AS j, sum(count(*)) OVER (ORDER BY grid)::BIGINT AS upto
   FROM gridded GROUP BY grid
