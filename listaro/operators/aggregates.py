@@ -46,12 +46,20 @@ def median_mad(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _suspicious(peers: DataFrame, min_abs: float, min_rel: float, mad_mult: float, least: int) -> DataFrame:
-    """(id, n, hit) from pairs (id, value, peer_value): is the value far from its peers' median?"""
-    medians = peers.groupBy("id").agg(F.median("peer_value").alias("median"), F.count("*").alias("n"), F.first("value").alias("value"))
-    spread = peers.join(medians.select("id", "median"), "id").groupBy("id").agg(F.median(F.abs(F.col("peer_value") - F.col("median"))).alias("mad"))
+    """(id, n, hit) from pairs (id, value, peer_value): is the value far from its peers' median?
+
+    Peers are counted by value, so a row's list is no longer than there are
+    values, and median and deviation come from it without a second pass over the pairs.
+    """
+    counted = peers.groupBy("id", "value", "peer_value").agg(F.count("*").alias("c"))
+    lists = counted.groupBy("id", "value").agg(F.array_sort(F.collect_list(F.struct(F.col("peer_value").alias("v"), "c"))).alias("hist"), F.sum("c").alias("n"))
+    lists = lists.filter(F.col("n") > 0).withColumn("median", weighted_median(F.col("hist"), F.col("n")))
+    apart = F.array_sort(F.transform("hist", lambda x: F.struct(F.abs(x["v"] - F.col("median")).alias("v"), x["c"].alias("c"))))
     diff = F.abs(F.col("value") - F.col("median"))
-    hit = (F.col("n") >= least) & (diff >= F.greatest(F.lit(min_abs), mad_mult * F.greatest("mad", F.lit(1.0)))) & (diff / F.greatest(F.abs("median"), F.lit(1.0)) >= min_rel)
-    return medians.join(spread, "id").select("id", "n", hit.alias("hit"))
+    # Few rows pass the first two tests, and only they need the deviation.
+    may = (F.col("n") >= least) & (diff >= min_abs) & (diff / F.greatest(F.abs("median"), F.lit(1.0)) >= min_rel)
+    hit = F.when(may, diff >= mad_mult * F.greatest(weighted_median(apart, F.col("n")), F.lit(1.0))).otherwise(False)
+    return lists.select("id", "n", hit.alias("hit"))
 
 
 def score_outliers(rows: DataFrame, cfg: Config = CONFIG, threshold: int = 3) -> DataFrame:
@@ -84,6 +92,15 @@ def score_outliers(rows: DataFrame, cfg: Config = CONFIG, threshold: int = 3) ->
     return scored.select("id", score.alias("score"), F.coalesce("near_n", F.lit(0)).alias("near_n"), F.coalesce("post_n", F.lit(0)).alias("post_n")).filter(F.col("score") >= threshold)
 
 
+def with_donor_distance(scores: DataFrame, rows: DataFrame, donors: DataFrame, radius_m: float, threshold: int = 3) -> DataFrame:
+    """Scores with 3 more, and a reason, for rows whose donor is further away than values are reused. ``rows``: id, lat, lng, donor; ``donors``: donor, donor_lat, donor_lng."""
+    dist = S.haversine("lat", "lng", "donor_lat", "donor_lng")
+    far = rows.join(donors, "donor").withColumn("dist", dist).filter(F.col("dist") > radius_m)
+    reason = F.concat(F.lit("Donor: "), F.bround("dist").cast("long").cast("string"), F.lit(f"m > {round(radius_m)}m ("), "donor", F.lit(")"))
+    both = scores.join(far.select("id", reason.alias("reason")), "id", "left")
+    return both.withColumn("score", F.col("score") + F.when(F.col("reason").isNotNull(), 3).otherwise(0)).filter(F.col("score") >= threshold)
+
+
 def weighted_median(pairs: Column, n: Column) -> Column:
     """Median of values with counts, given as a sorted array of (v, c) with n in all; the mean of the middle two if n is even."""
     def at(k: Column) -> Column:

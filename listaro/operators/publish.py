@@ -27,6 +27,33 @@ def published(df: DataFrame) -> DataFrame:
     return df.select(*[make(c).alias(c) for c in HEADER])
 
 
+#: The headers of the full listing sheet, in order, and the columns that they show; None: not held, so always empty.
+SHEET = {
+    "Finnkode": "id", "Tilgjengelighet": "status", "active": "active", "ADRESSE": "adresse", "Postnummer": "postnummer", "Pris": "pris", "URL": "url", "IMAGE_URL": "image_url",
+    "IMAGE_HOSTED_URL": None, "Bruksareal": "bra_total", "Internt bruksareal (BRA-i)": "bra_i", "Primærrom": "bra_primary", "Bruttoareal": None,
+    "Eksternt bruksareal (BRA-e)": None, "Innglasset balkong (BRA-b)": None, "Balkong/Terrasse (TBA)": None, "Tomteareal": None, "Eierskap, tomt": "eieform", "Boligtype": "boligtype",
+    "Byggeår": "byggeaar", "LAT": "lat", "LNG": "lng", "PRIS KVM": "pris_kvm", "PENDL RUSH BRJ": "brj", "PENDL RUSH MVV": "mvv", "MVV UNI RUSH": None,
+    "TRAVEL_COPY_FROM_FINNKODE": "donor", "GOOGLE_MAPS_URL": "maps_url", "SCRAPED_AT": "scraped_at", "Kommentar": "comment", "Tag": "tag",
+}
+#: Headers whose numbers are 0 where unknown, and those that are empty.
+SHEET_ZERO = ("Pris", "PRIS KVM")
+SHEET_NUMBERS = ("Bruksareal", "Internt bruksareal (BRA-i)", "Primærrom", "Bruttoareal", "Eksternt bruksareal (BRA-e)", "Innglasset balkong (BRA-b)", "Balkong/Terrasse (TBA)", "Tomteareal", "Byggeår", "PENDL RUSH BRJ", "PENDL RUSH MVV", "MVV UNI RUSH")
+
+
+def sheet(df: DataFrame) -> DataFrame:
+    """The full sheet: every header in its place, cells by their class; a column that ``df`` lacks is empty."""
+    def make(header: str, c: str | None):
+        if c is None or c not in df.columns:
+            return F.lit("")
+        if header in SHEET_ZERO:
+            return S.int_or_zero(c)
+        if header in SHEET_NUMBERS:
+            return F.coalesce(S.rounded(c).cast("string"), F.lit(""))
+        return S.padded_postcode(c) if c == "postnummer" else S.cell(c)
+
+    return df.select(*[make(h, c).alias(h) for h, c in SHEET.items()])
+
+
 def station_table(stations: DataFrame, lines: DataFrame, travel: DataFrame, destinations: list[str]) -> DataFrame:
     """A row per station and line, a column per destination, all as text."""
     rows = stations.join(lines, "station_id", "left")

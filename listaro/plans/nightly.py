@@ -195,9 +195,12 @@ def missing_counts(spark, d) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("brj").isNull()).alias("no_brj"), F.count_if(F.col("mvv").isNull()).alias("no_mvv"), F.count_if(F.col("lat").isNull()).alias("no_place"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("orders", "customer", "supplier", "lineitem", "events", "documents", "pages")))
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
 def table_stats(spark, d) -> DataFrame:
-    parts = [read_table(spark, f"{d}/{t}.parquet").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in ("orders", "customer", "supplier", "lineitem", "events", "documents", "pages")]
+    parts = [read_table(spark, f"{d}/{t}.parquet").agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)

@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listaro.functions import scalars as S
+from listaro.operators import aggregates as A
 from listaro.operators import control as C
+from listaro.operators import filters as O
 from listaro.operators import joins as J
 from listaro.operators import parsing as P
+from listaro.operators import publish as B
 from listaro.plans.bindings import AS_OF_SQL, BINDINGS, as_of, bound, cte
-from listaro.plans.documents import _LINES, _stations
+from listaro.plans.documents import _LINES
+from listaro.plans.nightly import _DIST
+from listaro.plans.nightly import SQL as NIGHTLY_SQL
 from listaro.staging import read_table
 
 QUERIES: dict = {}
@@ -268,6 +273,44 @@ def repair_stations(spark, d) -> DataFrame:
     return C.repair_rows(stations, stations.filter("station_id = 3").select("station_id"), seed, stations.filter("station_id % 50 = 2").select("station_id"), "station_id")
 
 
+_SCORED = NIGHTLY_SQL["score_outliers"].replace(" WHERE score >= 2", "")
+
+
+@query(f"""
+SELECT s.id, s.score + CASE WHEN f.reason IS NULL THEN 0 ELSE 3 END AS score, near_n, post_n, reason FROM ({_SCORED}) s LEFT JOIN (
+  {cte("geo")} SELECT a.id, 'Donor: ' || cast(round_even({_DIST}, 0) AS BIGINT) || 'm > 300m (' || trim(a.donor) || ')' AS reason FROM geo a JOIN geo b ON b.id = trim(a.donor) WHERE {_DIST} > 300) f USING (id)
+WHERE s.score + CASE WHEN f.reason IS NULL THEN 0 ELSE 3 END >= 3
+""")
+def outlier_findings(spark, d) -> DataFrame:
+    """Outlier scores in full, the distance to the donor included, with the reason that it gives."""
+    geo = bound(spark, d, "geo")
+    rows = geo.select("id", F.col("brj").alias("value"), "lat", "lng").join(bound(spark, d, "listings").select("id", (F.col("postnummer").cast("long") % 40).cast("string").alias("postcode")), "id")
+    donors = geo.select(F.col("id").alias("donor"), F.col("lat").alias("donor_lat"), F.col("lng").alias("donor_lng"))
+    return A.with_donor_distance(A.score_outliers(rows, threshold=0), geo.select("id", "lat", "lng", F.trim("donor").alias("donor")), donors, 300.0)
+
+
+_EMPTY = ", ".join(f"'' AS \"{h}\"" for h, c in B.SHEET.items() if c in (None, "comment", "tag"))
+
+
+@query(cte("listings", "geo") + f"""
+, r AS (SELECT l.*, g.lat, g.lng, g.donor, CASE WHEN trim(coalesce(g.donor, '')) <> '' AND s.brj IS NOT NULL THEN s.brj ELSE g.brj END AS brj, CASE WHEN trim(coalesce(g.donor, '')) <> '' AND s.mvv IS NOT NULL THEN s.mvv ELSE g.mvv END AS mvv
+  FROM listings l LEFT JOIN geo g USING (id) LEFT JOIN geo s ON s.id = g.donor
+  WHERE active AND lower(trim(coalesce(status, ''))) NOT IN ('solgt', 'inaktiv') AND pris <= 7500000 AND bra_i >= 40)
+SELECT id AS "Finnkode", coalesce(trim(status), '') AS "Tilgjengelighet", 'true' AS "active", coalesce(trim(adresse), '') AS "ADRESSE", CASE WHEN postnummer IS NULL THEN '' ELSE lpad(postnummer, cast(greatest(4, length(postnummer)) AS INTEGER), '0') END AS "Postnummer",
+  coalesce(pris, 0) AS "Pris", trim(url) AS "URL", coalesce(trim(image_url), '') AS "IMAGE_URL", coalesce(cast(bra_total AS VARCHAR), '') AS "Bruksareal", coalesce(cast(bra_i AS VARCHAR), '') AS "Internt bruksareal (BRA-i)", coalesce(cast(bra_primary AS VARCHAR), '') AS "Primærrom",
+  coalesce(trim(eieform), '') AS "Eierskap, tomt", coalesce(trim(boligtype), '') AS "Boligtype", coalesce(cast(byggeaar AS VARCHAR), '') AS "Byggeår", coalesce(cast(cast(floor(lat * 1000) AS BIGINT) AS VARCHAR), '') AS "LAT", coalesce(cast(cast(floor(lng * 1000) AS BIGINT) AS VARCHAR), '') AS "LNG",
+  coalesce(CASE WHEN coalesce(bra_primary, bra_i, bra_total) > 0 THEN cast(round_even(pris::DOUBLE / coalesce(bra_primary, bra_i, bra_total)::DOUBLE, 0) AS BIGINT) END, 0) AS "PRIS KVM",
+  coalesce(cast(brj AS VARCHAR), '') AS "PENDL RUSH BRJ", coalesce(cast(mvv AS VARCHAR), '') AS "PENDL RUSH MVV", coalesce(trim(donor), '') AS "TRAVEL_COPY_FROM_FINNKODE",
+  coalesce('https://www.google.com/maps/place/' || replace(trim(adresse) || '+' || trim(postnummer), ' ', '+'), '') AS "GOOGLE_MAPS_URL", strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS "SCRAPED_AT", {_EMPTY} FROM r
+""")
+def publish_sheet(spark, d) -> DataFrame:
+    """The full sheet of visible active listings, places in thousandths of a degree."""
+    geo = J.resolve_donor(bound(spark, d, "geo"))
+    rows = O.visible_active(bound(spark, d, "listings")).drop("lat", "lng").join(geo.select("id", "brj", "mvv", *[F.floor(F.col(c) * 1000).cast("string").alias(c) for c in ("lat", "lng")], "donor"), "id", "left")
+    rows = rows.withColumns({"pris_kvm": S.price_per_m2("pris", "bra_primary", "bra_i", "bra_total"), "maps_url": S.map_url("adresse", "postnummer"), "scraped_at": F.date_format("scraped_at", "yyyy-MM-dd HH:mm:ss")})
+    return B.sheet(rows)
+
+
 # Texts and small values
 
 
