@@ -96,7 +96,7 @@ def chain_roots(links: DataFrame) -> DataFrame:
             return current.select("id", F.col("at").alias("root"))
         if steps >= links_in_all:
             lows = current.select(F.col("id").alias("at"), F.col("low").alias("cycle_low"))
-            return stepped.join(lows, "at", "left").select("id", F.when(F.col("open"), F.col("cycle_low")).otherwise(F.col("at")).alias("root"))
+            return current.join(lows, "at", "left").select("id", F.coalesce("cycle_low", "at").alias("root"))
 
 
 def chain_value(nodes: DataFrame) -> DataFrame:
