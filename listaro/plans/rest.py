@@ -162,6 +162,21 @@ def prose_rules(spark, d) -> DataFrame:
     return rows.select("doc_id", P.first_match(F.col("x"), P.RENTAL).alias("rental"), P.first_match(F.col("x"), P.PETS).alias("pets"))
 
 
+_PAPERS = "CASE doc_id % 9 WHEN 0 THEN ' Det foreligger ikke ferdigattest, men midlertidig brukstillatelse. ' WHEN 1 THEN ' Ferdigattest er utstedt 2001. ' WHEN 2 THEN ' Det er ikke mottatt Ferdigattest. ' WHEN 3 THEN ' Se punktet ferdigattest/midlertidig brukstillatelse for mer. ' WHEN 4 THEN ' Midlertidig brukstillatelse av 1999. ' WHEN 5 THEN ' At ferdigattest eksisterer, gir ingen garanti for annet. ' WHEN 6 THEN ' Ferdigattesten omfatter ikke boden. ' ELSE ' ' END"
+_C = {k: getattr(P, f"CERTIFICATE_{k}").replace("'", "''") for k in ("ASIDE", "DENIED", "STATED", "TEMPORARY", "NAMED")}
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') || {_PAPERS} AS x FROM documents), o AS (SELECT doc_id, x, regexp_replace(x, '{_C["ASIDE"]}', ' ', 'gi') AS own FROM t)
+SELECT doc_id, CASE WHEN regexp_matches(own, '{_C["DENIED"]}', 'i') THEN CASE WHEN regexp_matches(own, '{_C["TEMPORARY"]}', 'i') THEN 'midlertidig' ELSE 'ingen' END
+  WHEN regexp_matches(own, '{_C["STATED"]}', 'i') THEN 'ferdigattest' WHEN regexp_matches(own, '{_C["TEMPORARY"]}', 'i') THEN 'midlertidig' WHEN regexp_matches(x, '{_C["NAMED"]}', 'i') THEN 'ferdigattest' END AS certificate FROM o
+""")
+def certificates(spark, d) -> DataFrame:
+    """What the documents, each followed by a listing's sentence, say of a completion certificate."""
+    rows = read_table(spark, f"{d}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.expr(_PAPERS)).alias("x"))
+    return rows.select("doc_id", P.certificate(F.col("x")).alias("certificate"))
+
+
 # Chains
 
 
