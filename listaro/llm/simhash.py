@@ -21,11 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listaro.llm.components import components
-from listaro.staging import read_table, stage
+from listaro.staging import drop_stage, read_table, stage
 
 SEED = 42
 #: A larger bucket is cheaper to key again than to pair.
@@ -222,28 +222,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(_component_ids(rows, "fp", id_col, max_bits), "fp")
 
 
-def candidate_pairs(rows: DataFrame, tables: int, max_bits: int) -> DataFrame:
-    """Pairs (u < v) of ids that may be near copies: fingerprints (column fps) equal or within max_bits bits in some table.
+def candidate_pairs(rows: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, firsts): pairs (u < v) of ids that may be near copies, as their fingerprints (column fp) are equal or within max_bits bits.
 
-    Of a fingerprint's documents each meets the first, and the one before it
-    among at most about 1000 of them; fingerprints meet by their first documents.
+    Documents with equal fingerprints each meet the first of them, and
+    fingerprints meet by their first documents. ``firsts`` is the staged table behind it.
     """
-    pairs = None
-    for t in range(tables):
-        own = rows.select("id", F.col("fps")[t].alias("fp"))
-        firsts = stage(own.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("n")), "simhash-fps")
-        members = own.join(firsts.filter("n > 1"), "fp").withColumn("deal", F.expr("pmod(xxhash64(id), n div 1000 + 1)"))
-        before = F.lag("id").over(Window.partitionBy("fp", "deal").orderBy("id"))
-        inside = members.select("id", "lead", before.alias("before")).select("id", F.explode(F.array("lead", "before")).alias("other")).filter("id != other")
-        leads = firsts.select("fp", "lead")
-        across = links(leads.select("fp"), max_bits).join(leads.withColumnsRenamed({"fp": "u", "lead": "id"}), "u").join(leads.withColumnsRenamed({"fp": "v", "lead": "other"}), "v")
-        found = inside.unionByName(across.select("id", "other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.distinct()
+    firsts = stage(rows.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("n")), "simhash-fps")
+    inside = rows.join(firsts.filter("n > 1"), "fp").select("id", F.col("lead").alias("other")).filter("id != other")
+    leads = firsts.select("fp", "lead")
+    across = links(leads.select("fp"), max_bits).join(leads.withColumnsRenamed({"fp": "u", "lead": "id"}), "u").join(leads.withColumnsRenamed({"fp": "v", "lead": "other"}), "v")
+    found = inside.unionByName(across.select("id", "other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
+    return found.distinct(), firsts
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs whose sets of word shingles have a Jaccard similarity of ``least`` or more; ``texts``: (id, text)."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(similar, sets): the pairs whose sets of word shingles have a Jaccard similarity of ``least`` or more, and the staged sets; ``texts``: (id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +255,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float
     needed = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
     sets = stage(texts.join(needed, "id").select("id", "text").mapInArrow(hashed, "id bigint, hashes binary"), "simhash-sets")
     met = pairs.join(sets.withColumnsRenamed({"id": "u", "hashes": "x"}), "u").join(sets.withColumnsRenamed({"id": "v", "hashes": "y"}), "v")
-    return met.select("u", "v", "x", "y").mapInArrow(compared, "u bigint, v bigint")
+    return met.select("u", "v", "x", "y").mapInArrow(compared, "u bigint, v bigint"), sets
 
 
 def drop_near_copies(
@@ -269,9 +263,11 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; same columns.
 
-    Fingerprints of the words find pairs (see ``candidate_pairs``); those whose
-    sets of word shingles have a Jaccard similarity of ``least`` or more are near
-    copies, and so are texts that such pairs lead from one to the other.
+    Fingerprints of the words find pairs (see ``candidate_pairs``), table after
+    table; those whose sets of word shingles have a Jaccard similarity of
+    ``least`` or more are near copies, and so are texts that such pairs lead from
+    one to the other. A document that a table has found to be a copy of one with
+    a smaller id goes, so the next tables do not look at it again.
 
     Defined cases: wordless and null texts are left alone; fewer words than a
     shingle count as one shingle; ids are longs and unique, rows without one
@@ -285,8 +281,17 @@ def drop_near_copies(
 
     texts = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = stage(texts.mapInArrow(printed, "id bigint, fps array<bigint>").filter("fps is not null"), "simhash-rows")
-    pairs = stage(candidate_pairs(rows, tables, max_bits), "simhash-pairs")
-    edges = stage(similar_pairs(pairs, texts, shingle, least), "simhash-edges")
+    edges = None
+    for t in range(tables):
+        found, firsts = candidate_pairs(rows.select("id", F.col("fps")[t].alias("fp")), max_bits)
+        pairs = stage(found, "simhash-pairs")
+        similar, sets = similar_pairs(pairs, texts, shingle, least)
+        copies = stage(similar, "simhash-edges")
+        edges = copies if edges is None else edges.unionByName(copies)
+        left = stage(rows.join(copies.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "simhash-rows") if t + 1 < tables else None
+        for table in (firsts, pairs, sets, rows):
+            drop_stage(table)
+        rows = left
     lost = components(edges).filter("node != root").select(F.col("node").alias("lost_id_"))
     return docs.join(lost, F.col(f"`{id_col}`") == F.col("lost_id_"), "left_anti")
 
