@@ -3,9 +3,11 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from listaro.llm import centroids
+from listaro.llm import centroids, code_tree, vector_codes
 
 NAN = float("nan")
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, id string, cluster string"
@@ -65,3 +67,49 @@ def test_a_tie_goes_to_the_smaller_number(spark):
     rows = spark.createDataFrame([([4, 0],), ([5, 0],)], "v array<bigint>")
     got = rows.select(centroids.nearest([[8, 0], [0, 0], [8, 0]]).alias("n")).select("n.*").collect()
     assert [(r.distance, r.cluster) for r in got] == [(16, 0), (9, 0)]
+
+
+@pytest.mark.parametrize("n,k,spread", [(1, 1, 3), (7, 3, 2), (40, 16, 1), (700, 16, 40), (700, 5, 2), (2000, 16, 1000)])
+def test_dual_tree_search_matches_all_distances(n, k, spread):
+    r = np.random.default_rng(n + k)
+    middle = r.integers(-5 * spread, 5 * spread, (3, 8, 4))
+    points = middle[:, r.integers(0, 8, n)] + r.integers(-spread, spread + 1, (3, n, 4))
+    points[:, : n // 3] = points[:, :1]  # a third is one point
+    entries = points[:, r.integers(0, n, k)]  # equal entries among them
+    trees, books = code_tree.point_forest(points), code_tree.entry_forest(entries)
+    want = np.argmin(((points[:, :, None] - entries[:, None]) ** 2).sum(3), axis=2)  # the first of equally near ones
+    assert np.array_equal(code_tree.codes(trees, books), want)
+    counts, sums = code_tree.totals(trees, books)
+    for p in range(3):
+        for e in range(k):
+            assert counts[p, e] == (want[p] == e).sum() and np.array_equal(sums[p, e], points[p][want[p] == e].sum(0))
+
+
+def test_whole_nodes_take_their_kept_sums():
+    """Well apart, whole nodes are assigned: hardly a point is looked at by itself."""
+    r = np.random.default_rng(1)
+    middle = r.integers(-100_000, 100_000, (1, 8, 4))
+    points = middle[:, np.sort(r.integers(0, 8, 3000))] + r.integers(-9, 10, (1, 3000, 4))
+    nodes, rest = code_tree.nearest(code_tree.point_forest(points), code_tree.entry_forest(middle))
+    assert len(nodes) > 0 and sum(len(places) for _, places, _ in rest) < 300
+
+
+@pytest.mark.parametrize("n", [1, 9, 400])
+def test_codes_match_a_replay(spark, n):
+    rows = some(n, 4, seed=3)
+    odd = [(900, None, 1), (901, [0.5] * 3, 1), (902, [0.5, None, 0.5, 0.5], 1), (903, [NAN, 0.5, 0.5, 0.5], 1), (905, [], 1)]
+    rows += [rows[0], rows[-1], (None, rows[0][1], None)]
+    found, books = vector_codes.compressed(vectors(spark, rows + odd), positions=2, entries=6, rounds=3, scale=8, dims=4)
+    points = [[int(x * 8) for x in v] for _, v, _ in rows]
+    start = [p for _, p in sorted(((i if i is not None else 10**9, p) for (i, _, _), p in zip(rows, points)))][:6]
+    replays = [lloyd([p[a : a + 2] for p in points], [p[a : a + 2] for p in start], 3) for a in (0, 2)]
+    assert books.tolist() == [c for c, _ in replays]
+    want = [(i, label, f"{x[1]:02x}{y[1]:02x}", x[0] + y[0]) for (i, _, label), x, y in zip(rows, replays[0][1], replays[1][1])]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.collect())
+
+
+def test_code_cases(spark):
+    found, books = vector_codes.compressed(vectors(spark, []), dims=8)
+    assert found.count() == 0 and books.size == 0
+    texts, _ = vector_codes.compressed(vectors(spark, [(1, [0.5] * 8, 1)]).withColumn("label", F.lit("x")).withColumn("label_", F.lit(1)), dims=8)
+    assert [tuple(r) for r in texts.collect()] == [(1, "x", "00" * 8, 0)]
