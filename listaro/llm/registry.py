@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from listaro.llm import byte_bpe, centroids, exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, token_files, toxicity, vector_codes
+from listaro.llm import byte_bpe, centroids, exact_dedup, fingerprints, html_extraction, packing, quality, simhash, substring_dedup, token_files, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_suffix_array": substring_dedup.op8_suffix_array,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_fingerprints": fingerprints.op10_fingerprints,
+        "op11_warc": warc.op11_warc,
         "op12_vector_codes": vector_codes.op12_vector_codes,
         "op13_centroids": centroids.op13_centroids,
         "pipeline": corpus_pipeline.run,
@@ -29,6 +30,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": exact_dedup.OP1_SQL,
         "op3_packing": packing.OP3_SQL,
         "op8_suffix_array": substring_dedup.OP8_SQL,
+        "op11_warc": warc.OP11_SQL,
         "op12_vector_codes": vector_codes.OP12_SQL,
         "op13_centroids": centroids.OP13_SQL,
     }
