@@ -3,17 +3,19 @@
 The public pattern (public_tokenizers.PATTERN) takes runs of letters, of digits
 or of other signs, each with at most one space before it, and white space. So a
 text may be cut where such a run ends, and before each space unless white space
-stands on both sides of it. Cutting, finding the distinct chunks and putting
+stands on both sides of it. Of white space before something else the pattern
+leaves the last character to itself, so there is a cut before and behind it. Cutting, finding the distinct chunks and putting
 their codes together are array operations; Python sees a distinct chunk of a
 batch once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A worker remembers between this many chunks and half of it, those used last.
 REMEMBERED = 500_000
@@ -39,6 +41,8 @@ _ENDS = _ENDS.ravel()
 _MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
 _MAY_END[[*range(9, 14), *range(28, 33), 0x85, 0x9F, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]] = True
 _MAY_BEGIN[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets from 0, bytes) of an array of strings; null is empty."""
     texts = texts.cast(pa.binary()).fill_null(b"")
@@ -48,15 +52,19 @@ def _parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], held
 
 
-def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """(chunks, firsts): the chunks of all texts in order, and the number of chunks before each text and at the end."""
+def cut(texts: pa.Array, apart: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """(chunks, firsts): the chunks of all texts in order, and the number of chunks before each text and at the end; texts ``apart`` are one chunk."""
     offsets, data = _parts(texts)
     n = len(data)
     if n == 0:
         return pa.array([], pa.binary()), np.zeros(len(offsets), np.int64)
     kind = _kinds(data)
     edge = np.zeros(n + 1, bool)
-    edge[1:-1] = _ENDS[kind[:-1] << 3 | kind[1:]]
+    ends = _ENDS[kind[:-1] << 3 | kind[1:]]
+    edge[1:-1] = ends
+    before = ends & (kind[:-1] == _WHITE)
+    before[offsets[(offsets > 0) & (offsets < n)] - 1] = False  # what follows is another text
+    edge[:-2] |= before
     at = np.flatnonzero(data == 32)
     after = _MAY_BEGIN[data[np.minimum(at + 1, n - 1)]]
     # A space that ends its text has nothing behind it to belong to.
@@ -65,6 +73,8 @@ def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     found[found] = at[last[found]] == (offsets[1:] - 1)[found]
     after[last[found]] = True
     edge[at[~(_MAY_END[data[at - 1]] & after)]] = True
+    for i in np.flatnonzero(apart) if apart is not None else ():
+        edge[offsets[i] : offsets[i + 1]] = False
     edge[offsets] = True
     edges = np.flatnonzero(edge)
     chunks = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
@@ -94,10 +104,11 @@ def one_run(chunks: pa.Array) -> np.ndarray:
 
 
 class ChunkCodes:
-    """Codes of texts; ``code`` gets distinct new chunks, and which of them are a single run, and returns for each its ids as little-endian 32-bit integers, and the bytes they stand for (or None)."""
+    """Codes of texts; ``code`` gets distinct new chunks, and which of them are a single run, and returns for each its ids as little-endian 32-bit integers, and the bytes they stand for (or None). Texts that hold one of the strings ``whole`` are not cut."""
 
-    def __init__(self, code: Callable[[list[bytes], list[bool]], list[tuple[bytes, bytes | None]]]):
+    def __init__(self, code: Callable[[list[bytes], list[bool]], list[tuple[bytes, bytes | None]]], whole: Iterable[bytes] = ()):
         self.code = code
+        self.whole = tuple(whole)
         self.recent: dict[bytes, tuple[bytes, bytes | None]] = {}
         self.older: dict[bytes, tuple[bytes, bytes | None]] = {}
         self.held = 0
@@ -119,7 +130,10 @@ class ChunkCodes:
 
     def values(self, texts: pa.Array, decode: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array | None]:
         """(ends, ids, decoded): ids of all texts in order, the number of them before each text and at the end; decoded bytes of each text."""
-        chunks, firsts = cut(texts)
+        apart = np.zeros(len(texts), bool)
+        for x in self.whole:
+            apart |= pc.match_substring(texts.cast(pa.binary()).fill_null(b""), x).to_numpy(zero_copy_only=False)
+        chunks, firsts = cut(texts, apart)
         coded = chunks.dictionary_encode()
         codes = self._codes(coded.dictionary)
 

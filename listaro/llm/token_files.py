@@ -338,7 +338,6 @@ class _Tokenizer:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
-            tokenizer.encode_special_tokens = True
 
             def ids(texts: list[str]) -> list[np.ndarray]:
                 return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -360,7 +359,8 @@ class _Tokenizer:
                 coded.update((c, x.tobytes()) for c, x in zip(rest, ids([c.decode("utf-8", "replace") for c in rest])))
                 return [(coded[c], None) for c in chunks]
 
-            cls._made[path] = ChunkCodes(code)
+            # The library finds added tokens before it cuts a text into words, so no such text may be cut here.
+            cls._made[path] = ChunkCodes(code, [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()])
         return cls._made[path]
 
 

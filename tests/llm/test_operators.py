@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -196,8 +197,7 @@ def test_token_files_in_id_order(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_files.VOCABULARY)
-    tokenizer.encode_special_tokens = True
-    texts = [t for t in ODD if t is not None] + ["a <|endoftext|> b"]
+    texts = [t for t in ODD if t is not None] + ["a <|endoftext|> b", "<|endoftext|>", "x\n\n<|endoftext|><|endoftext|> \ny's"]
     docs = spark.createDataFrame([(len(texts) - i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = token_files.read_tokens(token_files.write_tokens(docs)).orderBy("doc_id").collect()
     start = 0
@@ -207,6 +207,23 @@ def test_token_files_in_id_order(spark):
         start += len(want)
 
 
+def test_chunks_of_random_texts_give_the_ids_of_both_libraries():
+    from tokenizers import Tokenizer
+
+    tokenizer, coder = Tokenizer.from_file(token_files.VOCABULARY), byte_bpe.WordCoder.of(byte_bpe.VOCABULARY)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    rng = random.Random(11)
+    parts = ["\n", "\n\n", "\r\n", "\t", " ", "  ", "\x0b", "\u0085", "\u00a0", "\u3000", "\x1c", "a", "be", "A", "7", "12", ".", "!!", "'", "'s", "'ll", "é", "×", "日", "👍", "<", "|>", "<|endoftext|>"]
+    weights = [8] * 10 + [2] + [8] * 16 + [1]
+    texts = ["".join(rng.choices(parts, weights, k=rng.randrange(14))) for _ in range(20_000)]
+    ends, ids, _ = token_files._Tokenizer.of(token_files.VOCABULARY).values(pa.array(texts))
+    want = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+    ends, ids, decoded = coder.codes.values(pa.array(texts[:4000]), True)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == enc.encode_ordinary_batch(texts[:4000])
+    assert decoded.to_pylist() == [t.encode() for t in texts[:4000]]
+
+
 def test_quality_learns_and_takes_odd_texts(spark):
     rng = random.Random(6)
     words = "stone river cloud meadow lantern harbour signal winter garden copper".split()
