@@ -12,10 +12,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _with_min(edges: DataFrame) -> DataFrame:
-    """(u, v, m): m is the least of u and its neighbours. The minima are staged, so that a hub's edges can be split."""
+def _with_min(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows (u, v, m), minima): m is the least of u and its neighbours. The minima are staged, so that a hub's edges can be split."""
     least = stage(edges.groupBy("u").agg(F.min("v").alias("least")), "cc-least")
-    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m"))
+    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("m")), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stage(_with_min(both).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
-        pointed = _with_min(large)
+        met, met_least = _with_min(both)
+        large = stage(met.filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        pointed, pointed_least = _with_min(large)
         small = stage(
             pointed.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(pointed.select("u", F.col("m").alias("v"))).distinct(),
             "cc-small",
         )
-        drop_stage(edges)
-        drop_stage(large)
+        for table in (edges, large, met_least, pointed_least):
+            drop_stage(table)
         edges, after = small, _state(small)
         if after == before:
             break

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from listaro.llm.columns import numbered, restored
 from listaro.staging import read_table, shuffle_width, stage
 
 BLOCK_BYTES = 2048
@@ -56,8 +57,8 @@ def document_names(docs: DataFrame, text_col: str = "text", hash_col=F.xxhash64)
     spark = docs.sparkSession
     buckets = max(4096, 16 * shuffle_width(spark))
     norm = normalised(text_col).cast("binary")
-    kept_cols = [F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(docs.columns) if c != text_col]
-    names_of = {f"c_{i}": c for i, c in enumerate(docs.columns) if c != text_col}
+    kept_cols = [F.col(f"`{c}`").alias(f"k_{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    names_of = {f"k_{i}": c for i, c in enumerate(docs.columns) if c != text_col}
     cut = docs.select(*kept_cols, F.col(f"`{text_col}`").alias("norm")).withColumn("norm", normalised("norm").cast("binary"))
     rows = stage(
         cut.select(
@@ -143,14 +144,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept; a null id sorts after every other id; an empty table gives an empty
     result; very long texts only have more blocks.
     """
-    added = ["keep_id", "group_size", "kept", "text_sha256", "uid"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added])
-    rows, names = document_names(docs, text_col)
+    docs, new = numbered(docs, ("keep_id", "group_size", "kept", "text_sha256"))
+    rows, names = document_names(docs, new[text_col])
     keyed = stage(rows.join(names, "uid"), "exact-keyed")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), "uid"))
+    first = F.min(F.struct(F.col(new[id_col]).isNull().alias("no_id"), F.col(new[id_col]).alias("id"), "uid"))
     groups = stage(keyed.groupBy("level", "name").agg(first.alias("first"), F.count("*").alias("group_size")), "exact-groups")
-    return keyed.join(groups, ["level", "name"]).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
+    return restored(
+        keyed.join(groups, ["level", "name"]),
+        {c: n for c, n in new.items() if c != text_col},
         F.col("first.id").alias("keep_id"),
         "group_size",
         (F.col("uid") == F.col("first.uid")).alias("kept"),
@@ -162,20 +163,21 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows whose text another kept row has; same columns, see exact_groups.
 
     The texts are shuffled once, by id, to meet the decisions; repeated rows fall to one.
+    The cases are those of exact_groups; columns of any name pass through.
     """
-    def keyed(df, sha):
-        return df.withColumns({"no_id_": F.col(f"`{id_col}`").isNull(), "sha_": sha})
-
-    keys = ["no_id_", "id_", "sha_"]
+    docs, new = numbered(docs)
+    id_col, text_col = new[id_col], new[text_col]
+    keys = ["no_id", "id", "sha"]
     kept = exact_groups(docs.select(id_col, text_col), id_col, text_col).filter("kept")
-    kept = keyed(kept, F.col("text_sha256")).select("no_id_", F.col(f"`{id_col}`").alias("id_"), "sha_")
-    rows = keyed(docs, F.sha2(normalised(text_col), 256)).withColumn("id_", F.col(f"`{id_col}`"))
-    plain = rows.filter("not no_id_").join(kept.filter("not no_id_"), keys, "left_semi")
-    no_id = rows.filter("no_id_").join(kept.filter("no_id_").select("sha_"), "sha_", "left_semi")
-    return plain.select(*rows.columns).unionByName(no_id.select(*rows.columns)).dropDuplicates(keys).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.select(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_sha256").alias("sha"))
+    rows = docs.withColumns({"no_id": F.col(id_col).isNull(), "id": F.col(id_col), "sha": F.sha2(normalised(text_col), 256)})
+    plain = rows.filter("not no_id").join(kept.filter("not no_id"), keys, "left_semi")
+    no_id = rows.filter("no_id").join(kept.filter("no_id").select("sha"), "sha", "left_semi")
+    return restored(plain.select(*rows.columns).unionByName(no_id.select(*rows.columns)).dropDuplicates(keys), new)
 
 
 def op1_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts; the cases are defined as in ``exact_groups``."""
     docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 

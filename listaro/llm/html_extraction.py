@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listaro.llm.columns import numbered, restored
 from listaro.llm.labelled_pages import pages as labelled_pages
 from listaro.staging import read_table
 
@@ -85,7 +86,6 @@ class Page:
         # open_: how many elements of each tag are on the stack, so that none is looked for in vain.
         stack, open_, hidden, in_link, at = [0], Counter(), [], 0, 0
         last_end: dict[str, int] = {}
-        low = source.lower()
         limit = source.rfind(">") + 1
         parts: list[str] = []
 
@@ -130,7 +130,7 @@ class Page:
             if tag in HIDDEN:
                 if not token["end"] and not token["attrs"].endswith("/"):
                     if tag not in last_end:
-                        last_end[tag] = low.rfind(f"</{tag}")
+                        last_end[tag] = max((m.start() for m in re.finditer(f"</{tag}", source, re.I | re.A)), default=-1)
                     # One that is never closed hides nothing, but for the head, which other elements end.
                     if tag == "head" or last_end[tag] > at:
                         hidden.append(tag)
@@ -317,24 +317,19 @@ def with_main_text(pages: DataFrame, model: dict, html_col: str = "html", name:
     other columns pass through (columns named as the results are replaced);
     repeated rows get the same text; an empty table gives an empty result.
     """
-    kept = [f for f in docs_fields(pages, html_col, name)]
-    width = len(kept)
+    kept, new = numbered(pages, (html_col, name, "n_chars"))
+    width = len(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(x.as_py(), model) for x in batch.column(width)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*batch.schema.names[:-1], name, "n_chars"]
+                [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*batch.schema.names[:-1], "text", "n_chars"]
             )
 
-    rows = pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html_col}`").cast("string").alias("html_"))
-    schema = rows.drop("html_").withColumn(name, F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
-    return rows.mapInArrow(run, schema)
-
-
-def docs_fields(pages: DataFrame, html_col: str, name: str) -> list[str]:
-    """The columns that pass through."""
-    return [c for c in pages.columns if c not in (html_col, name, "n_chars")]
+    rows = pages.select(*[F.col(f"`{c}`").alias(n) for c, n in new.items()], F.col(f"`{html_col}`").cast("string").alias("html"))
+    schema = kept.withColumn("text", F.lit("")).withColumn("n_chars", F.lit(0).cast("long")).schema
+    return restored(rows.mapInArrow(run, schema), new, F.col("text").alias(name), "n_chars")
 
 
 def op6_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listaro.llm.columns import numbered, restored
 from listaro.staging import read_table
 
 #: Labelled documents that the model is fitted on, at most.
@@ -166,8 +167,8 @@ def held_out(id_column):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(text, label) of at most ``most`` labelled documents outside the held-out fifth, chosen by a hash of the id."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    """(text, label) of at most ``most`` labelled documents outside the held-out fifth, chosen by a hash of the id; of contradicting labels the larger counts."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     # At most ``most`` ids, so the broadcast is bounded.
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "label")
@@ -194,7 +195,7 @@ def with_quality(docs: DataFrame, model: dict, text_col: str = "text", name: str
 
     Defined cases: null and blank texts are scored as one blank line; any other
     column passes through, whatever its name; repeated rows get the same score;
-    an empty table gives an empty result.
+    an empty table gives an empty result; a very long text only has more lines.
     """
     kept = [f for f in docs.schema.fields if f.name != name]
     at = [f.name for f in kept].index(text_col)
@@ -209,12 +210,13 @@ def with_quality(docs: DataFrame, model: dict, text_col: str = "text", name: str
 
 
 def drop_bad(docs: DataFrame, model: dict, text_col: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score below ``least``; same columns."""
-    scored = with_quality(docs, model, text_col, "quality_score_")
-    return scored.filter(F.col("quality_score_") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rows that score below ``least``; same columns, of any name. The cases are those of ``with_quality``."""
+    docs, new = numbered(docs)
+    return restored(with_quality(docs, model, new[text_col]).filter(F.col("score") >= least), new)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
+    """Every document's score; the cases are defined as in ``with_quality``."""
     docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, read_table(spark, f"{sf_dir}/labels.parquet"))
     scored = with_quality(docs, model).drop("text")

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listaro.llm.columns import numbered, restored
 from listaro.llm.components import components
 from listaro.staging import drop_stage, read_table, stage
 
@@ -32,6 +33,11 @@ SEED = 42
 BUCKET = 1024
 #: What near copies are, and the fingerprints that look for them: of 48 pairs in sf0.1 four tables find 98 %, three 92 %, one 56 %.
 SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
+#: Keys of a shingle set, each of so many least shingles: two sets of similarity 0.8 share none with a chance of 1 in 100,000.
+BANDS, BAND_ROWS = 16, 3
+_MIXERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of sets that are compared with one other in a task, but for a single larger set.
+GROUP_BYTES = 1 << 23
 #: Ids that are sent to all executors at most, to spare a shuffle of the texts.
 SENT_IDS = 1_000_000
 #: Words of a text that are in memory at once.
@@ -157,8 +163,8 @@ def _first_slot(k: int):
     return F.expr(f"CASE {' '.join(cases)} END")
 
 
-def _rekeyed(big: DataFrame, k: int) -> DataFrame:
-    """Edges inside large buckets: all fingerprints of a bucket that agree but for k chosen bits."""
+def _rekeyed(big: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, leads): edges inside large buckets: all fingerprints of a bucket that agree but for k chosen bits; and the staged table they read."""
     free, slot = [], 0
     for shift, width, variants in _segments(k):
         # The wild bit and the bits of the other segments are free; which k of them may differ is chosen here.
@@ -174,14 +180,20 @@ def _rekeyed(big: DataFrame, k: int) -> DataFrame:
         rows = rows.withColumn("mask", F.expr("mask | shiftleft(1L, bits[next])")).withColumn("at", F.col("next")).drop("next")
     rows = rows.select("key", "fp", "mask", F.expr("fp & ~mask").alias("rest"))
     leads = stage(rows.groupBy("key", "mask", "rest").agg(F.min("fp").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n"), "simhash-leads")
-    return rows.join(leads, ["key", "mask", "rest"]).filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v"))
+    return rows.join(leads, ["key", "mask", "rest"]).filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v")), leads
 
 
 def links(fps: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """Edges (u, v) that connect just the fingerprints (distinct longs in column fp) within max_bits bits.
+    """The edges of ``links_and_tables``, exact."""
+    return links_and_tables(fps, max_bits, bucket)[0]
+
+
+def links_and_tables(fps: DataFrame, max_bits: int, bucket: int = BUCKET, exact: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """(edges, held): edges (u, v) that connect just the fingerprints (distinct longs in column fp) within max_bits bits, and the staged tables they read.
 
     Every linked pair is connected by the edges; inside a bucket of more than
     ``bucket`` fingerprints it may be by way of a third that is within max_bits of both.
+    Not ``exact``, all fingerprints of such a bucket are connected, also those further apart.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits is from 0 to 3")
@@ -193,17 +205,26 @@ def links(fps: DataFrame, max_bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     pair = small.join(other, (small["key"] == other["key"]) & (F.col("fp") < F.col("gp")) & (F.expr("bit_count(fp ^ gp)") <= max_bits))
     edges = pair.select(F.col("fp").alias("u"), F.col("gp").alias("v"), F.expr("fp ^ gp").alias("x"), "slot").filter(F.col("slot") == _first_slot(max_bits))
     edges = edges.select("u", "v")
-    big = met.filter(F.col("n") > bucket)
+    big, held = met.filter(F.col("n") > bucket), [full, met]
     if not big.isEmpty():
         # Pairs that also share a small bucket may have been left to a large one that comes first, and are found there.
-        edges = edges.unionByName(_rekeyed(big, max_bits))
-    return edges
+        if exact:
+            more, leads = _rekeyed(big, max_bits)
+        else:
+            leads = stage(big.groupBy("key").agg(F.min("fp").alias("lead")), "simhash-leads")
+            more = big.join(leads, "key").filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v"))
+        edges = edges.unionByName(more)
+        held.append(leads)
+    return edges, held
 
 
 def _component_ids(rows: DataFrame, fp: str, id_col: str, max_bits: int) -> DataFrame:
     """(fp, component_id): the smallest id reachable from each fingerprint."""
     fps = stage(rows.groupBy(F.col(fp).alias("fp")).agg(F.min(id_col).alias("first_id")), "simhash-fps")
-    member = components(links(fps, max_bits))
+    edges, held = links_and_tables(fps, max_bits)
+    member = components(edges)
+    for table in held:
+        drop_stage(table)
     rooted = fps.join(member.withColumnsRenamed({"node": "fp"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stage(rooted, "simhash-rooted")
     firsts = stage(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "simhash-firsts")
@@ -224,43 +245,158 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(_component_ids(rows, "fp", id_col, max_bits), "fp")
 
 
-def candidate_pairs(rows: DataFrame, max_bits: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, firsts): pairs (u < v) of ids that may be near copies, as their fingerprints (column fp) are equal or within max_bits bits.
+def _bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys, each of the BAND_ROWS least mixed shingles of a set: sets of similarity s share a key with a chance of s^BAND_ROWS."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        mixed = hashes[at : at + 4096, None] * _MIXERS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BAND_ROWS, BANDS):
+        keys = (keys ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys + np.arange(BANDS, dtype=np.uint64)
+
 
-    Documents with equal fingerprints each meet the first of them, and
-    fingerprints meet by their first documents. ``firsts`` is the staged table behind it.
+def _prints(texts: DataFrame, tables: int, shingle: int) -> DataFrame:
+    """(id, fps, whole, bands) of the texts with words: word fingerprints, a digest of the set of shingles, and its band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = x.as_py()
+                fps = word_fingerprints(text, tables)
+                if fps is not None:
+                    hashes = shingle_hashes(text, shingle)
+                    for column, value in zip(out, (i, fps, xxhash.xxh3_128_digest(hashes.tobytes()), _bands(hashes).view(np.int64).tolist())):
+                        column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["id", "fps", "whole", "bands"])
+
+    return texts.mapInArrow(run, "id bigint, fps array<bigint>, whole binary, bands array<bigint>")
+
+
+def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
+    """Staged (key, id): documents that share a key may be near copies. ``rows``: (id, fps, bands).
+
+    Fingerprints within max_bits bits lead from one to the other, and form a
+    cluster. A cluster is divided by the band keys of its documents' shingle
+    sets, so what is compared does not hang on one document that all must resemble.
     """
-    firsts = stage(rows.groupBy("fp").agg(F.min("id").alias("lead"), F.count("*").alias("n")), "simhash-fps")
-    inside = rows.join(firsts.filter("n > 1"), "fp").select("id", F.col("lead").alias("other")).filter("id != other")
-    leads = firsts.select("fp", "lead")
-    across = links(leads.select("fp"), max_bits).join(leads.withColumnsRenamed({"fp": "u", "lead": "id"}), "u").join(leads.withColumnsRenamed({"fp": "v", "lead": "other"}), "v")
-    found = inside.unionByName(across.select("id", "other")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v"))
-    return found.distinct(), firsts
+    each = rows.select("id", F.explode("fps").alias("fp"))
+    fps = stage(each.select("fp").distinct(), "simhash-fps")
+    edges, held = links_and_tables(fps, max_bits, exact=False)
+    member = stage(components(edges).withColumnsRenamed({"node": "fp"}), "simhash-members")
+    of = stage(each.join(member, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).distinct(), "simhash-clusters")
+    shared = stage(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "simhash-shared")
+    near = of.join(shared, "root").join(rows.select("id", "bands"), "id")
+    keys = stage(near.select(F.explode("bands").alias("band"), "root", "id").select(F.xxhash64("root", "band").alias("key"), "id").distinct(), "simhash-keyed")
+    several = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "simhash-several")
+    out = stage(keys.join(several, "key"), "simhash-keys")
+    for table in (fps, member, of, shared, keys, several, *held):
+        drop_stage(table)
+    return out
+
+
+def _star_pairs(keys: DataFrame, both_ends: bool) -> tuple[DataFrame, DataFrame]:
+    """(pairs (key, u, v), leads): in each key the smallest id with every other one, and with ``both_ends`` the largest one too; leads is staged."""
+    leads = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"), "simhash-leads")
+    met = keys.join(leads, "key")
+    pairs = met.filter("id != low").select("key", F.col("low").alias("u"), F.col("id").alias("v"))
+    return (pairs.unionByName(met.filter("id != high and id != low").select("key", F.col("id").alias("u"), F.col("high").alias("v"))) if both_ends else pairs), leads
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """(similar, sets): the pairs whose sets of word shingles have a Jaccard similarity of ``least`` or more, and the staged sets; ``texts``: (id, text)."""
+def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Staged (id, size, hashes): the sets of word shingles of the documents ``ids``, as sorted 32-bit hashes. ``texts``: (id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], ["id", "hashes"])
+            found = [np.unique((shingle_hashes(x.as_py(), shingle) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, found), pa.int64()), pa.array(found, pa.binary())], ["id", "size", "hashes"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    needed = stage(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "simhash-needed")
     # Few enough ids (16 bytes each, so 16 MB) go to the texts; more meet them in a shuffle.
-    if needed.count() <= SENT_IDS:
-        needed = F.broadcast(needed)
-    sets = stage(texts.join(needed, "id").select("id", "text").mapInArrow(hashed, "id bigint, hashes binary"), "simhash-sets")
-    met = pairs.join(sets.withColumnsRenamed({"id": "u", "hashes": "x"}), "u").join(sets.withColumnsRenamed({"id": "v", "hashes": "y"}), "v")
-    return met.select("u", "v", "x", "y").mapInArrow(compared, "u bigint, v bigint"), sets
+    if ids.count() <= SENT_IDS:
+        ids = F.broadcast(ids)
+    chosen = texts.join(ids, "id")
+    # Texts are shuffled for it only where an id repeats.
+    repeated = texts.groupBy("id").count().filter("count > 1")
+    chosen = chosen if repeated.isEmpty() else chosen.dropDuplicates(["id"])
+    return stage(chosen.select("id", "text").mapInArrow(hashed, "id bigint, size bigint, hashes binary"), "simhash-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Staged (u, v): the pairs whose sets have a Jaccard similarity of ``least`` or more.
+
+    A document's set travels once for each pair in which it is compared with a
+    lead, the end that has more pairs; a lead's once for each GROUP_BYTES of those.
+    """
+    ends = pairs.select("u", "v", "u").toDF("u", "v", "lead").unionByName(pairs.select("u", "v", "v").toDF("u", "v", "lead"))
+    many = stage(ends.groupBy("lead").agg(F.count("*").alias("n")), "simhash-ends")
+    counted = pairs.join(many.toDF("u", "of_u"), "u").join(many.toDF("v", "of_v"), "v")
+    first = F.col("of_u") >= F.col("of_v")
+    pairs = counted.select("u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("lead"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("id"))
+    sized = stage(pairs.join(sets.select("id", "size"), "id"), "simhash-sized")
+    groups = stage(sized.groupBy("lead").agg(F.ceil(F.sum("size") / GROUP_BYTES).alias("groups")), "simhash-groups")
+    dealt = sized.join(groups, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).select("lead", "part", "u", "v", "id")
+    dealt = stage(dealt, "simhash-dealt")
+    leads = dealt.select("lead", "part").distinct().withColumn("id", F.col("lead")).withColumns({"u": F.lit(None).cast("long"), "v": F.lit(None).cast("long")})
+
+    def compared(table: pa.Table) -> pa.Table:
+        us, vs, found = (table.column(c).to_pylist() for c in ("u", "v", "hashes"))
+        lead = np.frombuffer(found[us.index(None)], "<u4")
+        keep: list[tuple[int, int]] = []
+        for u, v, other in zip(us, vs, found):
+            if u is not None:
+                other = np.frombuffer(other, "<u4")
+                both = len(np.intersect1d(lead, other, assume_unique=True))
+                if both >= least * (len(lead) + len(other) - both):
+                    keep.append((u, v))
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*keep) if keep else ((), ()))], names=["u", "v"])
+
+    rows = dealt.unionByName(leads.select(*dealt.columns)).join(sets.select("id", "hashes"), "id")
+    out = stage(rows.select("lead", "part", "u", "v", "hashes").groupBy("lead", "part").applyInArrow(compared, "u bigint, v bigint"), "simhash-edges")
+    for table in (many, sized, groups, dealt):
+        drop_stage(table)
+    return out
+
+
+def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int, least: float) -> DataFrame:
+    """(u, v): verified pairs of near copies, u < v, that connect them; ``texts``: (id, text).
+
+    Documents with the same set of shingles are told by its digest, and the first
+    stands for all. In each key the first document is compared with all others,
+    the last one too; those that are not like the first go on among themselves,
+    until no key has two documents left.
+    """
+    rows = stage(_prints(texts, tables, shingle), "simhash-rows", rebalance=False)
+    alike = stage(rows.groupBy("whole").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("whole", "lead"), "simhash-alike")
+    edges = stage(rows.join(alike, "whole").filter("id != lead").select(F.col("lead").alias("u"), F.col("id").alias("v")), "simhash-edges")
+    firsts = stage(rows.join(edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", "fps", "bands"), "simhash-firsts")
+    keys = candidate_keys(firsts, max_bits)
+    sets = shingle_sets(texts, keys.select("id").distinct(), shingle)
+    held, done, out, first = [rows, alike, firsts, sets], None, edges, True
+    while True:
+        found, leads = _star_pairs(keys, first)
+        met = stage(found, "simhash-pairs")
+        fresh = met.select("u", "v").distinct()
+        fresh = stage(fresh if done is None else fresh.join(done, ["u", "v"], "left_anti"), "simhash-fresh")
+        similar = similar_pairs(fresh, sets, least)
+        out = out.unionByName(similar)
+        done = fresh if done is None else done.unionByName(fresh)
+        # Who is not like the first of its key, by this round's or an earlier one's comparison, goes on in that key.
+        ok = out.select("u", "v").distinct()
+        low = met.join(leads.select("key", F.col("low").alias("u")), ["key", "u"], "left_semi")
+        rest = stage(low.join(ok, ["u", "v"], "left_anti").select("key", F.col("v").alias("id")).distinct(), "simhash-keys")
+        for table in (keys, leads, met):
+            drop_stage(table)
+        keys, first = rest, False
+        held.append(fresh)
+        if keys.groupBy("key").count().filter("count > 1").isEmpty():
+            break
+    for table in (keys, *held):
+        drop_stage(table)
+    return out
 
 
 def drop_near_copies(
@@ -268,37 +404,20 @@ def drop_near_copies(
 ) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest id; same columns.
 
-    Fingerprints of the words find pairs (see ``candidate_pairs``), table after
-    table; those whose sets of word shingles have a Jaccard similarity of
-    ``least`` or more are near copies, and so are texts that such pairs lead from
-    one to the other. A document that a table has found to be a copy of one with
-    a smaller id goes, so the next tables do not look at it again.
+    Documents whose sets of word shingles have a Jaccard similarity of ``least``
+    or more are near copies, and so are those that such pairs lead from one to
+    the other. See ``candidate_keys`` for which are compared.
 
     Defined cases: wordless and null texts are left alone; fewer words than a
     shingle count as one shingle; ids are longs and unique, rows without one
-    stay; rows that repeat an id stay or go together; other columns pass through;
-    an empty table gives an empty result; a very long text is read in runs of words.
+    stay; rows that repeat an id stay or go together, the text of one of them
+    standing for all; columns of any name pass through; an empty table gives an
+    empty result; a very long text is read in runs of words.
     """
-
-    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_fingerprints(x.as_py(), tables) for x in batch.column(1)], pa.list_(pa.int64()))], ["id", "fps"])
-
-    texts = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = stage(texts.mapInArrow(printed, "id bigint, fps array<bigint>").filter("fps is not null"), "simhash-rows")
-    edges = None
-    for t in range(tables):
-        found, firsts = candidate_pairs(rows.select("id", F.col("fps")[t].alias("fp")), max_bits)
-        pairs = stage(found, "simhash-pairs")
-        similar, sets = similar_pairs(pairs, texts, shingle, least)
-        copies = stage(similar, "simhash-edges")
-        edges = copies if edges is None else edges.unionByName(copies)
-        left = stage(rows.join(copies.select(F.col("v").alias("id")).distinct(), "id", "left_anti"), "simhash-rows") if t + 1 < tables else None
-        for table in (firsts, pairs, sets, rows):
-            drop_stage(table)
-        rows = left
-    lost = components(edges).filter("node != root").select(F.col("node").alias("lost_id_"))
-    return docs.join(lost, F.col(f"`{id_col}`") == F.col("lost_id_"), "left_anti")
+    docs, new = numbered(docs)
+    texts = docs.filter(F.col(new[id_col]).isNotNull()).select(F.col(new[id_col]).cast("long").alias("id"), F.col(new[text_col]).cast("string").alias("text"))
+    lost = components(near_copy_edges(texts, max_bits, tables, shingle, least)).filter("node != root").select("node")
+    return restored(docs.join(lost, F.col(new[id_col]) == F.col("node"), "left_anti"), new)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -272,17 +272,15 @@ def _split_until_small(pieces: DataFrame) -> tuple[list[DataFrame], list[DataFra
     return out, held
 
 
-def repeats(docs: DataFrame, text_col: str = "text", scanned: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(texts, spans): rows as (uid, text, other columns), and (uid, from, to) stretches of repeats, which may overlap.
 
-    Rows are numbered in a staged copy, so that all passes see the same numbers.
-    With ``scanned``, ``docs`` is known to be a plain scan of files, whose splits
-    are the same each time they are read, and no copy is made.
+    Rows are numbered in a staged copy, so that all passes see the same numbers:
+    another scan of the same files may deal and number the rows otherwise.
     """
     others = [c for c in docs.columns if c != text_col]
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(others)])
-    if not scanned:
-        texts = stage(texts, "substrings-texts", rebalance=False)
+    texts = stage(texts, "substrings-texts", rebalance=False)
     rows = stage(texts.select("uid", "text").mapInArrow(_anchor_rows, _ANCHORS), "substrings-anchors", rebalance=False)
     inside = rows.filter("h is null").select("uid", "from", "to")
     again = stage(rows.filter("h is not null").groupBy("h").agg(F.sum("n").alias("total")).filter("total > 1").select("h"), "substrings-again")
@@ -316,7 +314,7 @@ def repeats(docs: DataFrame, text_col: str = "text", scanned: bool = False) -> t
     return texts, out
 
 
-def with_removals(docs: DataFrame, text_col: str = "text", scanned: bool = False) -> DataFrame:
+def with_removals(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with its text stripped of repeats, and n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes).
 
     A byte goes if any SPAN-byte string over it also starts elsewhere in the
@@ -326,12 +324,12 @@ def with_removals(docs: DataFrame, text_col: str = "text", scanned: bool = False
     Defined cases: null is the empty text, texts shorter than SPAN keep all
     their bytes; repeated rows count as so many occurrences; columns of ``docs``
     named as a result are replaced; an empty table gives an empty result; a very
-    long text is hashed piece by piece. ``scanned``: see ``repeats``.
+    long text is hashed piece by piece.
     """
     results = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in results])
     others = [f for f in docs.schema.fields if f.name != text_col]
-    texts, spans = repeats(docs, text_col, scanned)
+    texts, spans = repeats(docs, text_col)
     # One list per text, never longer than its anchors.
     per_text = spans.groupBy("uid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     joined = texts.join(per_text, "uid", "left").select("text", "spans", *[f"c_{i}" for i in range(len(others))])
@@ -358,15 +356,15 @@ def with_removals(docs: DataFrame, text_col: str = "text", scanned: bool = False
     return done.select(*[back[c] for c in docs.columns], *results)
 
 
-def without_repeats(docs: DataFrame, text_col: str = "text", scanned: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the repeats taken out of its texts; same rows, same columns."""
-    return with_removals(docs, text_col, scanned).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_removals(docs, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_suffix_array(spark, sf_dir: str) -> DataFrame:
     """Each document's bytes, removed bytes and spans, and the rest's digest; the cases are defined as in ``with_removals``."""
     docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_removals(docs, scanned=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return with_removals(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 OP8_SQL = f"""

@@ -481,3 +481,34 @@ def test_line_marginals_match_enumeration():
             z = math.exp(sum(emit[i] * label[i] for i in range(n)) + sum(trans[a, b] for a, b in zip(label, label[1:])))
             mass[range(n), label] += z
         assert np.allclose(quality.good_probability(emit, trans), mass[:, 1] / mass.sum(axis=1))
+
+
+#: Names that operators use inside, or once did.
+INNER = "level name first hash uid html html_ lost_id lost_id_ sha sha_ no_id no_id_ id id_ quality_score_ score keep h c n g key slot left right c_0 c_1 root node lead".split()
+
+
+@pytest.mark.parametrize("operator", ["exact_groups", "drop_copies", "drop_bad", "main_text", "near_copies", "near_groups", "without_repeats", "tokens"])
+def test_columns_of_any_name_pass_through(spark, operator):
+    texts = ["a b c d e f g h i j k l m n o p", "a b c d e f g h i j k l m n o p", "other words of this text", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").select("doc_id", "text", *[F.concat(F.lit(f"{x} "), "doc_id").alias(x) for x in INNER])
+    model = {"cuts": np.zeros((quality.MEASURES, quality.BINS)), "weights": np.zeros(3 * quality.MEASURES * (quality.BINS + 2)), "trans": np.zeros((2, 2))}
+    out = {
+        "exact_groups": lambda: exact_dedup.exact_groups(docs),
+        "drop_copies": lambda: exact_dedup.drop_copies(docs),
+        "drop_bad": lambda: quality.drop_bad(docs, model),
+        "main_text": lambda: html_extraction.with_main_text(docs.withColumnRenamed("text", "page"), html_extraction.train(), "page"),
+        "near_copies": lambda: simhash.drop_near_copies(docs),
+        "near_groups": lambda: simhash.near_groups(docs),
+        "without_repeats": lambda: substring_dedup.without_repeats(docs),
+        "tokens": lambda: byte_bpe.with_ids(docs),
+    }[operator]()
+    rows = out.collect()
+    assert len(rows) == (3 if operator in ("drop_copies", "near_copies") else 4)
+    assert all(r[x] == f"{x} {r.doc_id}" for r in rows for x in INNER)
+
+
+def test_hidden_elements_are_found_in_the_source_itself():
+    """Letters whose lower case is longer do not move the end of a hidden element."""
+    article = "<p>" + "word " * 60 + "</p>"
+    page = html_extraction.Page("<div>" + "İ" * 3000 + "</div><svg>x</SVG>" + article + "<svg>" + article)
+    assert sum(len(text) for _, text in page.runs if "word" in text) > 550

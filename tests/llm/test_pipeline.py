@@ -126,3 +126,68 @@ def test_near_copies_of_the_given_documents(spark):
     # What goes is similar to something: no text goes for its vocabulary alone.
     for j in set(range(len(texts))) - kept:
         assert any(len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j])) for i in range(len(texts)) if i != j)
+
+
+def jaccard(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+def similarity_roots(texts):
+    """Each text's smallest one that pairs of similarity 0.8 or more lead to."""
+    sets = [simhash.shingle_hashes(t, simhash.SHINGLE) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i]) and len(sets[j]) and jaccard(sets[i], sets[j]) >= simhash.SIMILARITY:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_an_unlike_first_text_hides_no_copies(spark):
+    """The same words in another order have the same word fingerprints, but other shingles; the others of the group still meet."""
+    rng = random.Random(2)
+    texts = []
+    for g in range(12):
+        words = [f"w{g}x{rng.randrange(4000)}" for _ in range(90)]
+        other = rng.sample(words, len(words))
+        edited = list(words)
+        edited[rng.randrange(20, 70)] = "edited"
+        texts += [" ".join(other), " ".join(words), " ".join(words).upper(), " ".join(edited)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    roots = similarity_roots(texts)
+    assert kept == {i for i, r in enumerate(roots) if i == r} and len(kept) == 24
+
+
+def test_a_large_group_is_one(spark, monkeypatch):
+    """Copies with edits of their own, in more fingerprints than a bucket pairs, and compared a few at a time."""
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    monkeypatch.setattr(simhash, "GROUP_BYTES", 4000)
+    rng = random.Random(3)
+    base = [f"word{rng.randrange(500)}" for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(200)] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(rng.sample(base, 200)) for _ in range(5)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {i for i, r in enumerate(similarity_roots(texts)) if i == r} == {0, *range(150, 155)}
+
+
+def test_recall_on_groups_of_the_given_documents(spark):
+    """Groups of four edited copies of each of 60 given texts, and all pairs among all given ones: at least nine in ten of those that are similar end in one group."""
+    given = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").filter("length(text) between 300 and 3000").limit(400).toPandas()["text"].tolist()
+    rng, texts = random.Random(9), given[:240]
+    for text in sorted(set(given[240:]))[:60]:
+        for _ in range(4):
+            words = text.split()
+            for at in rng.sample(range(len(words)), max(1, len(words) // 70)):
+                words[at] = f"edited{rng.randrange(1000)}"
+            texts.append(" ".join(words))
+    roots = similarity_roots(texts)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    lost = {i for i, r in enumerate(roots) if i != r}
+    assert len(lost) > 80 and len(lost - kept) >= 0.9 * len(lost)
+    assert set(range(len(texts))) - kept <= lost
