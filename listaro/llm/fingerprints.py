@@ -23,7 +23,7 @@ from listaro.staging import read_table, shuffle_width, stage
 
 SAMPLES = 64
 #: Documents of a group; it also bounds the documents that share a term's samples.
-GROUP_DOCS = 4096
+GROUP_DOCS = 6144
 SPLIT = r"[\x20\x09-\x0D]+"
 
 
