@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import documents, more, nightly, reading, rest
+from listaro.plans import documents, more, nightly, reading, rest, streams
 
-PLANS = (reading, nightly, documents, more, rest)
+PLANS = (reading, nightly, documents, more, rest, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,23 +7,28 @@ back gives fresh statistics and shuffles that adaptive execution can split.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Folders of applications whose settings name none, by application.
+_OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named and all runs on one machine (tests)."""
     found = spark.conf.get(KEY, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{KEY} must name a folder that all machines of the cluster share")
-        found = "file://" + tempfile.mkdtemp(prefix="listaro-")
-        spark.conf.set(KEY, found)
-    return found
+    if found:
+        return found
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"{KEY} must name a folder that all machines of the cluster share")
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="listaro-")
+    return _OWN[app]
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:

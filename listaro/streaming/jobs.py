@@ -1,55 +1,87 @@
-"""Streaming twins of the nightly operators.
+"""Streaming twins of the nightly operators: status changes, and counts per day and per week.
 
-State is one short row per listing. Late data: a day's watermark, since nothing
-in the batch operators says how long a correction may take.
+Late data: a watermark of a day by default, since nothing in the batch operators
+says how long a correction may take. Rows in any order within it give what the
+batch operators give on the same rows in time order; rows beyond it are dropped.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 CHANGES = "id string, event_id long, old_status string, new_status string"
-
-
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
-    for batch in batches:
-        rows = []
-        for r in batch.sort_values(["observed_at", "event_id"]).itertuples():
-            now = (r.status or "").strip(" ")
-            if last is not None and now != last:
-                rows.append((key[0], r.event_id, last, now))
-            last = now
-        yield pd.DataFrame(rows, columns=["id", "event_id", "old_status", "new_status"])
-    if last is not None:
-        state.update((last,))
-
-
-def status_changes(stream: DataFrame) -> DataFrame:
-    """Status changes over a stream of observations in time order; the last status of each id is the state."""
-    return stream.select("id", "observed_at", "event_id", "status").groupBy("id").applyInPandasWithState(_changes, CHANGES, "last string", "append", GroupStateTimeout.NoTimeout)
+#: The state store that keeps lists and timers apart, so that a key's state is not rewritten for each row.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def _timer(micros: int) -> int:
+    """The first whole millisecond not before it: when the watermark is there, nothing earlier can come any more."""
+    return -(-micros // 1000)
+
+
+class StatusChanges(StatefulProcessor):
+    """Per id: observations wait until the watermark has passed them, and are then compared in time order.
+
+    The state is the last status and the observations of the watermark's delay;
+    a timer stands at the first of those.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "status string")
+        self.waiting = handle.getListState("waiting", "at long, event_id long, status string")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = [(r.at, r.event_id, r.status) for r in rows]
+        self.waiting.appendList(came)
+        self.handle.registerTimer(_timer(min(at for at, _, _ in came)))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = sorted(tuple(r) for r in self.waiting.get())
+        due, later = [x for x in held if x[0] <= now], [x for x in held if x[0] > now]
+        status = self.last.get()[0] if self.last.exists() else None
+        for _, event_id, new in due:
+            if status is not None and new != status:
+                yield Row(id=key[0], event_id=event_id, old_status=status, new_status=new)
+            status = new
+        if status is not None:
+            self.last.update((status,))
+        if later:
+            self.waiting.put(later)
+            self.handle.registerTimer(_timer(later[0][0]))
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def status_changes(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Rows whose trimmed status differs from the one before of the same id, in time order, whatever order they came in.
+
+    ``stream``: id, observed_at, event_id, status. A change is emitted once the
+    watermark has passed it. Needs the state store of STATE_STORE. Rows without an
+    id or a time are left out, as they have no place in any order.
+    """
+    clean = F.trim(F.coalesce("status", F.lit("")))
+    rows = stream.filter("id is not null and observed_at is not null").withWatermark("observed_at", late)
+    rows = rows.select("id", "observed_at", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("at"), "event_id", clean.alias("status"))
+    return rows.groupBy("id").transformWithState(StatusChanges(), CHANGES, "append", "eventTime")
 
 
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events per day and type, final once the watermark has passed the day."""
-    return stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", "1 day"), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("day"), "status", "n")
+    """Observations per day and status; a day is emitted once, when the watermark has passed its end."""
+    counts = stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", "1 day"), "status").agg(F.count("*").alias("n"))
+    return counts.select(F.to_date("window.start").alias("day"), "status", "n")
 
 
 def weekly_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
-    """Events per type in windows of seven days that start each day."""
-    return stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", "7 days", "1 day"), "status").agg(F.count("*").alias("n")).select(F.col("window.end").alias("until"), "status", "n")
-
-
-def gated_merge(gate: Callable[[DataFrame], bool], merge: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: batches that fail the gate change nothing; ``merge`` gets the batch number, so that a repeat can be told."""
-
-    def handle(batch: DataFrame, number: int) -> None:
-        if gate(batch):
-            merge(batch, number)
-
-    return handle
+    """Observations per status in the seven days up to and with each day; a week is emitted once, when the watermark has passed its end."""
+    counts = stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", "7 days", "1 day"), "status").agg(F.count("*").alias("n"))
+    return counts.select(F.date_sub(F.to_date("window.end"), 1).alias("last_day"), "status", "n")

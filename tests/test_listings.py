@@ -165,19 +165,3 @@ def test_publish_all_reports_a_failure():
         if name == "b":
             raise ValueError("no")
     assert B.publish_all({n: (lambda: None) for n in "abc"}, write) == {"done": ["a"], "failed": ["b", "no"], "untried": ["c"]}
-
-
-def test_streamed_status_changes_equal_the_batch(spark, tmp_path):
-    from listaro.streaming.jobs import status_changes
-
-    rng = random.Random(3)
-    rows = [(str(rng.randrange(5)), i, rng.choice(["a", "b", " a", None])) for i in range(200)]
-    schema = "id string, event_id long, status string"
-    for part in range(4):
-        spark.createDataFrame(rows[part * 50 : part * 50 + 50], schema).withColumn("observed_at", F.timestamp_seconds("event_id")).coalesce(1).write.parquet(str(tmp_path / "in" / f"p={part}"))
-    table = spark.read.parquet(str(tmp_path / "in")).drop("p")
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in" / "*"))
-    run = status_changes(stream).writeStream.format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    run.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("changes").collect()}
-    assert got == {tuple(r) for r in A.status_changes(table).select("id", "event_id", "old_status", "new_status").collect()}
