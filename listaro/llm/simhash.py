@@ -36,6 +36,8 @@ SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 #: Keys of a shingle set, each of so many least shingles: two sets of similarity 0.8 share none with a chance of 1 in 100,000.
 BANDS, BAND_ROWS = 16, 3
 _MIXERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Times that documents of a key are compared with its first one, each time with one more band key in it.
+DIVISIONS = 3
 #: Bytes of sets that are compared with one other in a task, but for a single larger set.
 GROUP_BYTES = 1 << 23
 #: Ids that are sent to all executors at most, to spare a shuffle of the texts.
@@ -278,7 +280,7 @@ def _prints(texts: DataFrame, tables: int, shingle: int) -> DataFrame:
 
 
 def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
-    """Staged (key, id): documents that share a key may be near copies. ``rows``: (id, fps, bands).
+    """Staged (key, band, id): documents that share a key may be near copies; band is the place of its band key. ``rows``: (id, fps, bands).
 
     Fingerprints within max_bits bits lead from one to the other, and form a
     cluster. A cluster is divided by the band keys of its documents' shingle
@@ -291,7 +293,7 @@ def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
     of = stage(each.join(member, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).distinct(), "simhash-clusters")
     shared = stage(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "simhash-shared")
     near = of.join(shared, "root").join(rows.select("id", "bands"), "id")
-    keys = stage(near.select(F.explode("bands").alias("band"), "root", "id").select(F.xxhash64("root", "band").alias("key"), "id").distinct(), "simhash-keyed")
+    keys = stage(near.select(F.posexplode("bands").alias("band", "value"), "root", "id").select(F.xxhash64("root", "value").alias("key"), "band", "id").distinct(), "simhash-keyed")
     several = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "simhash-several")
     out = stage(keys.join(several, "key"), "simhash-keys")
     for table in (fps, member, of, shared, keys, several, *held):
@@ -300,11 +302,12 @@ def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
 
 
 def _star_pairs(keys: DataFrame, both_ends: bool) -> tuple[DataFrame, DataFrame]:
-    """(pairs (key, u, v), leads): in each key the smallest id with every other one, and with ``both_ends`` the largest one too; leads is staged."""
+    """(pairs (key, band, u, v), leads): in each key the smallest id with every other one, and with ``both_ends`` the largest one too; leads is staged."""
     leads = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"), "simhash-leads")
     met = keys.join(leads, "key")
-    pairs = met.filter("id != low").select("key", F.col("low").alias("u"), F.col("id").alias("v"))
-    return (pairs.unionByName(met.filter("id != high and id != low").select("key", F.col("id").alias("u"), F.col("high").alias("v"))) if both_ends else pairs), leads
+    pairs = met.filter("id != low").select("key", "band", F.col("low").alias("u"), F.col("id").alias("v"))
+    more = met.filter("id != high and id != low").select("key", "band", F.col("id").alias("u"), F.col("high").alias("v"))
+    return pairs.unionByName(more) if both_ends else pairs, leads
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -366,37 +369,38 @@ def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int,
 
     Documents with the same set of shingles are told by its digest, and the first
     stands for all. In each key the first document is compared with all others,
-    the last one too; those that are not like the first go on among themselves,
-    until no key has two documents left.
+    and the last one too. Those that are not like the first are divided by a further
+    band key and compared again, in all DIVISIONS times: so what is alike still
+    shares a key with a good chance, and what is not hardly does.
     """
     rows = stage(_prints(texts, tables, shingle), "simhash-rows", rebalance=False)
     alike = stage(rows.groupBy("whole").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("whole", "lead"), "simhash-alike")
     edges = stage(rows.join(alike, "whole").filter("id != lead").select(F.col("lead").alias("u"), F.col("id").alias("v")), "simhash-edges")
     firsts = stage(rows.join(edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", "fps", "bands"), "simhash-firsts")
     keys = candidate_keys(firsts, max_bits)
-    sets = shingle_sets(texts, keys.select("id").distinct(), shingle)
-    held, done, out, first = [rows, alike, firsts, sets], None, edges, True
-    while True:
-        found, leads = _star_pairs(keys, first)
+    bands = stage(firsts.join(keys.select("id").distinct(), "id").select("id", "bands"), "simhash-bands")
+    sets = shingle_sets(texts, bands.select("id").distinct(), shingle)
+    held, done = [rows, alike, firsts, bands, sets], None
+    for division in range(DIVISIONS):
+        found, leads = _star_pairs(keys, division == 0)
         met = stage(found, "simhash-pairs")
         fresh = met.select("u", "v").distinct()
         fresh = stage(fresh if done is None else fresh.join(done, ["u", "v"], "left_anti"), "simhash-fresh")
-        similar = similar_pairs(fresh, sets, least)
-        out = out.unionByName(similar)
+        edges = edges.unionByName(similar_pairs(fresh, sets, least))
         done = fresh if done is None else done.unionByName(fresh)
-        # Who is not like the first of its key, by this round's or an earlier one's comparison, goes on in that key.
-        ok = out.select("u", "v").distinct()
-        low = met.join(leads.select("key", F.col("low").alias("u")), ["key", "u"], "left_semi")
-        rest = stage(low.join(ok, ["u", "v"], "left_anti").select("key", F.col("v").alias("id")).distinct(), "simhash-keys")
+        # Who is not like the first of its key goes on.
+        unlike = met.join(leads.select("key", F.col("low").alias("u")), ["key", "u"], "left_semi").join(edges, ["u", "v"], "left_anti")
+        further = F.element_at("bands", (F.col("band") + division + 1) % BANDS + 1)
+        rest = stage(unlike.select("key", "band", F.col("v").alias("id")).join(bands, "id").select(F.xxhash64("key", further).alias("key"), "band", "id").distinct(), "simhash-keys")
         for table in (keys, leads, met):
             drop_stage(table)
-        keys, first = rest, False
+        keys = rest
         held.append(fresh)
-        if keys.groupBy("key").count().filter("count > 1").isEmpty():
+        if keys.isEmpty():
             break
     for table in (keys, *held):
         drop_stage(table)
-    return out
+    return edges
 
 
 def drop_near_copies(
