@@ -10,6 +10,7 @@ from listaro.operators import aggregates as A
 from listaro.operators import control as C
 from listaro.operators import filters as O
 from listaro.operators import joins as J
+from listaro.operators import facts as T
 from listaro.operators import parsing as P
 from listaro.operators import publish as B
 from listaro.plans.bindings import AS_OF_SQL, BINDINGS, as_of, bound, cte
@@ -115,13 +116,8 @@ SELECT cast(c_custkey AS VARCHAR) AS id, CASE WHEN {_SHOWN} = 'Eier (Selveier)'
   c_custkey * 1000 + 500 AS totalpris, CASE WHEN c_custkey % 6 <> 0 THEN c_nationkey::BIGINT END AS fellesgjeld, ['Balkong', 'Heis', c_mktsegment] AS facilities FROM customer
 """)
 def page_details(spark, d) -> DataFrame:
-    """Detail fields of a page: ownership, energy grade and colour, money by its labels, facilities."""
-    html = F.col("html")
-    shown = F.regexp_extract(html, r'data-testid="info-ownership-type"><dd>([^<]*)</dd>', 1)
-    label, badge = F.regexp_extract(html, r'data-testid="energy-label">([^<]*)<', 1), F.regexp_extract(html, r'<svg aria-label="([^"]*)"', 1)
-    code = F.get(P.targeting_map(html)["ownership_type"], F.lit(0))
-    rows = bound(spark, d, "ad_pages").select("id", P.ownership(shown, code).alias("eieform"), P.energy(label, badge).alias("e"), P.money(html).alias("m"), P.facilities(html).alias("facilities"))
-    return rows.select("id", "eieform", F.col("e.letter").alias("energimerke"), F.col("e.colour").alias("energifarge"), *[F.col("m")[k].alias(c) for k, c in P.MONEY.items() if k in ("Totalpris", "Fellesgjeld")], "facilities")
+    """Some detail fields of a page: ownership, energy grade and colour, money by its labels, facilities."""
+    return P.detail_fields(bound(spark, d, "ad_pages")).select("id", "eieform", "energimerke", "energifarge", "totalpris", "fellesgjeld", "facilities")
 
 
 @query("""
@@ -151,30 +147,26 @@ def annotation_rows(spark, d) -> DataFrame:
 _PROSE = "CASE doc_id % 6 WHEN 0 THEN ' Det er egen utleiedel. ' WHEN 1 THEN ' Det er ikke tillatt med utleie. Dyrehold er tillatt. ' WHEN 2 THEN ' Boligen kan leies ut. Husdyr ikke tillatt uten styrets samtykke. ' WHEN 3 THEN ' Forbud mot husdyr. ' ELSE ' ' END"
 
 
-@query(f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') || {_PROSE} AS x FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(x, 'egen (?:utleie|hybel)|utleiedel|hybelleilighet', 'i') THEN 'egen_enhet' WHEN regexp_matches(x, 'ikke (?:anledning|tillatt|lov).{{0,30}}(?:leie ut|utleie)', 'i') THEN 'ikke_tillatt' WHEN regexp_matches(x, 'anledning til å leie ut|kan leies ut|utleie er tillatt', 'i') THEN 'tillatt' END AS rental,
-  CASE WHEN regexp_matches(x, '(?:dyrehold|husdyr)[^.]{{0,80}}?(?:godkjenn|samtykke|søknad|styret)', 'i') THEN 'krever_godkjenning' WHEN regexp_matches(x, '(?:dyrehold|husdyr)[^.]{{0,60}}?ikke tillatt|forbud mot (?:dyrehold|husdyr)', 'i') THEN 'ikke_tillatt' WHEN regexp_matches(x, '(?:dyrehold|husdyr)[^.]{{0,60}}?(?:er )?tillatt', 'i') THEN 'tillatt' END AS pets FROM t
+@query("""
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'egen_enhet' WHEN 1 THEN 'ikke_tillatt' WHEN 2 THEN 'tillatt' END AS rental,
+  CASE doc_id % 6 WHEN 1 THEN 'tillatt' WHEN 2 THEN 'krever_godkjenning' WHEN 3 THEN 'ikke_tillatt' END AS pets FROM documents
 """)
 def prose_rules(spark, d) -> DataFrame:
-    """Rental and pet rules of the documents, each followed by a listing's sentences."""
+    """Rental and pet rules of the documents, each followed by a listing's sentences; expected is what a reader takes from those."""
     rows = read_table(spark, f"{d}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.expr(_PROSE)).alias("x"))
-    return rows.select("doc_id", P.first_match(F.col("x"), P.RENTAL).alias("rental"), P.first_match(F.col("x"), P.PETS).alias("pets"))
+    return rows.select("doc_id", T.rental(F.col("x")).alias("rental"), T.pets(F.col("x")).alias("pets"))
 
 
 _PAPERS = "CASE doc_id % 9 WHEN 0 THEN ' Det foreligger ikke ferdigattest, men midlertidig brukstillatelse. ' WHEN 1 THEN ' Ferdigattest er utstedt 2001. ' WHEN 2 THEN ' Det er ikke mottatt Ferdigattest. ' WHEN 3 THEN ' Se punktet ferdigattest/midlertidig brukstillatelse for mer. ' WHEN 4 THEN ' Midlertidig brukstillatelse av 1999. ' WHEN 5 THEN ' At ferdigattest eksisterer, gir ingen garanti for annet. ' WHEN 6 THEN ' Ferdigattesten omfatter ikke boden. ' ELSE ' ' END"
-_C = {k: getattr(P, f"CERTIFICATE_{k}").replace("'", "''") for k in ("ASIDE", "DENIED", "STATED", "TEMPORARY", "NAMED")}
 
 
-@query(f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') || {_PAPERS} AS x FROM documents), o AS (SELECT doc_id, x, regexp_replace(x, '{_C["ASIDE"]}', ' ', 'gi') AS own FROM t)
-SELECT doc_id, CASE WHEN regexp_matches(own, '{_C["DENIED"]}', 'i') THEN CASE WHEN regexp_matches(own, '{_C["TEMPORARY"]}', 'i') THEN 'midlertidig' ELSE 'ingen' END
-  WHEN regexp_matches(own, '{_C["STATED"]}', 'i') THEN 'ferdigattest' WHEN regexp_matches(own, '{_C["TEMPORARY"]}', 'i') THEN 'midlertidig' WHEN regexp_matches(x, '{_C["NAMED"]}', 'i') THEN 'ferdigattest' END AS certificate FROM o
+@query("""
+SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'midlertidig' WHEN 1 THEN 'ferdigattest' WHEN 2 THEN 'ingen' WHEN 3 THEN 'ferdigattest' WHEN 4 THEN 'midlertidig' WHEN 5 THEN 'ferdigattest' WHEN 6 THEN 'ferdigattest' END AS certificate FROM documents
 """)
 def certificates(spark, d) -> DataFrame:
-    """What the documents, each followed by a listing's sentence, say of a completion certificate."""
+    """What the documents, each followed by a listing's sentence, say of a completion certificate; expected is what a reader takes from it."""
     rows = read_table(spark, f"{d}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.expr(_PAPERS)).alias("x"))
-    return rows.select("doc_id", P.certificate(F.col("x")).alias("certificate"))
+    return rows.select("doc_id", T.certificate(F.col("x")).alias("certificate"))
 
 
 # Chains

@@ -23,9 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(KEY, None)
     if found:
         return found
-    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError(f"{KEY} must name a folder that all machines of the cluster share")
+    app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="listaro-")
     return _OWN[app]
