@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from listaro.config import CONFIG, Config
 from listaro.functions import scalars as S
 from listaro.operators import joins as J
+from listaro.operators.places import placed
+from listaro.staging import stage
 
 MIN_BATCH, MIN_BASELINE_ROWS, MIN_BASELINE, DROP_FACTOR = 100, 200, 0.05, 0.4
 SEVERITY = ("kosmetisk", "mindre", "vesentlig", "alvorlig")
@@ -38,11 +40,22 @@ def drift_status(batch_n: Column, base_n: Column) -> Column:
     return F.when(batch_n < MIN_BATCH, "skipped:batch").when(base_n < MIN_BASELINE_ROWS, "skipped:baseline").otherwise("checked")
 
 
+def medians(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, median) of the values that are not null, exact: those at the middle places, so a key's values are never in one task."""
+    counts = stage(df.groupBy(key).agg(F.count(value).alias("n")), "median-counts")
+    at = placed(df.filter(F.col(value).isNotNull()).select(key, value), [key], [value], "place_").withColumnRenamed(key, "of_")
+    middle = at.join(counts, at["of_"].eqNullSafe(counts[key])).filter(F.col("place_").between(F.expr("(n + 1) div 2"), F.expr("(n + 2) div 2")))
+    found = middle.groupBy("of_").agg((F.min(value) + (F.max(value) - F.min(value)) / 2).cast("double").alias("median"))
+    return counts.join(found, counts[key].eqNullSafe(found["of_"]), "left").select(counts[key], "n", "median")
+
+
 def median_mad(df: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, n, median, mad), exact, in two grouped passes."""
-    medians = df.groupBy(key).agg(F.median(value).alias("median"), F.count(value).alias("n"))
-    spread = df.join(medians, key).groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    return medians.join(spread, key, "left").select(key, "n", "median", F.coalesce("mad", F.lit(0.0)).alias("mad"))
+    """(key, n, median, mad), exact, by the places of the values and then of their distances from the median; a null key's deviation is not worked out, and is 0."""
+    first = stage(medians(df, key, value), "median-first")
+    held = first.withColumnRenamed(key, "of_")
+    apart = df.join(held, df[key] == held["of_"]).select(df[key], F.abs(df[value] - held["median"]).alias("apart_"))
+    spread = medians(apart, key, "apart_").select(F.col(key).alias("of_"), F.col("median").alias("mad"))
+    return first.join(spread, first[key].eqNullSafe(spread["of_"]), "left").select(first[key], "n", "median", F.coalesce("mad", F.lit(0.0)).alias("mad"))
 
 
 def _suspicious(peers: DataFrame, min_abs: float, min_rel: float, mad_mult: float, least: int) -> DataFrame:
@@ -147,11 +160,12 @@ def status_changes(observations: DataFrame) -> DataFrame:
 
 
 def apply_budget(calls: DataFrame, cap: int) -> DataFrame:
-    """Each call with its place in its api and month, and whether the cap let it through; blocked calls are not counted."""
-    month = F.date_format("called_at", "yyyy-MM")
-    counted = calls.filter("outcome != 'blocked'").withColumn("month", month)
-    w = Window.partitionBy("api", "month").orderBy("called_at", "event_id")
-    return counted.withColumn("place", F.row_number().over(w)).withColumn("allowed", F.col("place") <= cap)
+    """Each call with its place in its api and month, and whether the cap let it through; blocked calls are not counted.
+
+    An api's month goes over as many tasks as its calls need, see ``placed``.
+    """
+    counted = calls.filter("outcome != 'blocked'").withColumn("month", F.date_format("called_at", "yyyy-MM"))
+    return placed(counted, ["api", "month"], ["called_at", "event_id"]).withColumn("allowed", F.col("place") <= cap)
 
 
 def budget_warnings(calls: DataFrame, cap: int, percents: tuple[int, ...] = (50, 80, 100)) -> DataFrame:

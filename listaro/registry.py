@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import documents, more, nightly, pages, reading, rest, streams
+from listaro.plans import documents, more, nightly, pages, reading, rest, streams, tables
 
-PLANS = (reading, nightly, documents, more, rest, pages, streams)
+PLANS = (reading, nightly, documents, more, rest, pages, tables, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
