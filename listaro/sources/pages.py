@@ -10,16 +10,28 @@ from listaro.functions import scalars as S
 BLOCK_TAGS = r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|footer|nav|header)\b[^>]*>"
 
 
+def read_pages(files: DataFrame) -> DataFrame:
+    """(id, url, html, state) of files (path, content): the id is the last digits of the name; state is ok, blank or unreadable (no UTF-8), whose html is null."""
+    text = F.col("content").cast("string")
+    readable = F.is_valid_utf8(text)
+    blank = F.trim(F.regexp_replace(F.when(readable, text), r"\s+", "")) == ""
+    state = F.when(~readable, "unreadable").when(blank | F.col("content").isNull(), "blank").otherwise("ok")
+    return files.select(S.last_digits(F.regexp_extract("path", r"([^/]*)$", 1)).alias("id"), F.col("path").alias("url"), F.when(readable, text).alias("html"), state.alias("state"))
+
+
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(id, url, html) of a folder with one file per page, the id being the last digits of its name."""
-    rows = spark.read.text(path, wholetext=True).withColumn("url", F.input_file_name())
-    return rows.select(S.last_digits("url").alias("id"), "url", F.col("value").alias("html"))
+    """The pages of a folder with one file each, see ``read_pages``. Files that are gone or can't be read while the job runs are left out, and so count as missing."""
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(path)
+    return read_pages(files.select("path", "content"))
 
 
 def scan_report(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """Counts of wanted ids that are found, missing, or found without any content."""
-    joined = wanted.join(pages.select("id", "html"), "id", "left")
-    return joined.agg(F.count("*").alias("wanted"), F.count_if(F.col("html").isNull()).alias("missing"), F.count_if(F.trim("html") == "").alias("blank"))
+    """Counts of wanted ids, and of those that are missing, blank and unreadable; an id that has several files counts by its best one."""
+    rank = F.array_position(F.array(F.lit("ok"), F.lit("blank"), F.lit("unreadable")), F.col("state"))
+    best = pages.groupBy("id").agg(F.min_by("state", rank).alias("state"))
+    joined = wanted.join(best, "id", "left")
+    count = lambda s: F.count_if(F.col("state") == s).alias(s)
+    return joined.agg(F.count("*").alias("wanted"), F.count_if(F.col("state").isNull()).alias("missing"), count("blank"), count("unreadable"))
 
 
 def append_changed(pages: DataFrame, latest: DataFrame) -> DataFrame:
