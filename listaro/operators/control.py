@@ -18,13 +18,15 @@ def ingest_gate(crawls: DataFrame, by: str) -> DataFrame:
 
 
 def import_cache(cache: DataFrame, incoming: DataFrame, key: str = "sha", defaults: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(cache after the import, one row imported, replaced). Optional columns get defaults; a row without its key stops the import before anything is written."""
+    """(cache after the import, one row imported, replaced). Optional columns get defaults; a row without its key stops the import before anything is written. Of rows that repeat a key the one with the largest values stays."""
     full = incoming
     for name, value in (defaults or {}).items():
         full = full.withColumn(name, F.lit(value)) if name not in full.columns else full
     bad = full.filter(F.col(key).isNull()).count()
     if bad:
         raise ValueError(f"{bad} rows without {key}")
+    others = [c for c in full.columns if c != key]
+    full = full.groupBy(key).agg(F.max(F.struct(*others)).alias("row_")).select(key, *[F.col("row_")[c].alias(c) for c in others]) if others else full.distinct()
     old = cache.select(key).distinct()
     counts = full.join(old.withColumn("old_", F.lit(True)), key, "left").agg(F.count_if(F.col("old_").isNull()).alias("imported"), F.count("old_").alias("replaced"))
     return cache.join(full.select(key), key, "left_anti").unionByName(full.select(*cache.columns)), counts
@@ -82,6 +84,8 @@ def daily_message(added: Column, sold: Column, delisted: Column, active: Column)
 
 def repair_rows(table: DataFrame, wanted: DataFrame, seed: DataFrame, wrong: DataFrame, key: str) -> DataFrame:
     """The seed rows added where their key is missing, but only if any of ``wanted`` is in the table; rows of ``wrong`` keys taken out."""
-    there = not table.join(wanted, key, "left_semi").isEmpty()
+    # One row if any of ``wanted`` is there, none otherwise; the plan stays lazy.
+    there = table.join(wanted, key, "left_semi").limit(1).select(F.lit(True).alias("there_"))
     kept = table.join(wrong, key, "left_anti")
-    return kept.unionByName(seed.join(kept.select(key), key, "left_anti")) if there else kept
+    missing = seed.join(kept.select(key), key, "left_anti")
+    return kept.unionByName(missing.join(F.broadcast(there), F.lit(True), "left_semi"))

@@ -82,8 +82,3 @@ def page_fields(pages: DataFrame) -> DataFrame:
         "page_id", found(r"(?is)<title>(.*?)</title>").alias("title"), found(r"(?is)<h1[^>]*>(.*?)</h1>").alias("heading"), found(r'(?is)<html[^>]*\blang="([^"]*)"').alias("lang"),
         F.regexp_count("html", F.lit(r"(?i)<a\s")).cast("long").alias("n_links"), S.last_digits("url").alias("uid"), F.sha2(F.col("html").cast("binary"), 256).alias("sha"),
     )
-
-
-def newest_per_key(df: DataFrame, key: str, stamp: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(stamp).desc())
-    return df.withColumn("rn_", F.row_number().over(w)).filter("rn_ = 1").drop("rn_")

@@ -62,10 +62,10 @@ def select_work(candidates: DataFrame, cached: DataFrame, limit: int) -> DataFra
 
 
 def limit_calls(rows: DataFrame, destinations: tuple[str, ...], n: int) -> DataFrame:
-    """The first n calls for unknown values, by row and destination; a row may be cut between two calls. 0 is no call."""
+    """The first n calls for unknown values, by row and destination; a row may be cut between two calls. 0 is no limit."""
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(c).alias("destination"), F.col(c).alias("value")) for i, c in enumerate(destinations)]))
     wanted = rows.select("id", pairs.alias("p")).filter("p.value is null").select("id", "p.at", "p.destination")
-    return wanted.orderBy(F.col("id").cast("long"), "at").limit(n).select("id", "destination")
+    return (wanted.orderBy(F.col("id").cast("long"), "at").limit(n) if n else wanted).select("id", "destination")
 
 
 def assign_cards(cards: DataFrame, targets: DataFrame) -> DataFrame:

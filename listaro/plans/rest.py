@@ -12,6 +12,7 @@ from listaro.operators import filters as O
 from listaro.operators import joins as J
 from listaro.operators import facts as T
 from listaro.operators import parsing as P
+from listaro.operators import places as L
 from listaro.operators import publish as B
 from listaro.plans.bindings import AS_OF_SQL, BINDINGS, as_of, bound, cte
 from listaro.plans.documents import _LINES
@@ -340,11 +341,11 @@ def parsed_times(spark, d) -> DataFrame:
     return rows.select("event_id", F.unix_seconds(C.timestamp_utc(F.col("text"))).alias("at"), C.plain_id(F.col("raw")).alias("id"))
 
 
-@query(cte("listings") + ", m AS (SELECT scraped_at::DATE AS day, count(*) FILTER (active) AS a, count(*) FILTER (lower(trim(coalesce(status, ''))) = 'solgt') AS s, count(*) FILTER (lower(trim(coalesce(status, ''))) = 'inaktiv') AS x FROM listings GROUP BY 1) SELECT day, '🏠 Today: +' || a || ' added, -' || (s + x) || ' removed (' || s || ' sold, ' || x || ' delisted). Active: ' || a || '.' AS message FROM m")
+@query(cte("listings") + ", m AS (SELECT scraped_at::DATE AS day, count(*) AS n, count(*) FILTER (active) AS a, count(*) FILTER (lower(trim(coalesce(status, ''))) = 'solgt') AS s, count(*) FILTER (lower(trim(coalesce(status, ''))) = 'inaktiv') AS x FROM listings GROUP BY 1) SELECT day, '🏠 Today: +' || n || ' added, -' || (s + x) || ' removed (' || s || ' sold, ' || x || ' delisted). Active: ' || a || '.' AS message FROM m")
 def daily_messages(spark, d) -> DataFrame:
     s = S.status_key("status")
-    days = bound(spark, d, "listings").groupBy(F.to_date("scraped_at").alias("day")).agg(F.count_if("active").alias("a"), F.count_if(s == "solgt").alias("s"), F.count_if(s == "inaktiv").alias("x"))
-    return days.select("day", C.daily_message(F.col("a"), F.col("s"), F.col("x"), F.col("a")).alias("message"))
+    days = bound(spark, d, "listings").groupBy(F.to_date("scraped_at").alias("day")).agg(F.count("*").alias("n"), F.count_if("active").alias("a"), F.count_if(s == "solgt").alias("s"), F.count_if(s == "inaktiv").alias("x"))
+    return days.select("day", C.daily_message(F.col("n"), F.col("s"), F.col("x"), F.col("a")).alias("message"))
 
 
 @query(cte("sold", "listings", "ledger") + f"""
@@ -400,24 +401,20 @@ def raw_columns(spark, d) -> DataFrame:
     return out.select("id", "bra_i", "raw_bra_i", "pris", "raw_pris", F.lit(out.schema["pris_kvm"].metadata["from"]).alias("pris_kvm_from"))
 
 
-@query(cte("geo", "listings") + "SELECT row_number() OVER (ORDER BY score DESC, field, value DESC, id) AS place, id, field, value, score FROM (SELECT id, 'brj' AS field, brj AS value, CASE WHEN brj > 100 THEN 3 ELSE 2 END AS score FROM geo WHERE brj > 90 UNION ALL SELECT id, 'mvv', mvv, CASE WHEN mvv > 100 THEN 3 ELSE 2 END FROM geo WHERE mvv > 90) QUALIFY place <= 300")
+@query(cte("geo", "listings") + "SELECT row_number() OVER (ORDER BY score DESC, field, value DESC, id) AS place, id, field, value, score FROM (SELECT id, 'brj' AS field, brj AS value, CASE WHEN brj > 100 THEN 3 ELSE 2 END AS score FROM geo WHERE brj > 90 UNION ALL SELECT id, 'mvv', mvv, CASE WHEN mvv > 100 THEN 3 ELSE 2 END FROM geo WHERE mvv > 90) ")
 def sorted_findings(spark, d) -> DataFrame:
-    """The 300 worst findings: by score, then field, then value."""
-    from pyspark.sql import Window
-
+    """All findings in their places: by score, then field, then value."""
     geo = bound(spark, d, "geo")
     parts = [geo.filter(F.col(c) > 90).select("id", F.lit(c).alias("field"), F.col(c).alias("value"), F.when(F.col(c) > 100, 3).otherwise(2).alias("score")) for c in ("brj", "mvv")]
     order = [F.col("score").desc(), F.col("field"), F.col("value").desc(), F.col("id")]
-    return parts[0].unionByName(parts[1]).orderBy(*order).limit(300).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "id", "field", "value", "score")
+    return L.placed(parts[0].unionByName(parts[1]), [], order).select("place", "id", "field", "value", "score")
 
 
-@query(cte("listings") + "SELECT row_number() OVER (ORDER BY active, scraped_at DESC, id) AS place, id, active FROM listings QUALIFY place <= 400")
+@query(cte("listings") + "SELECT row_number() OVER (ORDER BY active, scraped_at DESC, id) AS place, id, active FROM listings")
 def refresh_order(spark, d) -> DataFrame:
-    """The first 400 rows to visit again: inactive ones first, newest first."""
-    from pyspark.sql import Window
-
+    """All rows in the order in which to visit them again: inactive ones first, newest first."""
     order = [F.col("active"), F.col("scraped_at").desc(), F.col("id")]
-    return bound(spark, d, "listings").select("id", "active", "scraped_at").orderBy(*order).limit(400).select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"), "id", "active")
+    return L.placed(bound(spark, d, "listings").select("id", "active", "scraped_at"), [], order).select("place", "id", "active")
 
 
 _FILTERS = {"pris": (0, 5_000_000), "bra_i": (60, None), "byggeaar": (None, None), "brj": (None, None)}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from listaro.plans import documents, more, nightly, pages, payloads, reading, rest, streams, tables
+from listaro.plans import documents, extra, more, nightly, pages, payloads, reading, rest, streams, tables
 
-PLANS = (reading, nightly, documents, more, rest, pages, tables, payloads, streams)
+PLANS = (reading, nightly, documents, more, rest, pages, tables, payloads, extra, streams)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

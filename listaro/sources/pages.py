@@ -20,7 +20,7 @@ def read_pages(files: DataFrame) -> DataFrame:
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of a folder with one file each, see ``read_pages``. Files that are gone or can't be read while the job runs are left out, and so count as missing."""
+    """The pages of a folder with one file each, see ``read_pages``. Files that are gone or can't be read while the job runs are left out, and so count as missing; so do files of no bytes, which the reader skips."""
     files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").load(path)
     return read_pages(files.select("path", "content"))
 

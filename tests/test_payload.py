@@ -18,7 +18,7 @@ def test_detail_reads_only_its_parts(spark, tmp_path):
 
 
 def test_scan_counts_missing_blank_and_unreadable_files(spark, tmp_path):
-    for name, content in {"ad-1.html": b"<p>one</p>", "ad-2.html": b" \n\t", "ad-3.html": b"\xff\xfe\xc3(", "ad-4.html": b"", "deep/ad-5.html": "<p>å</p>".encode(), "deep/ad-2.html": b"<p>better</p>"}.items():
+    for name, content in {"ad-1.html": b"<p>one</p>", "ad-2.html": b" \n\t", "ad-3.html": b"\xff\xfe\xc3(", "ad-4.html": b"\n", "deep/ad-5.html": "<p>å</p>".encode(), "deep/ad-2.html": b"<p>better</p>"}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
     pages = G.scan_pages(spark, str(tmp_path))
