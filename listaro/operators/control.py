@@ -82,6 +82,32 @@ def daily_message(added: Column, sold: Column, delisted: Column, active: Column)
     return F.format_string("\U0001F3E0 Today: +%d added, -%d removed (%d sold, %d delisted). Active: %d.", added, sold + delisted, sold, delisted, active)
 
 
+def weekly_message(added: Column, sold: Column) -> Column:
+    return F.format_string("\U0001F4C5 This week: +%d added, %d sold.", added, sold)
+
+
+def percent(share: Column, digits: int = 0) -> Column:
+    """A share as a percentage, half up."""
+    scale = 10**digits
+    return F.format_string(f"%.{digits}f%%", F.floor(share * 100 * scale + 0.5) / scale)
+
+
+def progress_message(suspended: Column, new: Column, priced: Column, total: Column) -> Column:
+    """How far the prices of sold listings are known; "" while there is nothing to say."""
+    share = F.coalesce(priced / F.nullif(total, F.lit(0)), F.lit(0.0))
+    lead = F.when(suspended, "SUSPENDED (throttled) — ").otherwise(F.format_string("+%d today, ", new))
+    text = F.concat(F.lit("\U0001F4B0 Sold prices: "), lead, priced.cast("string"), F.lit("/"), total.cast("string"), F.lit(" ("), percent(share), F.lit(") covered."))
+    return F.when(~suspended & (new == 0) & (total == 0), "").otherwise(text)
+
+
+def drift_messages(findings: DataFrame, *by: str) -> DataFrame:
+    """(by, message): a line for each field that drifted, by name, under their number. ``findings``: as ``drift_findings`` gives them; fields are few."""
+    line = F.concat(F.col("column"), F.lit("  "), percent(F.col("base_rate"), 1), F.lit(" -> "), percent(F.col("rate"), 1), F.lit("  (n="), F.col("n").cast("string"), F.lit(")"))
+    lines = F.array_sort(F.collect_list(line))
+    head = F.format_string("Parser drift: %d field(s)", F.count("*"))
+    return findings.groupBy(*by).agg(F.array_join(F.concat(F.array(head), lines), "\n").alias("message"))
+
+
 def repair_rows(table: DataFrame, wanted: DataFrame, seed: DataFrame, wrong: DataFrame, key: str) -> DataFrame:
     """The seed rows added where their key is missing, but only if any of ``wanted`` is in the table; rows of ``wrong`` keys taken out."""
     # One row if any of ``wanted`` is there, none otherwise; the plan stays lazy.

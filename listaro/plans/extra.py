@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listaro.functions import scalars as S
+from listaro.operators import control as C
 from listaro.operators import facts as T
 from listaro.operators import merge as M
+from listaro.operators import parsing as X
 from listaro.operators import prose as P
 from listaro.operators import ranking as R
+from listaro.plans import nightly
 from listaro.plans.bindings import bound, cte
 from listaro.staging import read_table
 
@@ -83,3 +86,36 @@ def replaced_metrics(spark, d) -> DataFrame:
 def unlimited_calls(spark, d) -> DataFrame:
     """All calls for unknown values, as a limit of 0 is none."""
     return R.limit_calls(bound(spark, d, "geo"), ("brj", "mvv"), 0)
+
+
+# Messages and sale cards
+
+
+@query("""
+WITH w AS (SELECT date_trunc('week', ts)::DATE AS week, count(*) FILTER (event_type = 'view') AS added, count(*) FILTER (event_type = 'purchase') AS sold, count(*) FILTER (event_type = 'error' AND event_id % 3 = 0) AS priced, count(*) FILTER (event_type = 'error') AS total FROM events GROUP BY 1)
+SELECT week, '📅 This week: +' || added || ' added, ' || sold || ' sold.' AS weekly,
+  CASE WHEN day(week) % 2 = 0 THEN '💰 Sold prices: SUSPENDED (throttled) — ' ELSE '💰 Sold prices: +' || sold || ' today, ' END || priced || '/' || total || ' (' || cast(floor(priced / total::DOUBLE * 100 + 0.5) AS BIGINT) || '%) covered.' AS progress FROM w
+""")
+def weekly_messages(spark, d) -> DataFrame:
+    """The week's text, and how far sold prices are known."""
+    kind = F.col("event_type")
+    weeks = read_table(spark, f"{d}/events.parquet").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(
+        F.count_if(kind == "view").alias("added"), F.count_if(kind == "purchase").alias("sold"), F.count_if((kind == "error") & (F.col("event_id") % 3 == 0)).alias("priced"), F.count_if(kind == "error").alias("total"))
+    return weeks.select("week", C.weekly_message(F.col("added"), F.col("sold")).alias("weekly"), C.progress_message(F.dayofmonth("week") % 2 == 0, F.col("sold"), F.col("priced"), F.col("total")).alias("progress"))
+
+
+@query(f"""WITH f AS ({nightly.SQL['drift_findings']})
+SELECT batch, 'Parser drift: ' || count(*) || ' field(s)' || chr(10) || string_agg("column" || '  ' || printf('%.1f', floor(base_rate * 1000 + 0.5) / 10) || '% -> ' || printf('%.1f', floor(rate * 1000 + 0.5) / 10) || '%  (n=' || n || ')', chr(10) ORDER BY "column") AS message FROM f GROUP BY batch
+""")
+def drift_texts(spark, d) -> DataFrame:
+    """The alert of each batch in which a field drifted."""
+    return C.drift_messages(nightly.drift_findings(spark, d), "batch")
+
+
+_CARD = "'{\"docs\":[{\"adId\":' || cast(o_orderkey AS string) || ',\"address\":\"Vei ' || cast(o_custkey AS string) || '\",\"cadastralSoldPrice\":' || CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE cast(o_orderkey * 100 AS string) END || ',\"cadastralSoldDate\":\"2021-0' || cast(o_orderkey % 9 + 1 AS string) || '-11\",\"priceSuggestion\":' || cast(o_orderkey * 90 AS string) || ',\"soldDate\":\"2020-01-0' || cast(o_orderkey % 9 + 1 AS string) || '\",\"propertyType\":\"Leilighet\",\"size\":' || cast(o_orderkey % 200 AS string) || ',\"bedrooms\":' || cast(o_orderkey % 6 AS string) || ',\"collectiveDebt\":' || cast(o_orderkey % 7000 AS string) || ',\"ownershipType\":\"Andel\",\"more\":[1]},{\"address\":\"no key\"}]}'"
+
+
+@query("SELECT cast(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey * 100 END AS sold_price, '2021-0' || (o_orderkey % 9 + 1) || '-11' AS registered_date, '2020-01-0' || (o_orderkey % 9 + 1) AS sold_date, o_orderkey * 90 AS price_suggestion, 'Vei ' || o_custkey AS address, (o_orderkey % 200)::INT AS size, 'Leilighet' AS kind, (o_orderkey % 6)::INT AS bedrooms, o_orderkey % 7000 AS collective_debt, 'Andel' AS ownership FROM orders WHERE o_orderkey % 13 <> 0")
+def sale_card_fields(spark, d) -> DataFrame:
+    """All columns of the sale cards; bodies that are no JSON have none."""
+    return X.sale_cards(read_table(spark, f"{d}/orders.parquet").selectExpr(f"CASE WHEN o_orderkey % 13 = 0 THEN '<html>' ELSE {_CARD} END AS body"))

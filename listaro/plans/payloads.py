@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listaro.functions import scalars as S
 from listaro.operators import aggregates as A
+from listaro.operators import filters as O
 from listaro.operators import joins as J
 from listaro.operators import payload as Y
 from listaro.plans import nightly, reading
@@ -98,6 +100,43 @@ def payload_detail(spark, d) -> DataFrame:
     return _flat(Y.detail(spark, path, [*_WANTED, "b:" + hashlib.sha1(b"https://B.example/Homes/3").hexdigest()[:16]]))
 
 
+# The whole selection
+
+
+_BOUNDS = {
+    "at_most": {"pris": 5_500_000, "totalpris": 6_500_000, "felleskost_mnd": 5200, "pris_kvm_totalpris": 80_000, "maanedskost": 6300, "pris_kvm": 75_000, "reparasjon_est": 420_000}, "at_least": {"bra_i": 45, "soverom": 1, "byggeaar": 1925},
+    "travel_max": {"brj": 95, "mvv": 99},
+    "selected": {
+        "boligtype": ("", "1-URGENT", "2-HIGH", "3-MEDIUM", "BUILDING"), "tag": ("",), "tilgjengelighet": ("", "Solgt", "Inaktiv"), "energimerke": ("", "A", "C"), "alvorlighet": ("", "mindre", "vesentlig", "alvorlig"),
+        "ferdigattest": ("", "ferdigattest"), "utleie": ("", "tillatt"), "husdyr": ("",),
+    },
+    "selected_sets": {"eieform": ("Eier", "Andel")}, "facilities": ("heis",), "sold_at_most": {"sold_price": 5_600_000, "premium": 2.4},
+}
+
+
+def _shown_sql(include_unknown: bool) -> str:
+    """The selection as SQL: what is unknown fails a bound only if it is not included, is the value "" of a selection, and never fails a travel time."""
+    lost = "false" if include_unknown else "true"
+    tests = [f"CASE WHEN {c} IS NULL THEN {lost} ELSE {c} > {v} END" for c, v in _BOUNDS["at_most"].items()] + [f"CASE WHEN {c} IS NULL THEN {lost} ELSE {c} < {v} END" for c, v in _BOUNDS["at_least"].items()]
+    tests += [f"coalesce(CASE WHEN {c} < 0 THEN 999 ELSE {c} END > {v}, false)" for c, v in _BOUNDS["travel_max"].items()]
+    tests += [f"coalesce({c}, '') NOT IN ({', '.join(repr(x) for x in v)})" for c, v in _BOUNDS["selected"].items()]
+    tests += [f"CASE WHEN coalesce({c}, '') = '' THEN {lost} ELSE {c} NOT IN ({', '.join(repr(x) for x in v)}) END" for c, v in _BOUNDS["selected_sets"].items()]
+    tests += [f"sold AND CASE WHEN {c} IS NULL THEN {lost} ELSE {c} > {v} END" for c, v in _BOUNDS["sold_at_most"].items()]
+    tests += [f"CASE WHEN len(coalesce(facilities, [])) = 0 THEN {lost} ELSE NOT list_has_all(facilities, {list(_BOUNDS['facilities'])}) END"]
+    return " AND ".join(f"NOT ({t})" for t in tests)
+
+
+@query(_PAYLOAD.replace("WITH ", cte("sold") + ", ", 1) + f""", i AS (SELECT payload.*, NULL::VARCHAR AS tag, sold.sold_price, CASE WHEN sold.price_suggestion > 0 THEN (sold.sold_price - sold.price_suggestion) / sold.price_suggestion::DOUBLE * 100.0 END AS premium FROM payload LEFT JOIN sold USING (id))
+SELECT id, bucket, {_shown_sql(True)} AS shown, {_shown_sql(False)} AS shown_if_known FROM i
+""")
+def payload_predicate(spark, d) -> DataFrame:
+    """Twelve bounds, travel times, eight selections, sets and facilities over the payload, with what is unknown and without."""
+    sales = bound(spark, d, "sold").select("id", "sold_price", S.premium_pct("sold_price", "price_suggestion").alias("premium"))
+    rows = _flat(_payload(spark, d)).withColumn("tag", F.lit(None).cast("string")).join(sales, "id", "left")
+    shown = [~O.listing_excluded(O.Filters(**_BOUNDS, include_unknown=x)) for x in (True, False)]
+    return rows.select("id", "bucket", shown[0].alias("shown"), shown[1].alias("shown_if_known"))
+
+
 # A corpus of landed files
 
 
