@@ -285,9 +285,7 @@ def match_sources(spark, d) -> DataFrame:
 
 @query(cte("geo") + "SELECT count(*) AS pairs, count(DISTINCT a.id) AS rows FROM geo a JOIN geo b ON a.id <> b.id AND abs(a.lat - b.lat) < 0.003 AND abs(a.lng - b.lng) < 0.006 AND 2 * 6371000.0 * atan2(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)), sqrt(1 - (pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 300")
 def radius_join(spark, d) -> DataFrame:
-    geo = bound(spark, d, "geo").select("id", "lat", "lng")
-    peers = geo.select(F.col("id").alias("peer_id"), F.col("lat").alias("peer_lat"), F.col("lng").alias("peer_lng"))
-    return J.radius_join(geo, peers, 300.0).filter("id != peer_id").groupBy("id").count().agg(F.sum("count").alias("pairs"), F.count("*").alias("rows"))
+    return J.count_pairs(bound(spark, d, "geo").select("id", "lat", "lng"), 300.0)
 
 
 _DIST = "2 * 6371000.0 * atan2(sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)), sqrt(1 - (pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
