@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listaro.operators import joins as J
-from listaro.staging import stage
+from listaro.staging import drop_stage, stage
 
 
 def assign_donors(rows: DataFrame, candidates: DataFrame, radius_m: float) -> DataFrame:
@@ -20,39 +20,70 @@ def assign_donors(rows: DataFrame, candidates: DataFrame, radius_m: float) -> Da
     in the pool at its turn. A pointer to a row that got one in this pass moves
     on to that row's donor, also a pointer that was there before.
     """
-    last = F.lit(2**62)
-    cand = candidates.withColumn("peer_ord", F.coalesce("ord", last)).drop("ord")
-    own = cand.select(F.col("peer_id").alias("id"), F.col("peer_lat").alias("lat"), F.col("peer_lng").alias("lng"), F.col("peer_ord").alias("my_ord"))
-    later = J.radius_join(own.filter(F.col("my_ord") < last), cand, radius_m).filter("peer_id != id and peer_ord > my_ord")
-    evicted = stage(later.select(F.col("id").alias("peer_id")).distinct().withColumn("evicted", F.lit(True)), "donors-evicted")
-    free = rows.filter(F.coalesce(F.trim("donor"), F.lit("")) == "").select("id", "lat", "lng", "ord")
-    pairs = J.radius_join(free, cand, radius_m).filter("peer_id != id").join(evicted, "peer_id", "left")
-    live = pairs.filter(F.col("evicted").isNull() | (F.col("peer_ord") > F.col("ord")))
-    links = stage(live.groupBy("id").agg(F.min_by("peer_id", F.struct("dist", "rank")).alias("target")), "donors-links")
+    at, last = ["lat", "lng"], F.lit(2**62)
+    there = "peer_lat is not null and peer_lng is not null"
+    pool = candidates.filter(there).withColumn("peer_ord", F.coalesce("ord", last)).drop("ord")
+    # Rows at one place have the same neighbours, so the last candidate of each place tells who has a later one near.
+    lasts = pool.groupBy("peer_lat", "peer_lng").agg(F.max("peer_ord").alias("peer_last"))
+    near = J.radius_join(lasts.toDF("lat", "lng", "own_last").drop("own_last"), lasts, radius_m).groupBy(*at).agg(F.max("peer_last").alias("near_last"))
+    judged = pool.join(near.toDF("peer_lat", "peer_lng", "near_last"), ["peer_lat", "peer_lng"]).withColumn("evicted", (F.col("peer_ord") < last) & (F.col("near_last") > F.col("peer_ord")))
+    judged = stage(judged.drop("near_last"), "donors-pool")
+    free = rows.filter(F.coalesce(F.trim("donor"), F.lit("")) == "").filter("lat is not null and lng is not null").select("id", "lat", "lng", "ord")
+    staying = J.nearest_ranked(free, judged.filter("not evicted"), radius_m).withColumnRenamed("donor_id", "peer_id")
+    found = staying.unionByName(_nearest_leaving(free, judged.filter("evicted"), radius_m))
+    links = stage(found.groupBy("id").agg(F.min_by("peer_id", F.struct("dist", "rank", "peer_id")).alias("target")), "donors-links")
     held = rows.filter(F.coalesce(F.trim("donor"), F.lit("")) != "").select("id", F.trim("donor").alias("target"))
     moved = held.join(links.select(F.col("id").alias("target")), "target", "left_semi").select("id", "target")
     # Only links made in this pass are followed.
     return J.chain_roots(links.unionByName(moved)).select("id", F.col("root").alias("donor_id"))
 
 
+def _nearest_leaving(free: DataFrame, leaving: DataFrame, radius_m: float) -> DataFrame:
+    """(id, peer_id, dist, rank): the nearest candidate that leaves the pool after the row's turn, for rows (id, lat, lng, ord).
+
+    Seen from a place, a place further off counts only for turns before which all nearer ones are empty:
+    each row has one distance, and at that the least rank of those whose turn comes later.
+    """
+    at = ["lat", "lng"]
+    lasts = leaving.groupBy("peer_lat", "peer_lng").agg(F.max("peer_ord").alias("peer_last"))
+    met = J.radius_join(free.select(*at).distinct(), lasts, radius_m)
+    rings = met.groupBy(*at, "dist").agg(F.max("peer_last").alias("until"), F.collect_list(F.struct("peer_lat", "peer_lng")).alias("places"))
+    nearer = F.max("until").over(Window.partitionBy(*at).orderBy("dist").rowsBetween(Window.unboundedPreceding, -1))
+    steps = rings.withColumn("since", nearer).filter("since is null or until > since")
+    asks = free.join(steps, at).filter("ord < until and (since is null or ord >= since)").select("id", "ord", "dist", F.explode("places").alias("p"))
+    asks = asks.select("p.peer_lat", "p.peer_lng", "ord", F.lit(0).alias("given"), "id", "dist")
+    gives = leaving.select("peer_lat", "peer_lng", F.col("peer_ord").alias("ord"), F.lit(1).alias("given"), F.struct("rank", "peer_id").alias("x"))
+    # From the last turn to the first; a row stands before the candidates of its own turn.
+    so_far = Window.partitionBy("peer_lat", "peer_lng").orderBy(F.col("ord").desc(), "given").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = asks.unionByName(gives, allowMissingColumns=True).withColumn("x", F.min("x").over(so_far))
+    return both.filter("given = 0 and x is not null").select("id", F.col("x.peer_id").alias("peer_id"), "dist", F.col("x.rank").alias("rank"))
+
+
 def estimate_growing(rows: DataFrame, radius_m: float) -> DataFrame:
     """(id, calls) where each row that finds no earlier caller near has to call, and can then be reused by later ones.
 
-    In rounds: a row with a calling earlier neighbour reuses; a row whose
-    earlier neighbours all reuse calls. Rows without coordinates always call,
-    and give nothing; rows with a pointer never do.
+    Only the first row of a place can call: whoever it reuses is near the later ones too.
+    In rounds: a place without an open earlier neighbour calls, and those after it that
+    are near reuse. Rows without coordinates always call, and give nothing; rows with a pointer never do.
     """
+    at = ["lat", "lng"]
     free = rows.filter(F.coalesce(F.trim("donor"), F.lit("")) == "")
     placed = free.filter("lat is not null and lng is not null")
-    peers = placed.select(F.col("id").alias("peer_id"), F.col("lat").alias("peer_lat"), F.col("lng").alias("peer_lng"), F.col("ord").alias("peer_ord"))
-    before = stage(J.radius_join(placed.select("id", "lat", "lng", "ord"), peers, radius_m).filter("peer_ord < ord").select("id", "peer_id"), "growing-pairs")
-    state = stage(placed.join(before.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("calls")), "growing-state")
-    open_rows = stage(before.select("id").distinct(), "growing-open")
-    while not open_rows.isEmpty():  # the earliest open row is always settled, so each round settles some
-        seen = before.join(open_rows, "id", "left_semi").join(state.select(F.col("id").alias("peer_id"), "calls"), "peer_id", "left")
-        by_row = seen.groupBy("id").agg(F.bool_or(F.coalesce("calls", F.lit(False))).alias("reuses"), F.bool_and(F.col("calls").isNotNull()).alias("settled"))
-        new = stage(by_row.filter("reuses or settled").select("id", (~F.col("reuses")).alias("calls")), "growing-new")
-        state = stage(state.unionByName(new), "growing-state")
-        open_rows = stage(open_rows.join(new, "id", "left_anti"), "growing-open")
+    places = stage(placed.filter("ord is not null").groupBy(*at).agg(F.min("ord").alias("ord"), F.min_by("id", F.struct("ord", "id")).alias("id")), "growing-places")
+    peers = places.select(F.col("id").alias("peer_id"), F.col("lat").alias("peer_lat"), F.col("lng").alias("peer_lng"), F.col("ord").alias("peer_ord"))
+    before = stage(J.radius_join(places, peers, radius_m).filter("peer_ord < ord").select("id", "peer_id"), "growing-pairs")
+    open_rows, calling = stage(places.select("id"), "growing-open"), None
+    while not open_rows.isEmpty():  # the earliest open place always calls, so each round settles some
+        callers = stage(open_rows.join(before.select("id"), "id", "left_anti"), "growing-callers")
+        reusing = stage(before.join(callers.select(F.col("id").alias("peer_id")), "peer_id", "left_semi").select("id").distinct(), "growing-reusing")
+        left = stage(before.join(reusing, "id", "left_anti").join(reusing.select(F.col("id").alias("peer_id")), "peer_id", "left_anti"), "growing-pairs")
+        still = stage(open_rows.join(callers.unionByName(reusing), "id", "left_anti"), "growing-open")
+        so_far = callers if calling is None else stage(calling.unionByName(callers), "growing-calling")
+        for table in (before, open_rows, reusing, *([calling, callers] if calling is not None else [])):
+            drop_stage(table)
+        before, open_rows, calling = left, still, so_far
+    first = places.select("lat", "lng", F.col("ord").alias("first_ord"), "id")
+    first = first.join(calling, "id", "left_semi").drop("id") if calling is not None else first.filter("false").drop("id")
+    settled = placed.join(first, at, "left").select("id", (F.col("ord").isNull() | F.coalesce(F.col("ord") == F.col("first_ord"), F.lit(False))).alias("calls"))
     unplaced = free.filter("lat is null or lng is null").select("id", F.lit(True).alias("calls"))
-    return state.unionByName(unplaced).unionByName(rows.filter(F.coalesce(F.trim("donor"), F.lit("")) != "").select("id", F.lit(False).alias("calls")))
+    return settled.unionByName(unplaced).unionByName(rows.filter(F.coalesce(F.trim("donor"), F.lit("")) != "").select("id", F.lit(False).alias("calls")))
