@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listaro.operators import joins as J
 from listaro.staging import drop_stage, stage
 
+#: Degrees of latitude, and half those of longitude, that a block of the growing estimate spans.
+BLOCK = 0.05
+
 
 def assign_donors(rows: DataFrame, candidates: DataFrame, radius_m: float) -> DataFrame:
     """(id, donor_id) of rows that get a donor, as if rows were handled one by one in ``ord``.
@@ -59,31 +63,47 @@ def _nearest_leaving(free: DataFrame, leaving: DataFrame, radius_m: float) -> Da
     return both.filter("given = 0 and x is not null").select("id", F.col("x.peer_id").alias("peer_id"), "dist", F.col("x.rank").alias("rank"))
 
 
+def _settler():
+    # Inside a function, so that it travels by itself to machines without this package.
+    def settled(pairs):
+        """(id, calls) of the places of one block that what is known settles, in order; pairs: ord, id, peer_id, calls of the peer or null."""
+        found: dict = {}
+        for (_, place), peers in pairs.groupby(["ord", "id"], sort=True):
+            calls = [found.get(p, None if c is None or c != c else bool(c)) for p, c in zip(peers["peer_id"], peers["calls"])]
+            if any(calls):
+                found[place] = False
+            elif None not in calls:
+                found[place] = True
+        return pd.DataFrame({"id": list(found), "calls": list(found.values())}).astype({"id": object, "calls": bool})
+
+    return settled
+
+
 def estimate_growing(rows: DataFrame, radius_m: float) -> DataFrame:
     """(id, calls) where each row that finds no earlier caller near has to call, and can then be reused by later ones.
 
     Only the first row of a place can call: whoever it reuses is near the later ones too.
-    In rounds: a place without an open earlier neighbour calls, and those after it that
-    are near reuse. Rows without coordinates always call, and give nothing; rows with a pointer never do.
+    In rounds: each block of the map settles its places in order, as far as what it knows of
+    other blocks goes, so a line of neighbours takes a round for each block that it enters. Rows without coordinates always call, and give nothing; rows with a pointer never do.
     """
     at = ["lat", "lng"]
     free = rows.filter(F.coalesce(F.trim("donor"), F.lit("")) == "")
     placed = free.filter("lat is not null and lng is not null")
-    places = stage(placed.filter("ord is not null").groupBy(*at).agg(F.min("ord").alias("ord"), F.min_by("id", F.struct("ord", "id")).alias("id")), "growing-places")
+    places = stage(placed.filter("ord is not null").groupBy(*at).agg(F.min("ord").alias("ord"), F.min_by("id", F.struct("ord", "id")).cast("string").alias("id")), "growing-places")
     peers = places.select(F.col("id").alias("peer_id"), F.col("lat").alias("peer_lat"), F.col("lng").alias("peer_lng"), F.col("ord").alias("peer_ord"))
-    before = stage(J.radius_join(places, peers, radius_m).filter("peer_ord < ord").select("id", "peer_id"), "growing-pairs")
-    open_rows, calling = stage(places.select("id"), "growing-open"), None
-    while not open_rows.isEmpty():  # the earliest open place always calls, so each round settles some
-        callers = stage(open_rows.join(before.select("id"), "id", "left_anti"), "growing-callers")
-        reusing = stage(before.join(callers.select(F.col("id").alias("peer_id")), "peer_id", "left_semi").select("id").distinct(), "growing-reusing")
-        left = stage(before.join(reusing, "id", "left_anti").join(reusing.select(F.col("id").alias("peer_id")), "peer_id", "left_anti"), "growing-pairs")
-        still = stage(open_rows.join(callers.unionByName(reusing), "id", "left_anti"), "growing-open")
-        so_far = callers if calling is None else stage(calling.unionByName(callers), "growing-calling")
-        for table in (before, open_rows, reusing, *([calling, callers] if calling is not None else [])):
+    block = F.xxhash64(F.floor(F.col("lat") / BLOCK), F.floor(F.col("lng") / (2 * BLOCK)))
+    before = stage(J.radius_join(places, peers, radius_m).filter("peer_ord < ord").select(block.alias("block"), "ord", "id", "peer_id"), "growing-pairs")
+    known = stage(places.join(before.select("id"), "id", "left_anti").select("id", F.lit(True).alias("calls")), "growing-known")
+    while not before.isEmpty():  # the earliest open place is always settled, so each round settles some
+        seen = before.join(known.select(F.col("id").alias("peer_id"), "calls"), "peer_id", "left")
+        new = stage(seen.select("block", "ord", "id", "peer_id", "calls").groupBy("block").applyInPandas(_settler(), "id string, calls boolean"), "growing-new")
+        left = stage(before.join(new, "id", "left_anti"), "growing-pairs")
+        so_far = stage(known.unionByName(new), "growing-known")
+        for table in (before, new, known):
             drop_stage(table)
-        before, open_rows, calling = left, still, so_far
+        before, known = left, so_far
     first = places.select("lat", "lng", F.col("ord").alias("first_ord"), "id")
-    first = first.join(calling, "id", "left_semi").drop("id") if calling is not None else first.filter("false").drop("id")
+    first = first.join(known.filter("calls"), "id", "left_semi").drop("id")
     settled = placed.join(first, at, "left").select("id", (F.col("ord").isNull() | F.coalesce(F.col("ord") == F.col("first_ord"), F.lit(False))).alias("calls"))
     unplaced = free.filter("lat is null or lng is null").select("id", F.lit(True).alias("calls"))
     return settled.unionByName(unplaced).unionByName(rows.filter(F.coalesce(F.trim("donor"), F.lit("")) != "").select("id", F.lit(False).alias("calls")))
