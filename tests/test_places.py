@@ -97,3 +97,12 @@ def test_donor_passes_by_place(spark, pairs, seed):
     assert {r.id: r.donor_id for r in D.assign_donors(frame, cands, 300.0).collect()} == link
     assert {r.id: r.calls for r in D.estimate_growing(frame, 300.0).collect()} == calls
     assert max(pairs) <= 2 * len(SPOTS) ** 2
+
+
+def test_what_is_around_a_place_is_counted_where_it_met(spark):
+    """No pair of places is shuffled with its values again: the join by cells and the count of what is around lie in one stage."""
+    rows = spark.createDataFrame([(str(i), float(10 + i % 60), 60.0 + i % 20 / 1e4, 10.0, "1") for i in range(400)], "id string, value double, lat double, lng double, postcode string")
+    lines = A.score_outliers(rows)._jdf.queryExecution().executedPlan().toString().splitlines()
+    met = next(i for i, line in enumerate(lines) if "Join [cell_y" in line)
+    counted = max(i for i in range(met) if "collect_list(struct(v" in lines[i])
+    assert not any("Exchange" in line for line in lines[counted:met])
