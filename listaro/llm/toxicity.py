@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listaro.llm.quality import held_out, training_sample
-from listaro.staging import read_table
+from listaro.staging import drop_stage, read_table, stage
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 6000
@@ -68,23 +68,27 @@ def ngram_slots(text: str | None) -> np.ndarray:
     return parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
 
 
+def ratios(p: np.ndarray, q: np.ndarray, toxic: int, other: int, alpha: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(used, ratio): which slots are features, and their log-count ratios; p and q: toxic and other texts, of so many, that have the slot."""
+    ratio = np.log((p + alpha) / (toxic + 2 * alpha)) - np.log((q + alpha) / (other + 2 * alpha))
+    return (p + q >= LEAST_DOCS) & (np.abs(ratio) >= LEAST_RATIO), ratio
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, l2: float = 20.0, alpha: float = 1.0) -> dict:
-    """Log-count ratios, then logistic regression by Adam. Both classes have half of the weight, so that the rarer one is found too."""
+    """Log-count ratios of rows of slots, then the regression of ``fit_places``."""
     size = 1 << BITS
-    lens = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-    toxic = np.repeat(labels == 1, lens)
-    p = np.bincount(flat[toxic], minlength=size) + alpha
-    q = np.bincount(flat[~toxic], minlength=size) + alpha
-    used = (p + q - 2 * alpha) >= LEAST_DOCS
-    ratio = np.where(used, np.log(p / ((labels == 1).sum() + 2 * alpha)) - np.log(q / ((labels == 0).sum() + 2 * alpha)), 0.0)
-    used &= np.abs(ratio) >= LEAST_RATIO
-    keep = used[flat]
-    owner = np.repeat(np.arange(len(rows)), lens)[keep]
+    p, q = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for row, label in zip(rows, labels):
+        (p if label == 1 else q)[row] += 1
+    used, ratio = ratios(p, q, int((labels == 1).sum()), int((labels == 0).sum()), alpha)
     slots = np.flatnonzero(used)
-    place = np.zeros(size, np.int32)
-    place[slots] = np.arange(len(slots))
-    flat, ratio, size = place[flat[keep]], ratio[slots], len(slots)
+    return fit_places([np.searchsorted(slots, r[used[r]]).astype(np.int32) for r in rows], labels, slots, ratio[slots], rounds, l2)
+
+
+def fit_places(rows: list[np.ndarray], labels: np.ndarray, slots: np.ndarray, ratio: np.ndarray, rounds: int = 200, l2: float = 20.0) -> dict:
+    """Logistic regression by Adam; ``rows`` hold places in ``slots``, the features. Both classes have half of the weight, so that the rarer one is found too."""
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    flat, size = np.concatenate(rows) if rows else np.empty(0, np.int32), len(slots)
     weight, bias = np.zeros(size), 0.0
     share = max(1, (labels == 1).sum()) / len(rows)
     importance = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1 / len(rows)))
@@ -106,18 +110,48 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rounds: int = 200, l2: float
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
-    """Fit on at most ``most`` labelled documents; only their slots come to the driver."""
+    """Fit on at most ``most`` labelled documents. Their slots stay with the executors; counts of slots, at most 2^BITS, and the places of the features come to the driver."""
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [ngram_slots(x.as_py()).tobytes() for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["slots", "label"])
 
-    table = training_sample(docs, labels, "toxic", most).mapInArrow(slots, "slots binary, label int").toArrow()
-    found = sorted(((np.frombuffer(s.as_py(), np.int32), y.as_py()) for s, y in zip(table["slots"], table["label"])), key=lambda x: (x[1], x[0].tobytes()))
-    if not found:  # nothing to learn from
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            for row, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                both[int(label == 1)][np.frombuffer(row.as_py(), np.int32)] += 1
+        at = np.flatnonzero(both.any(axis=0))
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(both[1][part]), pa.array(both[0][part])], ["slot", "p", "q"])
+
+    known = stage(training_sample(docs, labels, "toxic", most).mapInArrow(slots, "slots binary, label int"), "toxicity-slots", rebalance=False)
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not n:  # nothing to learn from
         return {"weight": np.zeros(1 << BITS, np.float32), "bias": 0.0}
-    return fit([s for s, _ in found], np.array([y for _, y in found]))
+    seen = known.mapInArrow(counted, "slot int, p int, q int").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    often = seen.filter(F.col("p") + F.col("q") >= LEAST_DOCS).toArrow()
+    slot, p, q = (often[c].to_numpy() for c in ("slot", "p", "q"))
+    order = np.argsort(slot)
+    slot, p, q = slot[order], p[order], q[order]
+    used, ratio = ratios(p, q, n.get(1, 0), n.get(0, 0))
+    features, ratio = slot[used], ratio[used]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[features] = np.arange(len(features))
+    shared = docs.sparkSession.sparkContext.broadcast(place)  # 8 MB, whatever the input
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [shared.value[np.frombuffer(x.as_py(), np.int32)] for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[r >= 0].tobytes() for r in rows], pa.binary()), batch.column(1)], ["places", "label"])
+
+    # A fixed order, whatever order the rows came in.
+    table = known.mapInArrow(placed, "places binary, label int").toArrow()
+    drop_stage(known)
+    found = sorted(((np.frombuffer(s.as_py(), np.int32), y.as_py()) for s, y in zip(table["places"], table["label"])), key=lambda x: (x[1], x[0].tobytes()))
+    return fit_places([s for s, _ in found], np.array([y for _, y in found]), features, ratio)
 
 
 def score(model: dict, text: str | None) -> float:

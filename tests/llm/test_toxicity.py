@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 
@@ -48,3 +49,23 @@ def test_ratios_choose_the_features_and_the_score_is_their_sum():
         z = sum(float(model["weight"][slot(g)]) for g in grams(text)) + model["bias"]
         assert abs(toxicity.score(model, text) - 1 / (1 + math.exp(-z))) < 1e-4
     assert toxicity.score(model, "grobian schuft lumpen") > 0.5 > toxicity.score(model, "stone river cloud meadow")
+
+
+def test_training_brings_the_features_alone_to_the_driver(spark, monkeypatch):
+    rows, sizes, fit = texts(), [], toxicity.fit_places
+
+    def seen(found, labels, slots, *rest):
+        sizes.append((sum(map(len, found)), len(slots)))
+        return fit(found, labels, slots, *rest)
+
+    monkeypatch.setattr(toxicity, "fit_places", seen)
+    known = [(i, t, y) for i, (t, y) in enumerate(rows) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    slots = [toxicity.ngram_slots(t) for _, t, _ in known]
+    want = toxicity.fit(slots, np.array([y for *_, y in known]))
+    assert np.allclose(model["weight"], want["weight"], atol=1e-5) and abs(model["bias"] - want["bias"]) < 1e-6
+    assert sizes[0] == sizes[1] and sizes[0][0] < sum(map(len, slots)) / 2
+    assert sizes[0][1] == np.count_nonzero(want["weight"])
+    none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert not none["weight"].any() and none["bias"] == 0.0
