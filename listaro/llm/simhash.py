@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from listaro.llm.columns import numbered, restored
 from listaro.llm.components import components
-from listaro.staging import drop_stage, read_table, stage
+from listaro.staging import drop_stage, read_table, shuffle_width, stage
 
 SEED = 42
 #: A larger bucket is cheaper to key again than to pair.
@@ -36,7 +36,7 @@ SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 #: Keys of a shingle set, each of so many least shingles: two sets of similarity 0.8 share none with a chance of 1 in 100,000.
 BANDS, BAND_ROWS = 16, 3
 _MIXERS = np.random.default_rng(7).integers(1 << 62, size=BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-#: Times that documents of a key are compared with its first one, each time with one more band key in it.
+#: Times that documents of a key are compared with its first one, each time with one more band key in it, before all that is not connected is compared.
 DIVISIONS = 3
 #: Bytes of sets that are compared with one other in a task, but for a single larger set.
 GROUP_BYTES = 1 << 23
@@ -199,7 +199,8 @@ def links_and_tables(fps: DataFrame, max_bits: int, bucket: int = BUCKET, exact:
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits is from 0 to 3")
-    index = fps.select("fp", F.explode(_variants(max_bits)).alias("key"))
+    # A small table is one task's, but its keys are many times more.
+    index = fps.repartition(shuffle_width(fps.sparkSession)).select("fp", F.explode(_variants(max_bits)).alias("key"))
     full = stage(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys")
     met = stage(index.join(full, "key").withColumn("slot", F.expr("shiftright(key, 40)").cast("int")), "simhash-met")
     small = met.filter(F.col("n") <= bucket).select("key", "slot", "fp")
@@ -364,6 +365,27 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out
 
 
+def remaining_pairs(keys: DataFrame, edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): the pairs under a key that no way of ``edges`` connects and whose sizes let them be near copies, once each. ``keys``: (key, id).
+
+    In each key the largest connected group is met by the others, and those by one another: none where all are connected.
+    """
+    roots = components(edges)
+    of = keys.select("key", "id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    of = stage(of.join(sets.select("id", "size"), "id"), "simhash-rooted")
+    main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
+    main = stage(main, "simhash-main")
+    apart = of.join(main, "key")
+    other = apart.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("size").alias("size2"))
+    once = (F.col("root2") == F.col("main")) | (F.col("id") < F.col("id2"))
+    alike = F.least("size", "size2") >= least * F.greatest("size", "size2")
+    met = apart.filter("root != main").join(other, "key").filter((F.col("root") != F.col("root2")) & once & alike)
+    out = stage(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "simhash-remaining")
+    for table in (of, main):
+        drop_stage(table)
+    return out
+
+
 def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int, least: float) -> DataFrame:
     """(u, v): verified pairs of near copies, u < v, that connect them; ``texts``: (id, text).
 
@@ -377,7 +399,7 @@ def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int,
     alike = stage(rows.groupBy("whole").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("whole", "lead"), "simhash-alike")
     edges = stage(rows.join(alike, "whole").filter("id != lead").select(F.col("lead").alias("u"), F.col("id").alias("v")), "simhash-edges")
     firsts = stage(rows.join(edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", "fps", "bands"), "simhash-firsts")
-    keys = candidate_keys(firsts, max_bits)
+    keys = first_keys = candidate_keys(firsts, max_bits)
     bands = stage(firsts.join(keys.select("id").distinct(), "id").select("id", "bands"), "simhash-bands")
     sets = shingle_sets(texts, bands.select("id").distinct(), shingle)
     held, done = [rows, alike, firsts, bands, sets], None
@@ -392,13 +414,16 @@ def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int,
         unlike = met.join(leads.select("key", F.col("low").alias("u")), ["key", "u"], "left_semi").join(edges, ["u", "v"], "left_anti")
         further = F.element_at("bands", (F.col("band") + division + 1) % BANDS + 1)
         rest = stage(unlike.select("key", "band", F.col("v").alias("id")).join(bands, "id").select(F.xxhash64("key", further).alias("key"), "band", "id").distinct(), "simhash-keys")
-        for table in (keys, leads, met):
+        for table in (leads, met, *([keys] if division else [])):
             drop_stage(table)
         keys = rest
         held.append(fresh)
         if keys.isEmpty():
             break
-    for table in (keys, *held):
+    edges = stage(edges, "simhash-edges")
+    left = remaining_pairs(first_keys, edges, sets, least)
+    edges = edges.unionByName(similar_pairs(left.join(done, ["u", "v"], "left_anti"), sets, least))
+    for table in (keys, first_keys, left, *held):
         drop_stage(table)
     return edges
 

@@ -191,3 +191,17 @@ def test_recall_on_groups_of_the_given_documents(spark):
     lost = {i for i, r in enumerate(roots) if i != r}
     assert len(lost) > 80 and len(lost - kept) >= 0.9 * len(lost)
     assert set(range(len(texts))) - kept <= lost
+
+
+def test_no_pair_under_a_key_is_left_out(spark, monkeypatch):
+    """All documents under one key, the first unlike all others: pairs that share no further band key are found too."""
+    rng = random.Random(11)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(41)]
+    for text in texts[1:41]:
+        words = text.split()
+        words[30], words[90] = "other", "another"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    monkeypatch.setattr(simhash, "candidate_keys", lambda *_: simhash.stage(rows.selectExpr("1L AS key", "0 AS band", "id"), "test-keys"))
+    found = {(r.u, r.v) for r in simhash.near_copy_edges(rows, 3, simhash.TABLES, simhash.SHINGLE, simhash.SIMILARITY).collect()}
+    assert found == {(i, i + 40) for i in range(1, 41)}
