@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,19 @@ def _pieces(text: Column) -> Column:
     return F.split(F.regexp_replace(plain, STATED, f"{_BEGIN}$0{_END}"), f"[{_BEGIN}{_END}]")
 
 
+def _with(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _band(raw: Column, grid: tuple[int, ...]) -> Column:
-    amounts = F.transform(F.regexp_extract_all(raw, F.lit(_NUMBER), 0), lambda x: F.regexp_replace(x, r"\D", "").try_cast("long"))
-    first, second = F.get(amounts, F.lit(0)), F.get(amounts, F.lit(1))
-    low = F.when(second.isNotNull(), first).when(F.lower(raw).rlike(r"\bunder\b"), 0).otherwise(first)
-    high = F.when(second.isNotNull(), second).when(F.lower(raw).rlike(r"\bunder\b"), first).otherwise(F.lit(grid[-1]))
-    return F.when((first >= 1000) & (low <= high), snapped(low, high, grid))
+    def made(amounts: Column) -> Column:
+        first, second = F.get(amounts, F.lit(0)), F.get(amounts, F.lit(1))
+        below = F.lower(raw).rlike(r"\bunder\b")
+        bounds = F.when(second.isNotNull(), F.struct(first.alias("low"), second.alias("high"))).when(below, F.struct(F.lit(0).cast("long").alias("low"), first.alias("high"))).otherwise(F.struct(first.alias("low"), F.lit(grid[-1]).cast("long").alias("high")))
+        return _with(bounds, lambda b: F.when((first >= 1000) & (b["low"] <= b["high"]), snapped(b["low"], b["high"], grid)))
+
+    return _with(F.transform(F.regexp_extract_all(raw, F.lit(_NUMBER), 0), lambda x: F.regexp_replace(x, r"\D", "").try_cast("long")), made)
 
 
 def stated_bands(text: Column, grid: tuple[int, ...] = GRID) -> Column:
@@ -42,12 +51,13 @@ def stated_bands(text: Column, grid: tuple[int, ...] = GRID) -> Column:
 
     A range whose first bound is above its second is not taken. Null and empty texts state none.
     """
-    parts = _pieces(text)
-    each = F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    stated = F.filter(each, lambda p: p["i"] % 2 == 1)
-    begin = lambda p: F.aggregate(F.slice(parts, 1, p["i"]), F.lit(0), lambda n, x: n + F.length(x))
-    found = F.transform(stated, lambda p: F.struct(begin(p).alias("begin"), (begin(p) + F.length(p["x"])).alias("end"), _band(p["x"], grid).alias("b")))
-    return F.transform(F.filter(found, lambda b: b["b"].isNotNull()), lambda b: F.struct(b["begin"], b["end"], b["b"]["low"].alias("low"), b["b"]["high"].alias("high")))
+    def found(parts: Column) -> Column:
+        stated = F.filter(F.transform(parts, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda p: p["i"] % 2 == 1)
+        begin = lambda p: F.aggregate(F.slice(parts, 1, p["i"]), F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(stated, lambda p: F.struct(begin(p).alias("begin"), F.length(p["x"]).alias("size"), _band(p["x"], grid).alias("b")))
+
+    kept = F.filter(_with(_pieces(text), found), lambda b: b["b"].isNotNull())
+    return F.transform(kept, lambda b: F.struct(b["begin"], (b["begin"] + b["size"]).alias("end"), b["b"]["low"].alias("low"), b["b"]["high"].alias("high")))
 
 
 def without_stated(text: Column) -> Column:

@@ -103,3 +103,10 @@ def test_medians_of_hot_and_small_keys(spark):
         known = [v for v in vs if v is not None]
         m = statistics.median(known) if known else None
         assert got[k] == (len(known), m, statistics.median(abs(v - m) for v in known) if known else 0.0)
+
+
+def test_a_text_is_searched_once_for_its_bands(spark):
+    """The search for stated costs, and for a band's amounts, stands once in the expression, not once for each use of what it finds."""
+    rows = spark.createDataFrame([("Kostnadsestimat: 20 000 - 50 000",)], "text string").select(B.stated_bands(F.col("text")).alias("b"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("kostnadsoverslag") == 1 and plan.count("regexp_extract_all") == 1
