@@ -106,3 +106,12 @@ def test_what_is_around_a_place_is_counted_where_it_met(spark):
     met = next(i for i, line in enumerate(lines) if "Join [cell_y" in line)
     counted = max(i for i in range(met) if "collect_list(struct(v" in lines[i])
     assert not any("Exchange" in line for line in lines[counted:met])
+
+
+def test_rows_without_a_pointer_do_not_meet_in_one_task(spark):
+    rows = spark.createDataFrame([("1", 10, None, None), ("2", 20, 30, "1"), ("3", 40, None, " "), ("4", 5, 6, "gone"), ("5", None, 7, "2")], "id string, brj int, mvv int, donor string")
+    out = J.resolve_donor(rows)
+    want = {("1", 10, None, None), ("2", 10, 30, "1"), ("3", 40, None, " "), ("4", 5, 6, "gone"), ("5", 20, 30, "2")}
+    assert {(r.id, r.brj, r.mvv, r.donor) for r in out.collect()} == want
+    joined = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line or "Union" in line]
+    assert "Union" in joined[0] and "Join" in joined[1]
