@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listaro.llm.columns import numbered, restored
@@ -312,7 +312,7 @@ def _star_pairs(keys: DataFrame, both_ends: bool) -> tuple[DataFrame, DataFrame]
 
 
 def shingle_sets(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """Staged (id, size, hashes): the sets of word shingles of the documents ``ids``, as sorted 32-bit hashes. ``texts``: (id, text)."""
+    """Staged (id, size, hashes): the sets of word shingles of the documents ``ids``, as sorted 32-bit hashes, and their bytes. ``texts``: (id, text)."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,23 +365,57 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return out
 
 
+def _rarest_hashes(chosen: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Staged (hash, id, root, size, place, indexed): the hashes by which each set meets the sets of other roots that may be like it. ``chosen``: (id, root).
+
+    All hashes are in one order, the rarest first, and ``place`` counts them from 1. Of two similar sets the larger has the first
+    hash that both have among its first size - least * size + 1, and the smaller one among fewer, the ``indexed``.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, root, size, found in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3)):
+                hashes = np.frombuffer(found.as_py(), "<u4").astype(np.int64)
+                for at in range(0, size, 1 << 16):
+                    part = hashes[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), x)) for x in (i, root, size))], ["hash", "id", "root", "size"])
+
+    rows = chosen.join(sets, "id").select("id", "root", (F.col("size") / 4).cast("long").alias("size"), "hashes").mapInArrow(listed, "hash bigint, id bigint, root bigint, size bigint")
+    rows = stage(rows, "simhash-hashes")
+    several = stage(rows.groupBy("hash").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("joins")).filter("n > 1"), "simhash-several")
+    # Hashes that one set alone has are the rarest of all: they are only counted.
+    each = rows.join(several, "hash").groupBy("id", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash", "joins"))).alias("shared"))
+    each = each.select("id", "root", "size", (F.col("size") - F.size("shared")).alias("alone"), "shared")
+
+    def first(part: float) -> Column:
+        return F.col("size") - F.ceil(F.col("size") * part - 1e-9) + 1
+
+    needed = F.greatest(first(least) - F.col("alone"), F.lit(0)).cast("int")
+    placed = each.select("id", "root", "size", "alone", F.posexplode(F.slice("shared", 1, needed)).alias("at", "x")).withColumn("place", F.col("alone") + F.col("at") + 1)
+    out = stage(placed.filter("x.joins").select("x.hash", "id", "root", "size", "place", (F.col("place") <= first(2 * least / (1 + least))).alias("indexed")), "simhash-rarest")
+    for table in (rows, several):
+        drop_stage(table)
+    return out
+
+
 def remaining_pairs(keys: DataFrame, edges: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): the pairs under a key that no way of ``edges`` connects and whose sizes let them be near copies, once each. ``keys``: (key, id).
+    """Staged (u, v): pairs that no way of ``edges`` connects, all that are similar among them, of the documents under keys that hold such pairs. ``keys``: (key, id).
 
-    In each key the largest connected group is met by the others, and those by one another: none where all are connected.
+    Not all pairs under a key are made: two similar sets share one of their rarest hashes, and enough can follow it in both.
     """
     roots = components(edges)
-    of = keys.select("key", "id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    of = stage(of.join(sets.select("id", "size"), "id"), "simhash-rooted")
-    main = of.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
-    main = stage(main, "simhash-main")
-    apart = of.join(main, "key")
-    other = apart.select("key", F.col("id").alias("id2"), F.col("root").alias("root2"), F.col("size").alias("size2"))
-    once = (F.col("root2") == F.col("main")) | (F.col("id") < F.col("id2"))
-    alike = F.least("size", "size2") >= least * F.greatest("size", "size2")
-    met = apart.filter("root != main").join(other, "key").filter((F.col("root") != F.col("root2")) & once & alike)
+    of = stage(keys.select("key", "id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-rooted")
+    several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
+    chosen = stage(of.join(several, "key").select("id", "root").distinct(), "simhash-apart")
+    rarest = _rarest_hashes(chosen, sets, least)
+    other = rarest.filter("indexed").select("hash", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "place")])
+    larger = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("id") > F.col("id2")))
+    # What both can have from the first common hash on.
+    most = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    enough = most * (1 + least) + 1e-9 >= (F.col("size") + F.col("size2")) * least
+    met = rarest.join(other, "hash").filter((F.col("root") != F.col("root2")) & larger & enough)
     out = stage(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "simhash-remaining")
-    for table in (of, main):
+    for table in (of, chosen, rarest):
         drop_stage(table)
     return out
 

@@ -205,3 +205,38 @@ def test_no_pair_under_a_key_is_left_out(spark, monkeypatch):
     monkeypatch.setattr(simhash, "candidate_keys", lambda *_: simhash.stage(rows.selectExpr("1L AS key", "0 AS band", "id"), "test-keys"))
     found = {(r.u, r.v) for r in simhash.near_copy_edges(rows, 3, simhash.TABLES, simhash.SHINGLE, simhash.SIMILARITY).collect()}
     assert found == {(i, i + 40) for i in range(1, 41)}
+
+
+def test_unlike_documents_under_a_key_make_no_pairs(spark):
+    """300 copies with edits of their own under one key are unlike; of them only the pairs with a common edit are looked at, and all similar ones are found."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.sample(range(60), 3):
+            words[at] = f"own{i}x{at}"
+        texts.append(" ".join(words))
+    for text in texts[:20]:
+        texts.append(text + " more")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = simhash.shingle_sets(rows, rows.select("id"), simhash.SHINGLE)
+    keys, none = rows.selectExpr("1L AS key", "id"), spark.createDataFrame([], "u long, v long")
+    left = simhash.remaining_pairs(keys, none, sets, simhash.SIMILARITY)
+    found = {(r.u, r.v) for r in simhash.similar_pairs(left, sets, simhash.SIMILARITY).collect()}
+    own = [simhash.shingle_hashes(t, simhash.SHINGLE) for t in texts]
+    assert found == {(i, j) for j in range(320) for i in range(j) if jaccard(own[i], own[j]) >= simhash.SIMILARITY} >= {(i, i + 300) for i in range(20)}
+    assert left.count() < 1000
+
+
+def test_remaining_pairs_of_any_size(spark):
+    """Sets of few hashes, of which many are common, against all pairs."""
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(1, 40))) for _ in range(250)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = simhash.shingle_sets(rows, rows.select("id"), 2)
+    left = simhash.remaining_pairs(rows.selectExpr("id % 2 AS key", "id"), spark.createDataFrame([], "u long, v long"), sets, 0.8)
+    found = {(r.u, r.v) for r in simhash.similar_pairs(left, sets, 0.8).collect()}
+    own = [simhash.shingle_hashes(t, 2) for t in texts]
+    wanted = {(i, j) for j in range(250) for i in range(j) if jaccard(own[i], own[j]) >= 0.8}
+    assert {(i, j) for i, j in wanted if (j - i) % 2 == 0} <= found <= wanted
