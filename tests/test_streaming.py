@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from listaro.operators import aggregates as A
@@ -32,6 +33,44 @@ def test_status_changes_in_any_order_equal_the_batch(spark):
     assert got == sorted(map(tuple, want.collect())) and len(got) > 50
 
 
+class CountingState:
+    """A state that counts calls to it, with timers."""
+
+    def __init__(self):
+        self.calls, self.rows = 0, []
+
+    def getListState(self, *_):
+        self.calls, self.rows = 0, []
+        return self
+
+    getValueState = registerTimer = lambda self, *_: self.counted()
+
+    def counted(self):
+        self.calls += 1
+
+
+def test_calls_to_the_state_do_not_grow_with_ids():
+    """All ids that are dealt to one key go to the state at once."""
+    calls = {}
+    for ids in (3, 300):
+        state, job = CountingState(), jobs.StatusChanges()
+        state.appendList = lambda rows, state=state: state.counted()
+        job.init(state)
+        rows = [Row(id=str(i), at=i, event_id=i, status="a", observed_at=None) for i in range(ids)]
+        assert list(job.handleInputRows((0,), iter(rows), None)) == []
+        calls[ids] = state.calls
+    assert calls[3] == calls[300]
+
+
+def test_status_changes_of_ids_in_one_bucket(spark):
+    own, rng = stream_session(spark), random.Random(4)
+    rows = [(str(rng.randrange(40)), i, rng.choice(["a", "b", None]), 30 * i + 30) for i in range(400)]
+    path, schema, _ = replayed(own, [observations(own, rows[:250]), observations(own, rows[250:]), end(own, 10**7)], lambda s: jobs.status_changes(s, "1 hour", buckets=2), "t-bucket")
+    got = sorted(map(tuple, spark.read.schema(schema).parquet(path).collect()))
+    want = A.status_changes(observations(spark, rows)).select("id", "event_id", "old_status", "new_status")
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 100
+
+
 def test_rows_beyond_the_watermark_are_dropped_and_counted(spark):
     own, day = stream_session(spark), 86400
     first = observations(own, [("1", 1, "a", 0), ("1", 2, "a", 10), ("2", 3, "b", 5 * day)])
