@@ -24,12 +24,20 @@ def is_excluded(cfg: Config = CONFIG) -> Column:
 
 def visible_active(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """Active, not closed, within price and area; an unknown price or area is out."""
-    return df.filter(F.col("active") & ~S.status_key("status").isin(*cfg.closed) & (F.col("pris") <= cfg.max_price) & (F.col("bra_i") >= cfg.min_area))
+    return df.filter(is_visible_active(cfg))
+
+
+def is_visible_active(cfg: Config = CONFIG) -> Column:
+    return F.col("active") & ~S.status_key("status").isin(*cfg.closed) & (F.col("pris") <= cfg.max_price) & (F.col("bra_i") >= cfg.min_area)
 
 
 def visible_closed(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:
     """Inactive with a closed status; an unknown price counts as 0."""
-    return df.filter(~F.col("active") & S.status_key("status").isin(*cfg.closed) & price_eligible(cfg.max_price) & (F.col("bra_i") >= cfg.min_area))
+    return df.filter(is_visible_closed(cfg))
+
+
+def is_visible_closed(cfg: Config = CONFIG) -> Column:
+    return ~F.col("active") & S.status_key("status").isin(*cfg.closed) & price_eligible(cfg.max_price) & (F.col("bra_i") >= cfg.min_area)
 
 
 def visible_source_b(df: DataFrame, cfg: Config = CONFIG) -> DataFrame:

@@ -32,14 +32,14 @@ def listing_base(listings: DataFrame, geo: DataFrame, details: DataFrame, prose:
     return base.withColumn("eiendomsskatt_kr", F.coalesce("tax_d", "tax_p"))
 
 
-def items(base: DataFrame, status: Column, closed: bool) -> DataFrame:
-    """One nested row per listing of the first source."""
+def items(base: DataFrame, status: Column, closed: Column) -> DataFrame:
+    """One nested row per listing of the first source, with its ``bucket``."""
     image = F.coalesce(F.trim("image_url"), F.lit("")) != ""
     rows = base.select(
         "id", "adresse", "postnummer", "pris", S.price_per_m2("pris", "bra_primary", "bra_i", "bra_total").alias("pris_kvm"), "boligtype", status.alias("tilgjengelighet"), "lat", "lng", "brj", "mvv", "bra_i", "byggeaar",
-        "url", image.alias("image"), "scraped_at", F.lit("a").alias("source"), F.coalesce(status == "Solgt", F.lit(False)).alias("sold") if closed else F.lit(False).alias("sold"), (status.isNotNull() if closed else F.lit(False)).alias("closed"),
+        "url", image.alias("image"), "scraped_at", F.lit("a").alias("source"), (closed & F.coalesce(status == "Solgt", F.lit(False))).alias("sold"), (closed & status.isNotNull()).alias("closed"),
         *DETAILS, S.total_per_m2("totalpris", "bra_i").alias("pris_kvm_totalpris"), S.monthly_cost("felleskost_mnd", "kommunale_avg_aar").alias("maanedskost"), "eiendomsskatt_kr", *PROSE,
-        *[F.col(c).alias(k) for k, c in ROLLUP.items()], F.coalesce("facilities", F.array().cast("array<string>")).alias("facilities"), "findings",
+        *[F.col(c).alias(k) for k, c in ROLLUP.items()], F.coalesce("facilities", F.array().cast("array<string>")).alias("facilities"), "findings", "bucket",
     )
     return B.payload(rows)
 
@@ -51,10 +51,12 @@ def second_items(rows: DataFrame) -> DataFrame:
 
 def full_payload(base: DataFrame, facilities: DataFrame, findings: DataFrame, sold: DataFrame, second: DataFrame, as_of: Column, cfg: Config = CONFIG) -> DataFrame:
     """Active, closed and second-source listings in one table, with ``bucket``; keys that a bucket lacks are null. ``sold``: id, sold_price."""
-    active = J.with_children(O.visible_active(base, cfg), facilities, findings)
-    gone = J.with_children(O.visible_closed(base, cfg), facilities, findings).join(sold.select("id", "sold_price"), "id", "left")
-    status = S.closed_status("active", "status", "sold_price", "updated_at", as_of, cfg.grace_days)
-    return B.all_listings(("active", items(active, F.col("status"), False)), ("closed", items(gone, status, True)), ("b", second_items(O.visible_source_b(second, cfg))))
+    # Active and closed exclude each other, so a listing meets its sides, its children and its sale once, for whichever shows it.
+    bucket = F.when(O.is_visible_active(cfg), "active").when(O.is_visible_closed(cfg), "closed")
+    shown = J.with_children(base.withColumn("bucket", bucket).filter("bucket is not null"), facilities, findings).join(sold.select("id", "sold_price"), "id", "left")
+    closed = F.col("bucket") == "closed"
+    status = F.when(closed, S.closed_status("active", "status", "sold_price", "updated_at", as_of, cfg.grace_days)).otherwise(F.col("status"))
+    return items(shown, status, closed).unionByName(second_items(O.visible_source_b(second, cfg)).withColumn("bucket", F.lit("b")), allowMissingColumns=True)
 
 
 def write_payload(payload: DataFrame, path: str, parts: int = PARTS) -> None:

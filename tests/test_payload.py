@@ -33,3 +33,14 @@ def test_files_that_go_while_the_job_runs_are_missing(spark, tmp_path):
     pages = G.scan_pages(spark, str(tmp_path))
     (tmp_path / "ad-1.html").unlink()
     assert G.scan_report(spark.createDataFrame([("0",), ("1",), ("2",)], "id string"), pages).first().missing == 1
+
+
+def test_the_payload_meets_its_children_once(spark):
+    """Both buckets of the first source come from one join: findings are read for their roll-up, their list and the facilities, each once."""
+    from listaro.plans import payloads
+
+    rows = payloads.full_payload(spark, "/root/testdata/sf0.001")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("l_linestatus") > 0
+    reads = [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Relation [l_orderkey" in line]
+    assert len(reads) == 3
+    assert {r.bucket for r in rows.select("bucket").distinct().collect()} == {"active", "closed", "b"}
