@@ -53,6 +53,19 @@ def test_chains_cycles_and_values(spark):
     assert J.chain_roots(spark.createDataFrame([], "id string, target string")).count() == 0
 
 
+def test_chain_roots_rounds_follow_the_longest_way(spark, monkeypatch):
+    """A small cycle, with a tail of smaller ids, among many short chains does not send all rows round log2(all links) times."""
+    from listaro import staging
+
+    written, plain = [], staging.stage
+    monkeypatch.setattr(staging, "stage", lambda *a, **k: (written.append(1), plain(*a, **k))[1])
+    ring = [("c1", "c2"), ("c2", "c3"), ("c3", "c1"), ("b2", "c2"), ("b1", "b2"), ("own", "own"), ("to-own", "own")]
+    links = [*ring, *[(f"x{i}", f"y{i}") for i in range(5000)]]
+    got = {r.id: r.root for r in J.chain_roots(spark.createDataFrame(links, "id string, target string")).collect()}
+    assert got == {a: "own" if "own" in a else "c1" for a, _ in ring} | {f"x{i}": f"y{i}" for i in range(5000)}
+    assert len(written) <= 7
+
+
 def test_wide_station_covers_far_listings(spark):
     stations = spark.createDataFrame([(1, 60.0, 10.0, 5000), (2, 60.001, 10.0, 50), (3, 60.0, 10.0, None)], "station_id long, lat double, lng double, radius_m int")
     listings = spark.createDataFrame([("near", 60.001, 10.0001), ("far", 60.03, 10.0), ("out", 60.2, 10.0)], "id string, lat double, lng double")
