@@ -92,9 +92,7 @@ SELECT a.id, cast(floor({_DIST} + 0.5) AS BIGINT) AS metres FROM geo a JOIN geo
 """)
 def donor_distance(spark, d) -> DataFrame:
     """How far each row is from its direct donor."""
-    geo = bound(spark, d, "geo").filter("lat is not null")
-    donors = geo.select(F.col("id").alias("donor_id"), F.col("lat").alias("d_lat"), F.col("lng").alias("d_lng"))
-    return geo.join(donors, F.trim("donor") == F.col("donor_id")).select("id", S.half_up(S.haversine("lat", "lng", "d_lat", "d_lng")).alias("metres"))
+    return J.donor_distance(bound(spark, d, "geo"))
 
 
 @query(cte("listings", "geo", "sold", "attempts") + f"""

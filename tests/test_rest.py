@@ -1,6 +1,7 @@
 """Page parsing, chains, caches, gates and corrections on small cases."""
 
 import json
+import re
 import time
 
 import pytest
@@ -66,6 +67,16 @@ def test_chain_roots_rounds_follow_the_longest_way(spark, monkeypatch):
     assert len(written) <= 7
 
 
+def test_donor_distance_deals_no_blank_pointers(spark):
+    """Rows without a pointer, null or blank, stay out of the join that the rows are dealt for."""
+    from listaro.plans.more import donor_distance
+
+    geo = [("1", 60.0, 10.0, None), ("2", 60.001, 10.0, " 1 "), ("3", None, None, "1"), ("4", 60.0, 10.0, "3"), ("5", 60.0, 10.0, ""), ("6", 60.0, 10.0, " ")]
+    assert [(r.id, r.metres) for r in J.donor_distance(spark.createDataFrame(geo, "id string, lat double, lng double, donor string")).collect()] == [("2", 111)]
+    plan = donor_distance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"NOT \(trim\(.*? = \)", plan), plan
+
+
 def test_wide_station_covers_far_listings(spark):
     stations = spark.createDataFrame([(1, 60.0, 10.0, 5000), (2, 60.001, 10.0, 50), (3, 60.0, 10.0, None)], "station_id long, lat double, lng double, radius_m int")
     listings = spark.createDataFrame([("near", 60.001, 10.0001), ("far", 60.03, 10.0), ("out", 60.2, 10.0)], "id string, lat double, lng double")
