@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert_listings(base: DataFrame, incoming: DataFrame, columns: list[str], as_of: Column) -> DataFrame:
-    """Change-detecting upsert with ``outcome``: inserted rows are active; known ones come back to life; updated_at moves only on a change."""
+def upsert_listings(base: DataFrame, incoming: DataFrame, columns: list[str], as_of: Column, marks: bool = False) -> DataFrame:
+    """Change-detecting upsert with ``outcome``: inserted rows are active; known ones come back to life; updated_at moves only on a change.
+
+    With ``marks`` also ``came`` (was it among the incoming?) and ``was_active``, so that nothing has to meet them again.
+    """
     new = incoming.select("id", *[F.col(c).alias(f"n_{c}") for c in columns], F.lit(True).alias("came"))
     old = base.select("id", "active", "updated_at", *columns, F.lit(True).alias("was"))
     both = old.join(new, "id", "full")
@@ -22,6 +25,7 @@ def upsert_listings(base: DataFrame, incoming: DataFrame, columns: list[str], as
         F.when(came, True).otherwise(F.col("active")).alias("active"),
         F.when(changed, as_of).otherwise(F.col("updated_at").cast("timestamp")).alias("updated_at"),
         F.when(~was, "inserted").when(changed, "updated").otherwise("same").alias("outcome"),
+        *([came.alias("came"), F.coalesce("active", F.lit(False)).alias("was_active")] if marks else []),
     )
 
 

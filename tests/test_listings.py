@@ -141,6 +141,13 @@ def test_upsert_touches_only_what_changed(spark):
     assert got["1"].updated_at.year == 2020 and got["2"].updated_at.year == 2021
 
 
+def test_upsert_marks_what_came_and_what_was_active(spark):
+    """With these marks the nightly merge meets the table once a night, with no further joins."""
+    base = spark.sql("SELECT * FROM VALUES ('1', 5L, true, TIMESTAMP'2020-01-01'), ('2', 6L, false, TIMESTAMP'2020-01-01') t(id, pris, active, updated_at)")
+    got = {r.id: r for r in M.upsert_listings(base, spark.createDataFrame([("2", 6), ("3", 7)], "id string, pris long"), ["pris"], F.lit("2021-01-01").cast("timestamp"), marks=True).collect()}
+    assert {i: (r.came, r.was_active, r.active) for i, r in got.items()} == {"1": (False, True, True), "2": (True, False, True), "3": (True, False, True)}
+
+
 def test_merge_rules(spark):
     base = spark.createDataFrame([("1", 1, 1, 1)], "id string, a long, b long, c long")
     new = spark.createDataFrame([("1", None, 2, None), ("2", 3, 3, 3)], "id string, a long, b long, c long")
