@@ -31,6 +31,8 @@ from listaro.staging import drop_stage, read_table, shuffle_width, stage
 SEED = 42
 #: A larger bucket is cheaper to key again than to pair.
 BUCKET = 1024
+#: Where any way between near fingerprints will do, a larger bucket is joined by a star: its fingerprints agree in all but one bit of 32, which hardly happens by chance.
+STAR = 32
 #: What near copies are, and the fingerprints that look for them: of 48 pairs in sf0.1 four tables find 98 %, three 92 %, one 56 %.
 SHINGLE, SIMILARITY, TABLES = 5, 0.8, 4
 #: Keys of a shingle set, each of so many least shingles: two sets of similarity 0.8 share none with a chance of 1 in 100,000.
@@ -195,13 +197,15 @@ def links_and_tables(fps: DataFrame, max_bits: int, bucket: int = BUCKET, exact:
 
     Every linked pair is connected by the edges; inside a bucket of more than
     ``bucket`` fingerprints it may be by way of a third that is within max_bits of both.
-    Not ``exact``, all fingerprints of such a bucket are connected, also those further apart.
+    Not ``exact``, all fingerprints of a bucket of more than STAR are connected, also those
+    further apart, so a group of near fingerprints makes no more edges than it has members.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("max_bits is from 0 to 3")
+    bucket = bucket if exact else min(bucket, STAR)
     # A small table is one task's, but its keys are many times more.
     index = fps.repartition(shuffle_width(fps.sparkSession)).select("fp", F.explode(_variants(max_bits)).alias("key"))
-    full = stage(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys")
+    full = stage(index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-keys", rebalance=False)
     met = stage(index.join(full, "key").withColumn("slot", F.expr("shiftright(key, 40)").cast("int")), "simhash-met")
     small = met.filter(F.col("n") <= bucket).select("key", "slot", "fp")
     other = small.select("key", F.col("fp").alias("gp"))
@@ -214,7 +218,7 @@ def links_and_tables(fps: DataFrame, max_bits: int, bucket: int = BUCKET, exact:
         if exact:
             more, leads = _rekeyed(big, max_bits)
         else:
-            leads = stage(big.groupBy("key").agg(F.min("fp").alias("lead")), "simhash-leads")
+            leads = stage(big.groupBy("key").agg(F.min("fp").alias("lead")), "simhash-leads", rebalance=False)
             more = big.join(leads, "key").filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v"))
         edges = edges.unionByName(more)
         held.append(leads)
@@ -288,14 +292,14 @@ def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
     sets, so what is compared does not hang on one document that all must resemble.
     """
     each = rows.select("id", F.explode("fps").alias("fp"))
-    fps = stage(each.select("fp").distinct(), "simhash-fps")
+    fps = stage(each.select("fp").distinct(), "simhash-fps", rebalance=False)
     edges, held = links_and_tables(fps, max_bits, exact=False)
     member = stage(components(edges).withColumnsRenamed({"node": "fp"}), "simhash-members")
-    of = stage(each.join(member, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).distinct(), "simhash-clusters")
-    shared = stage(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "simhash-shared")
+    of = stage(each.join(member, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")).distinct(), "simhash-clusters", rebalance=False)
+    shared = stage(of.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1").select("root"), "simhash-shared", rebalance=False)
     near = of.join(shared, "root").join(rows.select("id", "bands"), "id")
-    keys = stage(near.select(F.posexplode("bands").alias("band", "value"), "root", "id").select(F.xxhash64("root", "value").alias("key"), "band", "id").distinct(), "simhash-keyed")
-    several = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "simhash-several")
+    keys = stage(near.select(F.posexplode("bands").alias("band", "value"), "root", "id").select(F.xxhash64("root", "value").alias("key"), "band", "id").distinct(), "simhash-keyed", rebalance=False)
+    several = stage(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "simhash-several", rebalance=False)
     out = stage(keys.join(several, "key"), "simhash-keys")
     for table in (fps, member, of, shared, keys, several, *held):
         drop_stage(table)
@@ -304,7 +308,7 @@ def candidate_keys(rows: DataFrame, max_bits: int) -> DataFrame:
 
 def _star_pairs(keys: DataFrame, both_ends: bool) -> tuple[DataFrame, DataFrame]:
     """(pairs (key, band, u, v), leads): in each key the smallest id with every other one, and with ``both_ends`` the largest one too; leads is staged."""
-    leads = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"), "simhash-leads")
+    leads = stage(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low != high"), "simhash-leads", rebalance=False)
     met = keys.join(leads, "key")
     pairs = met.filter("id != low").select("key", "band", F.col("low").alias("u"), F.col("id").alias("v"))
     more = met.filter("id != high and id != low").select("key", "band", F.col("id").alias("u"), F.col("high").alias("v"))
@@ -336,12 +340,12 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     lead, the end that has more pairs; a lead's once for each GROUP_BYTES of those.
     """
     ends = pairs.select("u", "v", "u").toDF("u", "v", "lead").unionByName(pairs.select("u", "v", "v").toDF("u", "v", "lead"))
-    many = stage(ends.groupBy("lead").agg(F.count("*").alias("n")), "simhash-ends")
+    many = stage(ends.groupBy("lead").agg(F.count("*").alias("n")), "simhash-ends", rebalance=False)
     counted = pairs.join(many.toDF("u", "of_u"), "u").join(many.toDF("v", "of_v"), "v")
     first = F.col("of_u") >= F.col("of_v")
     pairs = counted.select("u", "v", F.when(first, F.col("u")).otherwise(F.col("v")).alias("lead"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("id"))
     sized = stage(pairs.join(sets.select("id", "size"), "id"), "simhash-sized")
-    groups = stage(sized.groupBy("lead").agg(F.ceil(F.sum("size") / GROUP_BYTES).alias("groups")), "simhash-groups")
+    groups = stage(sized.groupBy("lead").agg(F.ceil(F.sum("size") / GROUP_BYTES).alias("groups")), "simhash-groups", rebalance=False)
     dealt = sized.join(groups, "lead").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups"))).select("lead", "part", "u", "v", "id")
     dealt = stage(dealt, "simhash-dealt")
     leads = dealt.select("lead", "part").distinct().withColumn("id", F.col("lead")).withColumns({"u": F.lit(None).cast("long"), "v": F.lit(None).cast("long")})
@@ -359,7 +363,7 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*keep) if keep else ((), ()))], names=["u", "v"])
 
     rows = dealt.unionByName(leads.select(*dealt.columns)).join(sets.select("id", "hashes"), "id")
-    out = stage(rows.select("lead", "part", "u", "v", "hashes").groupBy("lead", "part").applyInArrow(compared, "u bigint, v bigint"), "simhash-edges")
+    out = stage(rows.select("lead", "part", "u", "v", "hashes").groupBy("lead", "part").applyInArrow(compared, "u bigint, v bigint"), "simhash-edges", rebalance=False)
     for table in (many, sized, groups, dealt):
         drop_stage(table)
     return out
@@ -382,7 +386,7 @@ def _rarest_hashes(chosen: DataFrame, sets: DataFrame, least: float) -> DataFram
 
     rows = chosen.join(sets, "id").select("id", "root", (F.col("size") / 4).cast("long").alias("size"), "hashes").mapInArrow(listed, "hash bigint, id bigint, root bigint, size bigint")
     rows = stage(rows, "simhash-hashes")
-    several = stage(rows.groupBy("hash").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("joins")).filter("n > 1"), "simhash-several")
+    several = stage(rows.groupBy("hash").agg(F.count("*").alias("n"), (F.min("root") != F.max("root")).alias("joins")).filter("n > 1"), "simhash-several", rebalance=False)
     # Hashes that one set alone has are the rarest of all: they are only counted.
     each = rows.join(several, "hash").groupBy("id", "root", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash", "joins"))).alias("shared"))
     each = each.select("id", "root", "size", (F.col("size") - F.size("shared")).alias("alone"), "shared")
@@ -406,7 +410,7 @@ def remaining_pairs(keys: DataFrame, edges: DataFrame, sets: DataFrame, least: f
     roots = components(edges)
     of = stage(keys.select("key", "id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "simhash-rooted")
     several = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("key")
-    chosen = stage(of.join(several, "key").select("id", "root").distinct(), "simhash-apart")
+    chosen = stage(of.join(several, "key").select("id", "root").distinct(), "simhash-apart", rebalance=False)
     rarest = _rarest_hashes(chosen, sets, least)
     other = rarest.filter("indexed").select("hash", *[F.col(c).alias(f"{c}2") for c in ("id", "root", "size", "place")])
     larger = (F.col("size") > F.col("size2")) | ((F.col("size") == F.col("size2")) & (F.col("id") > F.col("id2")))
@@ -414,7 +418,7 @@ def remaining_pairs(keys: DataFrame, edges: DataFrame, sets: DataFrame, least: f
     most = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
     enough = most * (1 + least) + 1e-9 >= (F.col("size") + F.col("size2")) * least
     met = rarest.join(other, "hash").filter((F.col("root") != F.col("root2")) & larger & enough)
-    out = stage(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "simhash-remaining")
+    out = stage(met.select(F.least("id", "id2").alias("u"), F.greatest("id", "id2").alias("v")).distinct(), "simhash-remaining", rebalance=False)
     for table in (of, chosen, rarest):
         drop_stage(table)
     return out
@@ -430,7 +434,7 @@ def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int,
     shares a key with a good chance, and what is not hardly does.
     """
     rows = stage(_prints(texts, tables, shingle), "simhash-rows", rebalance=False)
-    alike = stage(rows.groupBy("whole").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("whole", "lead"), "simhash-alike")
+    alike = stage(rows.groupBy("whole").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").select("whole", "lead"), "simhash-alike", rebalance=False)
     edges = stage(rows.join(alike, "whole").filter("id != lead").select(F.col("lead").alias("u"), F.col("id").alias("v")), "simhash-edges")
     firsts = stage(rows.join(edges.select(F.col("v").alias("id")).distinct(), "id", "left_anti").select("id", "fps", "bands"), "simhash-firsts")
     keys = first_keys = candidate_keys(firsts, max_bits)
@@ -447,7 +451,7 @@ def near_copy_edges(texts: DataFrame, max_bits: int, tables: int, shingle: int,
         # Who is not like the first of its key goes on.
         unlike = met.join(leads.select("key", F.col("low").alias("u")), ["key", "u"], "left_semi").join(edges, ["u", "v"], "left_anti")
         further = F.element_at("bands", (F.col("band") + division + 1) % BANDS + 1)
-        rest = stage(unlike.select("key", "band", F.col("v").alias("id")).join(bands, "id").select(F.xxhash64("key", further).alias("key"), "band", "id").distinct(), "simhash-keys")
+        rest = stage(unlike.select("key", "band", F.col("v").alias("id")).join(bands, "id").select(F.xxhash64("key", further).alias("key"), "band", "id").distinct(), "simhash-keys", rebalance=False)
         for table in (leads, met, *([keys] if division else [])):
             drop_stage(table)
         keys = rest

@@ -240,3 +240,20 @@ def test_remaining_pairs_of_any_size(spark):
     own = [simhash.shingle_hashes(t, 2) for t in texts]
     wanted = {(i, j) for j in range(250) for i in range(j) if jaccard(own[i], own[j]) >= 0.8}
     assert {(i, j) for i, j in wanted if (j - i) % 2 == 0} <= found <= wanted
+
+
+def test_a_dense_group_of_fingerprints_makes_few_edges(spark):
+    near = [0x5A5A5A5A << 32 | 1 << i | 1 << j for i in range(24) for j in range(i)]
+    far = [i * 0x1234567 << 32 | i for i in range(1, 40)]
+    edges, held = simhash.links_and_tables(spark.createDataFrame([(x,) for x in near + far], "fp long"), 3, exact=False)
+    found = edges.distinct().collect()
+    for table in held:
+        simhash.drop_stage(table)
+    # All pairs of the group within 3 bits would be over 6,000.
+    assert len(found) < 4 * len(near)
+    roots = {x: x for x in near}
+    def root(x):
+        return x if roots[x] == x else root(roots[x])
+    for r in found:
+        roots[root(r.u)] = root(r.v)
+    assert len({root(x) for x in near}) == 1
